@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_decode
 from .exact import exact_dedup
+from .packing import pack
 from .simhash import simhash_dedup
+from .tokens import count_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +27,26 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_simhash_neardup, op5_exact_dedup)}
+    return {f.__name__: f for f in (op3_simhash_neardup, op4_packing, op5_exact_dedup, op8_token_counts, op10_bpe_roundtrip)}
 
 
 def oracle_sql() -> dict:
