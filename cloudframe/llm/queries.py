@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .exact import exact_dedup
+from .fmindex import substring_dedup
 from .packing import pack
 from .simhash import simhash_dedup
 from .tokens import count_tokens
@@ -37,6 +38,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup(docs).withColumnRenamed("kept", "kept_sha256")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -46,7 +52,7 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_simhash_neardup, op4_packing, op5_exact_dedup, op8_token_counts, op10_bpe_roundtrip)}
+    return {f.__name__: f for f in (op3_simhash_neardup, op4_packing, op5_exact_dedup, op6_substring_dedup, op8_token_counts, op10_bpe_roundtrip)}
 
 
 def oracle_sql() -> dict:
@@ -56,4 +62,15 @@ def oracle_sql() -> dict:
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
         """,
+        "op6_substring_dedup": r"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+            win AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS h FROM d, unnest(range(1, len(ws) - 33)) u(i)),
+            again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY h) AS c FROM win) WHERE c > 1),
+            covered AS (SELECT DISTINCT doc_id, i + j AS p FROM again, range(0, 35) r(j)),
+            words AS (SELECT doc_id, p, ws[p] AS w FROM d, unnest(range(1, len(ws) + 1)) u(p)),
+            kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n
+                     FROM words ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id)
+            SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+            FROM d LEFT JOIN kept USING (doc_id)
+        """,
     }
