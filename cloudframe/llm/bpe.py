@@ -1,9 +1,8 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Words are split in Spark, block by block of the scan; a document becomes the numbers of its words
-in its block's list. Each distinct word of the corpus is encoded once, its pieces come from a join
-of its ids with the vocabulary, and ids and pieces go back to the blocks, where documents are put
-together by position.
+in its block's list. Each distinct word of the corpus is encoded once, its ids go back to the blocks, are
+joined there with the table of pieces, and documents are put together by position.
 """
 
 from __future__ import annotations
@@ -14,12 +13,10 @@ from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import binary, save
 from .tokens import slices, special_tokens, tokenizer
@@ -59,88 +56,111 @@ def words_of(text: str, path: str):
             yield [bytes(map(chars.__getitem__, w)).decode("utf-8") for w, _ in found]
 
 
-def _split(path: str, schema: pa.Schema):
-    """Rows of documents (code list, no word) and of block words (word and its number)."""
+def _split(path: str, schema: pa.Schema, listed_words: bool, documents: bool):
+    """Blocks of documents as the numbers of their words (``block, id, data``), and the blocks' words (``block, number, data``).
 
-    def flush(block, keys, codes, words):
-        order = np.argsort(-np.fromiter((w[1] for w in words.values()), np.int64, len(words)), kind="stable")
-        number = np.empty(len(words), np.uint32)  # frequent words get small numbers
-        number[order] = np.arange(len(words), dtype=np.uint32)
+    The two may be made by two runs over the same scan. A block's name is a hash of its content, so
+    if a run should ever see other rows, assembly stops instead of mixing lists.
+    """
+
+    def flush(keys, codes, words):
+        listed = list(words)
+        name = xxhash.xxh64()
+        for i in range(0, len(listed), 4096):
+            name.update("\n".join(listed[i : i + 4096]))
+        for c in codes:
+            name.update(len(c).to_bytes(8, "little") + c)
+        block = name.intdigest() - (1 << 63)
+        count = np.zeros(len(listed), np.int64)
+        for c in codes:
+            np.add.at(count, np.frombuffer(c, np.uint32), 1)
+        order = np.argsort(-count, kind="stable")
+        if listed_words:
+            for i in range(0, len(listed), 20000):
+                part = [listed[k] for k in order[i : i + 20000].tolist()]
+                n = len(part)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, schema.field(1).type), pa.array(range(i, i + n), pa.int32()), pa.array(part, pa.string()).cast(pa.binary())], schema=schema)
+        if not documents:
+            return
+        number = np.empty(len(listed), np.uint32)  # frequent words get small numbers
+        number[order] = np.arange(len(listed), dtype=np.uint32)
         packed = []
         for c in codes:
             n = number[np.frombuffer(c, np.uint32)]
             packed.append(zlib.compress(np.stack([n & 0xFF, n >> 8 & 0xFF, n >> 16]).astype(np.uint8).tobytes(), 1))
-        listed = list(words)
-        keys = pa.concat_arrays(keys) if keys else pa.array([], schema.field(1).type)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block] * len(packed), pa.int64()), keys, pa.nulls(len(packed), pa.int32()), pa.nulls(len(packed), pa.string()), pa.array(packed, pa.binary())], schema=schema
-        )
-        for i in range(0, len(listed), 20000):
-            part = [listed[k] for k in order[i : i + 20000].tolist()]
-            n = len(part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * n, pa.int64()), pa.nulls(n, schema.field(1).type), pa.array(range(i, i + n), pa.int32()), pa.array(part, pa.string()), pa.nulls(n, pa.binary())], schema=schema
-            )
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(packed), pa.int64()), pa.concat_arrays(keys), pa.nulls(len(packed), pa.int32()), pa.array(packed, pa.binary())], schema=schema)
 
     def run(batches):
-        first, blocks, size = TaskContext.get().partitionId() << 24, 0, 0
-        words: dict[str, list[int]] = {}
+        size = 0
+        words: dict[str, int] = {}
         keys, codes = [], []
         for batch in batches:
             texts = binary(batch.column(1))
             at = 0
             for k, raw in enumerate(texts.to_pylist()):
                 text = raw.decode("utf-8", "replace")
-                numbers = []
-                for found in words_of(text, path):
-                    for w in found:
-                        if (e := words.get(w)) is None:
-                            e = words[w] = [len(words), 0]
-                        e[1] += 1
-                        numbers.append(e[0])
-                codes.append(np.array(numbers, np.uint32).tobytes())
+                codes.append(b"".join(np.array([words.setdefault(w, len(words)) for w in found], np.uint32).tobytes() for found in words_of(text, path)))
                 size += len(text)
                 if size >= BLOCK_CHARS:
                     keys.append(batch.column(0).slice(at, k + 1 - at))
-                    yield from flush(first + blocks, keys, codes, words)
-                    words, keys, codes, size, at, blocks = {}, [], [], 0, k + 1, blocks + 1
+                    yield from flush(keys, codes, words)
+                    words, keys, codes, size, at = {}, [], [], 0, k + 1
             if at < batch.num_rows:
                 keys.append(batch.column(0).slice(at))
         if codes:
-            yield from flush(first + blocks, keys, codes, words)
+            yield from flush(keys, codes, words)
 
     return run
 
 
-def encode_words(words: pd.Series, path: str) -> list[list[int]]:
+def _encode(path: str):
+    """Ids of sorted words, each distinct word being encoded once."""
     special = special_tokens(path)[1]
-    out: list = [[special[w[1:]]] if w[0] == "\0" and w[1:] in special else None for w in words]
-    todo = [k for k, ids in enumerate(out) if ids is None]
-    encoded = tokenizer(path).encode_batch_fast([words.iloc[k] for k in todo], add_special_tokens=False)
-    for k, e in zip(todo, encoded, strict=True):
-        out[k] = e.ids
-    return out
 
+    def encode(words: list[str]) -> list[bytes]:
+        ids = [[special[w[1:]]] if w[0] == "\0" and w[1:] in special else None for w in words]
+        todo = [w for w, i in zip(words, ids, strict=True) if i is None]
+        encoded = iter(tokenizer(path).encode_batch_fast(todo, add_special_tokens=False))
+        return [np.array(next(encoded).ids if i is None else i, "<u4").tobytes() for i in ids]
+
+    def run(batches):
+        last, last_ids = None, b""
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            new = [w for w, before in zip(words, [last, *words[:-1]], strict=True) if w != before]
+            ids = dict(zip(new, encode(new), strict=True))
+            if last is not None:
+                ids.setdefault(last, last_ids)
+            found = pa.array(map(ids.__getitem__, words), pa.binary())
+            if words:
+                last, last_ids = words[-1], ids[words[-1]]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("number"), found], names=["block", "number", "ids"])
+
+    return run
+
+
+def _assemble(schema: pa.Schema, table, with_text: bool):
+    """Put documents together; ``table``: the broadcast id-to-piece table, joined to each word's ids."""
 
-def _assemble(schema: pa.Schema, with_text: bool):
     def run(batches):
+        piece = table.value
         block, ids, pieces = None, [], []
         for batch in batches:
-            cols = {c: batch.column(c) for c in batch.schema.names}
-            blocks = cols["block"].to_pylist()
-            number, word_ids, piece, codes = (cols[c].to_pylist() for c in ("number", "ids", "pieces", "codes"))
+            blocks, number, given = (batch.column(c).to_pylist() for c in ("block", "number", "codes"))
             out: list[list] = [[] for _ in range(3 + 2 * with_text)]
             rows = []
             for k, b in enumerate(blocks):
                 if b != block:
                     block, ids, pieces = b, [], []
                 if number[k] is not None:
-                    if number[k] != len(ids):
+                    if number[k] < len(ids):
+                        continue  # another block of the same content
+                    if number[k] > len(ids):
                         raise RuntimeError(f"word {len(ids)} of block {b} is missing")
-                    ids.append(np.array(word_ids[k], "<u4").tobytes())
-                    pieces.append(piece[k].encode("utf-8"))
+                    ids.append(given[k])
+                    pieces.append(b" ".join(map(piece.__getitem__, np.frombuffer(given[k], "<u4").tolist())))
                     continue
-                n = np.frombuffer(zlib.decompress(codes[k]), np.uint8).reshape(3, -1).astype(np.uint32)
+                n = np.frombuffer(zlib.decompress(given[k]), np.uint8).reshape(3, -1).astype(np.uint32)
                 n = (n[0] | n[1] << 8 | n[2] << 16).tolist()
                 found = b"".join(map(ids.__getitem__, n))
                 decoded = b" ".join(filter(None, map(pieces.__getitem__, n)))
@@ -157,7 +177,7 @@ def _assemble(schema: pa.Schema, with_text: bool):
     return run
 
 
-def encode_decode(docs: DataFrame, path: str, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, with_text: bool = False, stable_scan: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text with the tokenizers file at ``path`` and decode the ids again.
 
     Returns ``id_col, n_tokens, ids_sha256`` (of the ids as little-endian unsigned 32-bit numbers)
@@ -165,10 +185,12 @@ def encode_decode(docs: DataFrame, path: str, with_text: bool = False, id_col: s
     library without added special tokens; special strings inside a text become their ids. Decoding
     joins the pieces of the ids with spaces, as the library does for a file without decoder.
 
-    The scan's blocks (bounded by ``BLOCK_CHARS`` or one document) are written once to the shared
-    folder as compressed word numbers and word lists. Word lists are reduced to distinct words
-    before they are encoded, so a word that occurs everywhere is one row a block. The vocabulary is
-    the only table that is broadcast.
+    Blocks of rows (bounded by ``BLOCK_CHARS`` or one document) move as compressed word numbers and
+    word lists; texts are not shuffled. The lists are sorted by word over the cluster, each distinct
+    word is encoded once, and ids return to the blocks. A word that occurs everywhere is one row a
+    block. Only the vocabulary (id to piece) is broadcast. Blocks are written once to the shared
+    folder; with ``stable_scan`` (for tables read straight from files, whose tasks see the same rows
+    each time) they are made twice instead, which costs CPU and saves disk.
 
     A null or empty text has no tokens. Null ids and repeated rows are returned as they come; other
     columns are not read. Empty in, empty out.
@@ -178,27 +200,22 @@ def encode_decode(docs: DataFrame, path: str, with_text: bool = False, id_col: s
 
     kind = docs.schema[id_col].dataType
     arrow, ddl = to_arrow_type(kind), kind.simpleString()
-    schema = pa.schema([("block", pa.int64()), (id_col, arrow), ("number", pa.int32()), ("word", pa.string()), ("codes", pa.binary())])
-    split = docs.select(id_col, text_col).mapInArrow(_split(path, schema), f"block long, `{id_col}` {ddl}, number int, word string, codes binary")
-    split = save(split, "words")
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(words: pd.Series) -> pd.Series:
-        return pd.Series(encode_words(words, path))
-
-    vocabulary = tokenizer(path).get_vocab(with_added_tokens=True)
-    pieces = spark.createDataFrame(pd.DataFrame({"id": list(vocabulary.values()), "piece": list(vocabulary)}), "id int, piece string")
-    words = split.where("word is not null").select("word").distinct().withColumn("ids", encode("word"))
-    placed = words.select("word", "ids", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(pieces), "id", "left")
-    table = placed.groupBy("word").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "id", F.coalesce("piece", F.lit("")).alias("piece")))).alias("p")
-    ).select("word", F.filter(F.col("p.id"), lambda x: x.isNotNull()).alias("ids"), F.array_join(F.filter(F.col("p.piece"), lambda x: x != ""), " ").alias("pieces"))
-    listed = split.where("word is not null").select("block", F.lit(None).cast(ddl).alias(id_col), "number", "word").join(table, "word")
-    coded = split.where("word is null").select("block", id_col, "codes")
-    both = listed.select("block", id_col, "number", "ids", "pieces", F.lit(None).cast("binary").alias("codes")).unionByName(
-        coded.select("block", id_col, F.lit(None).cast("int").alias("number"), F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("string").alias("pieces"), "codes")
+    schema = pa.schema([("block", pa.int64()), (id_col, arrow), ("number", pa.int32()), ("data", pa.binary())])
+    source, fields = docs.select(id_col, text_col), f"block long, `{id_col}` {ddl}, number int, data binary"
+    if stable_scan:
+        words = source.mapInArrow(_split(path, schema, True, False), fields)
+        coded = source.mapInArrow(_split(path, schema, False, True), fields)
+    else:
+        split = save(source.mapInArrow(_split(path, schema, True, True), fields), "blocks")
+        words, coded = split.where("number is not null"), split.where("number is null")
+    words = words.select("block", "number", F.col("data").cast("string").alias("word"))
+    table = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(path), "block long, number int, ids binary")
+    both = table.select("block", F.lit(None).cast(ddl).alias(id_col), "number", F.col("ids").alias("codes")).unionByName(
+        coded.select("block", id_col, "number", F.col("data").alias("codes"))
     )
+    vocabulary = {i: w.encode("utf-8") for w, i in tokenizer(path).get_vocab(with_added_tokens=True).items()}
+    pieces = spark.sparkContext.broadcast(vocabulary)
     ordered = both.repartition("block").sortWithinPartitions("block", F.col("number").asc_nulls_last())
     out = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] * with_text
     types = f"`{id_col}` {ddl}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_text
-    return ordered.mapInArrow(_assemble(pa.schema([(id_col, arrow), *out]), with_text), types)
+    return ordered.mapInArrow(_assemble(pa.schema([(id_col, arrow), *out]), pieces, with_text), types)

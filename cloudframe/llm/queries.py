@@ -48,7 +48,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return encode_decode(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), stable_scan=True)
 
 
 def queries() -> dict:

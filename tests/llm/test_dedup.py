@@ -126,7 +126,8 @@ def test_every_pair_within_two_bits_shares_an_anchor():
 
 def test_fingerprint_chain_forms_one_component(spark):
     fps = [0, 3, 15, 63, 1 << 63, (1 << 63) | 1 << 40, 0xF0F0F0F0F0]
-    fps += [random.Random(9).getrandbits(64) for _ in range(50)]
+    rng = random.Random(9)
+    fps += [rng.getrandbits(64) for _ in range(50)]
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
     got = {(min(r), max(r)) for r in simhash.near_links(spark.createDataFrame(signed, "fp long"), 2).collect()}
     s = [f[0] for f in signed]
