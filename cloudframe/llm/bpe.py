@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary, save
-from .tokens import slices, special_tokens, tokenizer
+from .tokens import byte_chars, slices, special_tokens, tokenizer
 
 # Letters and digits of U+0000 to U+017F as in tokens.py, without the one whose
 # lower case is longer than one character (U+0130). Other texts are split by the library.
@@ -30,14 +29,6 @@ _SPACE = re.compile("[\\x09-\\x0d\\x20\\x85\\xa0]+")
 BLOCK_CHARS = 24 << 20
 
 
-@lru_cache(1)
-def _byte_chars() -> dict[str, int]:
-    """The printable characters that stand for bytes in byte-level vocabularies."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 def words_of(text: str, path: str):
     """The words of a text after the tokenizer's normalization; special strings stand as ``\\0`` and the string."""
     split, _ = special_tokens(path)
@@ -51,7 +42,7 @@ def words_of(text: str, path: str):
                 yield _WORD.findall(_SPACE.sub(" ", piece).lower())
         else:
             t = tokenizer(path)
-            chars = _byte_chars()
+            chars = byte_chars()
             found = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(part))
             yield [bytes(map(chars.__getitem__, w)).decode("utf-8") for w, _ in found]
 

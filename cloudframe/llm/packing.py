@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binary, save
-from .tokens import Encoder, whole_tokens
+from .tokens import encode_ids
 
 
 def combinations_filling(window: int) -> np.ndarray:
@@ -111,10 +111,9 @@ def slots(patterns: list[tuple[tuple[int, ...], int]], window: int) -> list[np.n
     return [np.array(x, np.int64).reshape(-1, 3) for x in found]
 
 
-def _pieces(path: str, table, window: int, end_id: int, with_ids: bool, schema: pa.Schema):
+def _pieces(path: str, window: int, end_id: int, with_ids: bool, schema: pa.Schema):
     def run(batches):
         part = TaskContext.get().partitionId()
-        encoder = Encoder(path, table.value, lambda ids: np.array(ids, "<u4").tobytes())
         seen = np.zeros(window + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -122,7 +121,7 @@ def _pieces(path: str, table, window: int, end_id: int, with_ids: bool, schema:
             rows: dict[str, list] = {name: [] for name in schema.names}
             source = []
             for k, text in enumerate(texts.to_pylist()):
-                ids = b"".join([*map(b"".join, encoder.values(text.decode("utf-8", "replace"))), end])
+                ids = encode_ids(text.decode("utf-8", "replace"), path) + end
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     piece = ids[4 * start : 4 * (start + window)]
@@ -174,7 +173,6 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, with_i
     other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(whole_tokens(path))
     kind = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -182,7 +180,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, with_i
     names += [("ids", pa.list_(pa.int32()))] * with_ids
     schema = pa.schema([(id_col, to_arrow_type(kind)), *names])
     ddl = f"`{id_col}` {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, __part int, __rank long" + ", ids array<int>" * with_ids
-    pieces = save(docs.select(id_col, text_col).mapInArrow(_pieces(path, table, window, end_id, with_ids, schema), ddl), "pieces")
+    pieces = save(docs.select(id_col, text_col).mapInArrow(_pieces(path, window, end_id, with_ids, schema), ddl), "pieces")
 
     counts = pieces.groupBy("__part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = np.zeros(window + 1, np.int64)
