@@ -11,6 +11,7 @@ from .fmindex import substring_dedup
 from .packing import pack
 from .simhash import simhash_dedup
 from .tokens import count_tokens
+from .warc import archive_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(docs).withColumnRenamed("kept", "kept_sha256")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_table(spark, sf_dir, "pages")).drop("url")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -52,7 +57,7 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_simhash_neardup, op4_packing, op5_exact_dedup, op6_substring_dedup, op8_token_counts, op10_bpe_roundtrip)}
+    return {f.__name__: f for f in (op3_simhash_neardup, op4_packing, op5_exact_dedup, op6_substring_dedup, op7_warc, op8_token_counts, op10_bpe_roundtrip)}
 
 
 def oracle_sql() -> dict:
