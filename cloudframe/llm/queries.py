@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .exact import exact_dedup
 from .fmindex import substring_dedup
+from .lattice import embedding_dedup
 from .packing import pack
 from .simhash import simhash_dedup
 from .tokens import count_tokens
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_simhash_neardup, op4_packing, op5_exact_dedup, op6_substring_dedup, op7_warc, op8_token_counts, op10_bpe_roundtrip)}
+    return {f.__name__: f for f in (op1_embedding_neardup, op3_simhash_neardup, op4_packing, op5_exact_dedup, op6_substring_dedup, op7_warc, op8_token_counts, op10_bpe_roundtrip)}
 
 
 def oracle_sql() -> dict:
