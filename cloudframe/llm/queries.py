@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cnn, toxicity
 from .bpe import encode_decode
 from .exact import exact_dedup
 from .fmindex import substring_dedup
@@ -23,6 +24,29 @@ def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def _held_out(modulus: int, remainder: int):
+    """Whether a document's labels may not be learned from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == remainder
+
+
+def _predicted(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = _held_out(3, 1)
+    model = cnn.fit(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    return _predicted(cnn.score_quality(docs, model), held_out)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = _held_out(5, 0)
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    return _predicted(toxicity.score_toxicity(docs, model), held_out)
+
+
 def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_table(spark, sf_dir, "documents"))
 
@@ -62,7 +86,7 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_neardup, op3_simhash_neardup, op4_packing, op5_exact_dedup, op6_substring_dedup, op7_warc, op8_token_counts, op10_bpe_roundtrip)}
+    return {f.__name__: f for f in (op1_embedding_neardup, op2_quality, op3_simhash_neardup, op4_packing, op5_exact_dedup, op6_substring_dedup, op7_warc, op8_token_counts, op9_toxicity, op10_bpe_roundtrip)}
 
 
 def oracle_sql() -> dict:
