@@ -147,8 +147,8 @@ def grid_to_mesh(grid: HeightGrid, source: DataFrame | None = None, jump: float
     c = {k: F.col(k) for k in ("v00", "v10", "v01", "v11")}
     triangle = lambda a, b, d, n: F.struct(c[a].alias("a"), c[b].alias("b"), c[d].alias("c"), F.lit(n).alias("n"))
     main = F.abs(F.col("v00.z") - F.col("v11.z")) <= F.abs(F.col("v10.z") - F.col("v01.z"))
-    cut = F.when(main, F.array(triangle("v00", "v10", "v11", 0), triangle("v00", "v11", "v01", 1))).otherwise(F.array(triangle("v00", "v10", "v01", 0), triangle("v10", "v11", "v01", 1)))
-    t = quads.select("qx", "qy", F.explode(cut).alias("t")).select("qx", "qy", "t.*")
+    halves = F.when(main, F.array(triangle("v00", "v10", "v11", 0), triangle("v00", "v11", "v01", 1))).otherwise(F.array(triangle("v00", "v10", "v01", 0), triangle("v10", "v11", "v01", 1)))
+    t = quads.select("qx", "qy", F.explode(halves).alias("t")).select("qx", "qy", "t.*")
     z = [F.col(f"{v}.z") for v in "abc"]
     u, v = ([(F.col(f"{p}.x") - F.col("a.x")) * F.lit(grid.step_x), (F.col(f"{p}.y") - F.col("a.y")) * F.lit(grid.step_y), F.col(f"{p}.z") - F.col("a.z")] for p in "bc")
     n = (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])

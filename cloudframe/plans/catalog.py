@@ -2,10 +2,445 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..functions.geometry import NORMAL, XYZ
+from ..operators import features, filters, grid, iso, mesh, points, registration, report, spatial
+from .inputs import E_SQL, L_SQL, O_SQL, V_SQL, embeddings_cloud, events_cloud, lineitem_points, orders_cloud, rounded, table
+
+_QUERIES: dict = {}
+_ORACLE: dict = {}
+SIDE, RADIUS, NEIGHBOURS = 32, 0.1, 8
+#: A known motion, and a step of the registration queries that is smaller than the gaps between points.
+MOTION = np.array([[0.8, -0.6, 0, 0.5], [0.6, 0.8, 0, -0.25], [0, 0, 1, 0.125], [0, 0, 0, 1]])
+SHIFT = np.array([[1, 0, 0, 0.01], [0, 1, 0, -0.005], [0, 0, 1, 0.0025], [0, 0, 0, 1]])
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if oracle:
+            _ORACLE[name] = "WITH RECURSIVE " + oracle
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_ORACLE)
+
+
+def _r(*columns: str, digits: int = 6) -> list:
+    return [rounded(c, digits).alias(c) for c in columns]
+
+
+def _rs(*columns: str, digits: int = 6) -> str:
+    return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns)
+
+
+# Voxels, statistics, row access
+
+_VOXELS = "floor(x / {0})::BIGINT AS kx, floor(y / {1})::BIGINT AS ky, floor(z / {2})::BIGINT AS kz"
+
+
+@query("voxel_downsample", f"{L_SQL}, k AS (SELECT *, {_VOXELS.format('5.0', '1.0', '10.0')} FROM l), a AS (SELECT kx, ky, kz, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS n FROM k GROUP BY ALL) SELECT kx, ky, kz, {_rs(*XYZ)}, n FROM a")
+def _(spark, d):
+    return points.voxel_cells(lineitem_points(spark, d), (5.0, 1.0, 10.0)).select("kx", "ky", "kz", *_r(*XYZ), "n")
+
+
+@query(
+    "voxel_cloud",
+    f"{E_SQL}, k AS (SELECT *, {_VOXELS.format('0.1', '0.1', '0.1')} FROM e), a AS (SELECT kx, ky, kz, avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(nx) AS nx, avg(ny) AS ny, avg(nz) AS nz, avg(label) AS label FROM k GROUP BY ALL) SELECT row_number() OVER (ORDER BY kx, ky, kz) - 1 AS pid, {_rs(*XYZ, *NORMAL, 'label')} FROM a",
+)
+def _(spark, d):
+    return points.voxel_downsample(embeddings_cloud(spark, d), 0.1).select("pid", *_r(*XYZ, *NORMAL, "label"))
+
+
+@query("uniform_downsample", f"{V_SQL} SELECT pid, x, y, z FROM v WHERE pid % 7 = 0")
+def _(spark, d):
+    return points.uniform_downsample(events_cloud(spark, d), 7)
+
+
+@query("sample_rows", f"{O_SQL}, n AS (SELECT count(*) AS n FROM o) SELECT pid, x, y, z FROM o, n WHERE pid % CAST(ceil(n / 1000.0) AS BIGINT) = 0")
+def _(spark, d):
+    cloud = orders_cloud(spark, d)
+    return points.sample_rows(cloud, cloud.count(), 1000)
+
+
+@query("cloud_bounds", f"{O_SQL} SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z, count(*) AS n FROM o")
+def _(spark, d):
+    return points.bounds(orders_cloud(spark, d))
+
+
+@query(
+    "cloud_stats",
+    f"{V_SQL}, w AS (SELECT v.*, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS i FROM v JOIN events ON event_id = pid) SELECT count(*) AS point_count, round(avg(CASE WHEN isfinite(x) AND isfinite(y) AND isfinite(z) THEN 1.0 ELSE 0 END), 6) AS finite_ratio, "
+    + ", ".join(f"round(avg({c}), 6) AS mean_{c}, round(min({c}), 6) AS min_{c}, round(max({c}), 6) AS max_{c}" for c in XYZ)
+    + ", round(avg(z), 6) AS error_mean, round(max(z), 6) AS error_max, round(avg(i), 6) AS intensity_mean, round(min(i), 6) AS intensity_min, round(max(i), 6) AS intensity_max FROM w",
+)
+def _(spark, d):
+    k = table(spark, d, "events").select(F.col("event_id").alias("pid"), F.get_json_object("props", "$.k").try_cast("double").alias("k"))
+    out = points.statistics(events_cloud(spark, d).join(k, "pid"), "z", "k")
+    return out.select(*[F.col(c) if c == "point_count" else F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query("transform_points", f"{E_SQL} SELECT pid, round(0.8 * x - 0.6 * y + 0.5, 6) + 0.0 AS x, round(0.6 * x + 0.8 * y - 0.25, 6) + 0.0 AS y, round(z + 0.125, 6) + 0.0 AS z FROM e")
+def _(spark, d):
+    return points.transform(embeddings_cloud(spark, d).select("pid", *XYZ), MOTION).select("pid", *_r(*XYZ))
+
+
+@query("gather_points", f"{O_SQL}, p AS (SELECT pid AS position, pid // 3 AS pid FROM o) SELECT position, pid, x, y, z FROM p JOIN o USING (pid)")
+def _(spark, d):
+    cloud = orders_cloud(spark, d)
+    picks = cloud.select(F.col("pid").alias("position"), F.floor(F.col("pid") / 3).cast("long").alias("pid"))
+    return points.gather(cloud, picks).select("position", "pid", *XYZ)
+
+
+@query("merge_clouds", f"{O_SQL}, {V_SQL}, m AS (SELECT max(pid) + 1 AS m FROM o) SELECT pid, x, y, z FROM o UNION ALL SELECT pid + m, x, y, z FROM v, m")
+def _(spark, d):
+    return points.merge_clouds(orders_cloud(spark, d), events_cloud(spark, d))
+
+
+@query(
+    "orient_viewpoint",
+    f"{E_SQL}, s AS (SELECT *, CASE WHEN (1 - x) * nx + (2 - y) * ny + (3 - z) * nz < 0 THEN -1.0 ELSE 1.0 END AS s FROM e) SELECT pid, round(s * nx, 6) + 0.0 AS nx, round(s * ny, 6) + 0.0 AS ny, round(s * nz, 6) + 0.0 AS nz FROM s",
+)
+def _(spark, d):
+    return points.orient_to_viewpoint(embeddings_cloud(spark, d), (1.0, 2.0, 3.0)).select("pid", *_r(*NORMAL))
+
+
+# Proximity
+
+_DIST = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)"
+_PAIRS = f"pairs AS (SELECT a.pid AS qid, b.pid AS pid, {_DIST} AS d FROM e a, e b)"
+_KNN = f"{_PAIRS}, knn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, pid) AS rank FROM pairs)"
+
+
+@query("radius_pairs", f"{E_SQL}, {_PAIRS} SELECT qid, pid, round(d, 6) AS d FROM pairs WHERE d <= {RADIUS}")
+def _(spark, d):
+    e = embeddings_cloud(spark, d)
+    return spatial.radius_join(e, e, RADIUS).select("qid", "pid", F.round("d", 6).alias("d"))
+
+
+@query("radius_count", f"{E_SQL}, {_PAIRS} SELECT qid, least(count(*) FILTER (d <= {RADIUS} AND qid <> pid), 20) AS n FROM pairs GROUP BY qid")
+def _(spark, d):
+    e = embeddings_cloud(spark, d)
+    return spatial.radius_count(e, e, RADIUS, 20, skip_self=True)
+
+
+@query("radius_outlier", f"{E_SQL}, {_PAIRS}, n AS (SELECT qid FROM pairs WHERE d <= {RADIUS} GROUP BY qid HAVING count(*) >= 5) SELECT pid, {_rs(*XYZ)} FROM e WHERE pid IN (SELECT qid FROM n)")
+def _(spark, d):
+    return filters.radius_outlier_removal(embeddings_cloud(spark, d), RADIUS, 5).select("pid", *_r(*XYZ))
+
+
+@query("knn_join", f"{E_SQL}, {_KNN} SELECT qid, pid, round(d, 6) AS d, rank FROM knn WHERE rank <= {NEIGHBOURS}")
+def _(spark, d):
+    e = embeddings_cloud(spark, d)
+    return spatial.knn_join(e, e, NEIGHBOURS, strategy="grid").select("qid", "pid", F.round("d", 6).alias("d"), "rank")
+
+
+@query("knn_skip_self", f"{E_SQL}, {_PAIRS}, knn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, pid) AS rank FROM pairs WHERE qid <> pid) SELECT qid, pid, round(d * d, 6) AS d2, rank FROM knn WHERE rank <= {NEIGHBOURS}")
+def _(spark, d):
+    e = embeddings_cloud(spark, d)
+    return spatial.knn_join(e, e, NEIGHBOURS, skip_self=True).select("qid", "pid", F.round("d2", 6).alias("d2"), "rank")
+
+
+@query("knn_padded", f"{E_SQL}, {_KNN}, s AS (SELECT pid AS qid, r AS rank FROM e, range(1, 7) t(r)) SELECT s.qid, s.rank, coalesce(k.pid, -1) AS pid, round(coalesce(d * d, 1.7976931348623157e308), 6) AS d2 FROM s LEFT JOIN knn k USING (qid, rank)")
+def _(spark, d):
+    e = embeddings_cloud(spark, d)
+    return spatial.knn_padded(e, e, 6).select("qid", "rank", "pid", F.round("d2", 6).alias("d2"))
+
+
+@query("nearest_point", f"{E_SQL}, pairs AS (SELECT a.pid AS qid, b.pid AS pid, sqrt((a.x + 0.01 - b.x) ** 2 + (a.y - 0.005 - b.y) ** 2 + (a.z + 0.0025 - b.z) ** 2) AS d FROM e a, e b) SELECT qid, pid, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, pid) AS r FROM pairs) WHERE r = 1")
+def _(spark, d):
+    e = embeddings_cloud(spark, d)
+    return spatial.nearest(e, points.transform(e, SHIFT)).select("qid", "pid", F.round("d", 6).alias("d"))
+
+
+_SOR = f"{E_SQL}, {_KNN}, m AS (SELECT qid, avg(d) AS d FROM knn WHERE rank <= {NEIGHBOURS + 1} AND qid <> pid GROUP BY qid), t AS (SELECT avg(d) + 1.0 * stddev_pop(d) AS t FROM m)"
+
+
+@query("statistical_outlier", f"{_SOR} SELECT pid, {_rs(*XYZ)} FROM e WHERE pid IN (SELECT qid FROM m, t WHERE d <= t)")
+def _(spark, d):
+    return filters.statistical_outlier_removal(embeddings_cloud(spark, d), NEIGHBOURS, 1.0).select("pid", *_r(*XYZ))
+
+
+@query("statistical_outlier_removed", f"{_SOR} SELECT pid FROM e WHERE pid NOT IN (SELECT qid FROM m, t WHERE d <= t)")
+def _(spark, d):
+    return filters.StatisticalOutlierRemoval(NEIGHBOURS, 1.0).removed(embeddings_cloud(spark, d))
+
+
+# Features
+
+_COVARIANCE = ", ".join(f"round(covar_pop(b.{p[0]}, b.{p[1]}), 6) + 0.0 AS {p}" for p in features.PAIRS)
+
+
+@query("knn_covariance", f"{E_SQL}, {_KNN} SELECT qid AS pid, count(*) AS n, {_COVARIANCE} FROM knn k JOIN e b ON b.pid = k.pid WHERE rank <= {NEIGHBOURS} GROUP BY qid")
+def _(spark, d):
+    return features.knn_covariance(embeddings_cloud(spark, d), NEIGHBOURS).select("pid", "n", *_r(*features.PAIRS))
+
+
+@query("smooth_normals", f"{E_SQL}, {_KNN}, s AS (SELECT qid AS pid, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM knn k JOIN e b ON b.pid = k.pid WHERE rank <= {NEIGHBOURS} GROUP BY qid), u AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS l FROM s) SELECT pid, round(nx / l, 6) + 0.0 AS nx, round(ny / l, 6) + 0.0 AS ny, round(nz / l, 6) + 0.0 AS nz FROM u")
+def _(spark, d):
+    return features.smooth_normals(embeddings_cloud(spark, d), NEIGHBOURS).select("pid", *_r(*NORMAL))
+
+
+@query("estimate_normals")
+def _(spark, d):
+    return features.estimate_normals(embeddings_cloud(spark, d), NEIGHBOURS).select("pid", *_r(*NORMAL))
+
+
+# Registration
+
+_MOVED = "m AS (SELECT pid, x + 0.01 AS x, y - 0.005 AS y, z + 0.0025 AS z FROM e)"
+_NEAR = f"near AS (SELECT src, tgt, d FROM (SELECT a.pid AS src, b.pid AS tgt, {_DIST} AS d, row_number() OVER (PARTITION BY a.pid ORDER BY {_DIST}, b.pid) AS r FROM m a, e b) WHERE r = 1 AND d <= {RADIUS})"
+_BACK = f"back AS (SELECT src, tgt FROM (SELECT b.pid AS src, a.pid AS tgt, row_number() OVER (PARTITION BY a.pid ORDER BY {_DIST}, b.pid) AS r, {_DIST} AS d FROM e a, m b) WHERE r = 1 AND d <= {RADIUS})"
+
+
+def _pairs(spark, d, **options):
+    e = embeddings_cloud(spark, d).select("pid", *XYZ)
+    moved = points.transform(e, SHIFT)
+    return moved, e, registration.correspondences(moved, e, RADIUS, **options)
+
+
+@query("icp_correspondences", f"{E_SQL}, {_MOVED}, {_NEAR} SELECT src, tgt, round(d, 6) AS d FROM near")
+def _(spark, d):
+    return _pairs(spark, d)[2].select("src", "tgt", F.round("d", 6).alias("d"))
+
+
+@query("icp_reciprocal", f"{E_SQL}, {_MOVED}, {_NEAR}, {_BACK} SELECT src, tgt, round(d, 6) AS d FROM near SEMI JOIN back USING (src, tgt)")
+def _(spark, d):
+    return _pairs(spark, d, reciprocal=True)[2].select("src", "tgt", F.round("d", 6).alias("d"))
+
+
+@query("icp_one_to_one", f"{E_SQL}, {_MOVED}, {_NEAR} SELECT src, tgt, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY tgt ORDER BY d, src) AS r FROM near) WHERE r = 1")
+def _(spark, d):
+    return _pairs(spark, d, one_to_one=True)[2].select("src", "tgt", F.round("d", 6).alias("d"))
+
+
+@query("icp_moments", f"{E_SQL}, {_MOVED}, {_NEAR} SELECT count(*) AS n, round(sum(d * d), 6) AS sum_d2, round(avg(p.x), 6) AS mpx, round(avg(q.z), 6) AS mqz, round(covar_pop(p.x, q.y), 6) AS hxy, round(covar_pop(p.z, q.z), 6) AS hzz, round(covar_pop(p.x, p.x), 6) AS pxx FROM near JOIN m p ON p.pid = src JOIN e q ON q.pid = tgt")
+def _(spark, d):
+    out = registration.moments(*_pairs(spark, d))
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("sum_d2", "mpx", "mqz", "hxy", "hzz", "pxx")])
+
+
+@query("ordered_pairs", f"{E_SQL}, {_MOVED} SELECT a.pid AS src, b.pid AS tgt, round({_DIST}, 6) AS d FROM m a JOIN e b ON a.pid = b.pid")
+def _(spark, d):
+    e = embeddings_cloud(spark, d)
+    return registration.ordered_correspondences(points.transform(e, SHIFT), e).select("src", "tgt", F.round("d", 6).alias("d"))
+
+
+@query("icp_align")
+def _(spark, d):
+    e = embeddings_cloud(spark, d)
+    found = registration.icp(points.transform(e, SHIFT), e, iterations=8, most=0.3, epsilon=1e-6)
+    rows = [(i, *map(float, np.round(found.transformation[i], 3) + 0.0), bool(found.converged)) for i in range(4)]
+    return spark.createDataFrame(rows, "i int, m0 double, m1 double, m2 double, m3 double, converged boolean")
+
+
+# Height grids and meshes
+
+def _grid_sql(aggregate: str, bilinear: bool = True) -> str:
+    box = f"box AS (SELECT min(x) AS x0, min(y) AS y0, greatest(max(x) - min(x), 1e-6) / {SIDE - 1} AS sx, greatest(max(y) - min(y), 1e-6) / {SIDE - 1} AS sy FROM o)"
+    at = f"spots AS (SELECT (x - x0) / sx AS gx, (y - y0) / sy AS gy, z FROM o, box), inside AS (SELECT * FROM spots WHERE gx BETWEEN 0 AND {SIDE - 1} AND gy BETWEEN 0 AND {SIDE - 1})"
+    if bilinear:
+        splat = f"cell AS (SELECT *, least(floor(gx), {SIDE - 2}) AS cx, least(floor(gy), {SIDE - 2}) AS cy FROM inside), splat AS (SELECT (cx + dx)::BIGINT AS ix, (cy + dy)::BIGINT AS iy, z, (CASE WHEN dx = 1 THEN gx - cx ELSE 1 - (gx - cx) END) * (CASE WHEN dy = 1 THEN gy - cy ELSE 1 - (gy - cy) END) AS w FROM cell, range(0, 2) a(dx), range(0, 2) b(dy))"
+    else:
+        splat = "splat AS (SELECT round(gx)::BIGINT AS ix, round(gy)::BIGINT AS iy, z, 1.0 AS w FROM inside)"
+    value = {"mean": "sum(z * w) / sum(w)", "min": "min(z)", "max": "max(z)"}[aggregate]
+    return f"{O_SQL}, {box}, {at}, {splat}, grid AS (SELECT ix, iy, {value} AS z, sum(w) AS weight FROM splat WHERE w > 0 GROUP BY ix, iy HAVING sum(w) > 1e-9)"
+
+
+def _orders_grid(spark, d, **options):
+    return grid.height_grid(orders_cloud(spark, d), SIDE, SIDE, **options)
+
+
+for _name, _options in {"mean": {}, "min": {"aggregate": "min"}, "max": {"aggregate": "max"}, "nearest": {"bilinear": False}}.items():
+
+    @query(f"height_grid_{_name}", f"{_grid_sql(_options.get('aggregate', 'mean'), _options.get('bilinear', True))} SELECT ix, iy, {_rs('z', 'weight')} FROM grid")
+    def _(spark, d, options=_options):
+        return _orders_grid(spark, d, **options).cells.select("ix", "iy", *_r("z", "weight"))
+
+
+_SPARSE = f"{_grid_sql('mean')}, sparse AS (SELECT * FROM grid WHERE (ix * 7 + iy * 3) % 5 <> 0), steps AS (SELECT dx, dy, 1 / sqrt(dx * dx + dy * dy) AS w FROM range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE dx <> 0 OR dy <> 0)"
+
+
+def _holed(spark, d):
+    from dataclasses import replace
+
+    g = _orders_grid(spark, d)
+    return replace(g, cells=g.cells.where((F.col("ix") * 7 + F.col("iy") * 3) % 5 != 0))
+
+
+@query("fill_holes_1pass", f"{_SPARSE}, new AS (SELECT ix + dx AS ix, iy + dy AS iy, sum(z * w) / sum(w) AS z FROM sparse, steps WHERE ix + dx BETWEEN 0 AND {SIDE - 1} AND iy + dy BETWEEN 0 AND {SIDE - 1} GROUP BY 1, 2), every AS (SELECT ix, iy, z, 0 AS fill_pass FROM sparse UNION ALL SELECT ix, iy, z, 1 FROM new ANTI JOIN sparse USING (ix, iy)) SELECT ix, iy, {_rs('z')}, fill_pass FROM every")
+def _(spark, d):
+    return grid.fill_holes(_holed(spark, d), 1).cells.select("ix", "iy", *_r("z"), "fill_pass")
+
+
+_POINTS = "verts AS (SELECT row_number() OVER (ORDER BY iy, ix) - 1 AS pid, ix, iy, x0 + ix * sx AS x, y0 + iy * sy AS y, z FROM grid, box)"
+
+
+@query("grid_to_points", f"{_grid_sql('mean')}, {_POINTS} SELECT pid, ix, iy, {_rs(*XYZ)} FROM verts")
+def _(spark, d):
+    return grid.grid_to_points(_orders_grid(spark, d)).select("pid", "ix", "iy", *_r(*XYZ))
+
+
+# A triangle is flat enough if its normal, of steps (sx, sy) and heights, leans no more than allowed.
+_MESH = f"""{_grid_sql("mean")}, {_POINTS}, steps AS (SELECT abs(a.z - b.z) AS s FROM verts a JOIN verts b ON (b.ix = a.ix + 1 AND b.iy = a.iy) OR (b.ix = a.ix AND b.iy = a.iy + 1)),
+    jump AS (SELECT greatest(greatest(1e-6, 1.5 * sqrt(sx * sx + sy * sy)), 4 * (SELECT s FROM (SELECT s, row_number() OVER (ORDER BY s) - 1 AS r FROM steps) WHERE r = (SELECT count(*) // 2 FROM steps))) AS jump, sx, sy FROM box),
+    quads AS (SELECT p.ix, p.iy, p.pid AS i00, q.pid AS i10, r.pid AS i01, s.pid AS i11, p.z AS z00, q.z AS z10, r.z AS z01, s.z AS z11 FROM verts p JOIN verts q ON q.ix = p.ix + 1 AND q.iy = p.iy JOIN verts r ON r.ix = p.ix AND r.iy = p.iy + 1 JOIN verts s ON s.ix = p.ix + 1 AND s.iy = p.iy + 1),
+    tri AS (
+        SELECT ix, iy, 0 AS n, i00 AS a, i10 AS b, i11 AS c, z00 AS za, z10 AS zb, z11 AS zc, z10 - z00 AS zx, z11 - z10 AS zy FROM quads WHERE abs(z00 - z11) <= abs(z10 - z01)
+        UNION ALL SELECT ix, iy, 1, i00, i11, i01, z00, z11, z01, z11 - z01, z01 - z00 FROM quads WHERE abs(z00 - z11) <= abs(z10 - z01)
+        UNION ALL SELECT ix, iy, 0, i00, i10, i01, z00, z10, z01, z10 - z00, z01 - z00 FROM quads WHERE abs(z00 - z11) > abs(z10 - z01)
+        UNION ALL SELECT ix, iy, 1, i10, i11, i01, z10, z11, z01, z11 - z01, z11 - z10 FROM quads WHERE abs(z00 - z11) > abs(z10 - z01)),
+    faces AS (SELECT row_number() OVER (ORDER BY iy, ix, n) - 1 AS fid, a, b, c FROM tri, jump WHERE greatest(abs(za - zb), abs(za - zc), abs(zb - zc)) <= jump AND 1 / sqrt((zx / sx) ** 2 + (zy / sy) ** 2 + 1) >= 0.08)"""
+_CORNERS = """cross_ AS (SELECT f.fid, f.a, f.b, f.c, p.x AS ax, p.y AS ay, p.z AS az, q.x - p.x AS ux, q.y - p.y AS uy, q.z - p.z AS uz, r.x - p.x AS vx, r.y - p.y AS vy, r.z - p.z AS vz
+    FROM faces f JOIN verts p ON p.pid = f.a JOIN verts q ON q.pid = f.b JOIN verts r ON r.pid = f.c),
+    fn AS (SELECT *, uy * vz - uz * vy AS fx, uz * vx - ux * vz AS fy, ux * vy - uy * vx AS fz FROM cross_)"""
+_NORMALS = f"{_MESH}, {_CORNERS}, sums AS (SELECT pid, sum(fx) AS sx, sum(fy) AS sy, sum(fz) AS sz FROM (SELECT unnest([a, b, c]) AS pid, fx, fy, fz FROM fn) GROUP BY pid), lens AS (SELECT *, sqrt(sx * sx + sy * sy + sz * sz) AS l FROM sums), normals AS (SELECT v.pid, v.x, v.y, v.z, coalesce(sx / l, 0) AS nx, coalesce(sy / l, 0) AS ny, coalesce(sz / l, 1) AS nz FROM verts v LEFT JOIN lens USING (pid))"
+_EDGES = "sides AS (SELECT fid, least(u, v) AS u, greatest(u, v) AS v FROM (SELECT fid, unnest([a, b, c]) AS u, unnest([b, c, a]) AS v FROM faces))"
+
+
+def _mesh(spark, d):
+    return grid.grid_to_mesh(_orders_grid(spark, d))
+
+
+@query("grid_to_mesh", f"{_MESH} SELECT fid, a, b, c FROM faces")
+def _(spark, d):
+    return _mesh(spark, d)[1]
+
+
+@query("mesh_vertex_normals", f"{_NORMALS} SELECT pid, {_rs(*NORMAL)} FROM normals")
+def _(spark, d):
+    return mesh.vertex_normals(*_mesh(spark, d)).select("pid", *_r(*NORMAL))
+
+
+@query("orient_outward", f"{_NORMALS}, mid AS (SELECT avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM normals), vote AS (SELECT CASE WHEN sum(nx * (x - cx) + ny * (y - cy) + nz * (z - cz)) < 0 THEN -1.0 ELSE 1.0 END AS s FROM normals, mid) SELECT pid, round(s * nx, 6) + 0.0 AS nx, round(s * ny, 6) + 0.0 AS ny, round(s * nz, 6) + 0.0 AS nz FROM normals, vote")
+def _(spark, d):
+    v, f = _mesh(spark, d)
+    return mesh.orient_outward(mesh.vertex_normals(v, f), f)[0].select("pid", *_r(*NORMAL))
+
+
+@query("degenerate_faces", f"{_MESH}, {_CORNERS}, m AS (SELECT avg(0.5 * sqrt(fx * fx + fy * fy + fz * fz)) AS m FROM fn) SELECT fid, a, b, c FROM fn, m WHERE 0.5 * sqrt(fx * fx + fy * fy + fz * fz) > round(m)")
+def _(spark, d):
+    v, f = _mesh(spark, d)
+    n = mesh.face_normals(v, f)
+    area = 0.5 * F.sqrt(F.col("fx") ** 2 + F.col("fy") ** 2 + F.col("fz") ** 2)
+    return mesh.remove_degenerate_faces(v, f, float(round(n.agg(F.avg(area)).first()[0])))
+
+
+@query("voxel_cluster_mesh", f"{_MESH}, low AS (SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz FROM verts), k AS (SELECT pid, x, y, z, floor((x - lx) / 150)::BIGINT AS kx, floor((y - ly) / 150)::BIGINT AS ky, floor((z - lz) / 150)::BIGINT AS kz FROM verts, low), g AS (SELECT row_number() OVER (ORDER BY kx, ky, kz) - 1 AS new, kx, ky, kz FROM (SELECT DISTINCT kx, ky, kz FROM k)), n AS (SELECT pid, new FROM k JOIN g USING (kx, ky, kz)) SELECT fid, p.new AS a, q.new AS b, r.new AS c FROM faces JOIN n p ON p.pid = a JOIN n q ON q.pid = b JOIN n r ON r.pid = c WHERE p.new <> q.new AND q.new <> r.new AND p.new <> r.new")
+def _(spark, d):
+    return mesh.cluster_vertices(*_mesh(spark, d), 150.0)[1].select("fid", "a", "b", "c")
+
+
+@query("boundary_edges", f"{_MESH}, {_EDGES} SELECT u, v FROM sides GROUP BY u, v HAVING count(*) = 1")
+def _(spark, d):
+    return mesh.boundary_edges(_mesh(spark, d)[1])
+
+
+@query("taubin_1", f"{_MESH}, near AS (SELECT DISTINCT unnest([a, b, b, c, c, a]) AS p, unnest([b, a, c, b, a, c]) AS q FROM faces), m1 AS (SELECT p, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM near JOIN verts ON pid = q GROUP BY p), s1 AS (SELECT v.pid, v.x + coalesce(0.5 * (m.x - v.x), 0) AS x, v.y + coalesce(0.5 * (m.y - v.y), 0) AS y, v.z + coalesce(0.5 * (m.z - v.z), 0) AS z FROM verts v LEFT JOIN m1 m ON m.p = v.pid), m2 AS (SELECT p, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM near JOIN s1 ON pid = q GROUP BY p) SELECT v.pid, round(v.x + coalesce(-0.53 * (m.x - v.x), 0), 6) + 0.0 AS x, round(v.y + coalesce(-0.53 * (m.y - v.y), 0), 6) + 0.0 AS y, round(v.z + coalesce(-0.53 * (m.z - v.z), 0), 6) + 0.0 AS z FROM s1 v LEFT JOIN m2 m ON m.p = v.pid")
+def _(spark, d):
+    return mesh.taubin_smooth(*_mesh(spark, d), 1).select("pid", *_r(*XYZ))
+
+
+@query("mesh_components", f"{_MESH}, {_EDGES}, part AS (SELECT fid FROM faces WHERE (a + b) % 4 <> 0), some AS (SELECT * FROM sides SEMI JOIN part USING (fid)), links AS (SELECT DISTINCT s.fid AS f, t.fid AS g FROM some s JOIN some t USING (u, v)), reach AS (SELECT f, g FROM links UNION SELECT r.f, l.g FROM reach r JOIN links l ON r.g = l.f WHERE l.g < r.f) SELECT f AS fid, min(g) AS component FROM reach GROUP BY f")
+def _(spark, d):
+    return mesh.face_components(_mesh(spark, d)[1].where((F.col("a") + F.col("b")) % 4 != 0))
+
+
+@query("mesh_compact")
+def _(spark, d):
+    v, f = _mesh(spark, d)
+    v, f = mesh.remove_small_components(v, f.where((F.col("a") + F.col("b")) % 4 != 0), 3)
+    return mesh.with_corners(v, f).select("fid", "a", "b", "c", *[rounded(f"pa.{n}").alias(n) for n in XYZ])
+
+
+# Iso-surfaces
+
+_TABLE = ", ".join(f"({k}, {t}, {e[0]}, {e[1]}, {e[2]})" for k, found in enumerate(iso.triangles()) for t, e in enumerate(found))
+_CUBE = ", ".join(f"({k}, {c[0]}, {c[1]}, {c[2]})" for k, c in enumerate(iso.CORNERS))
+_EDGE = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(iso.EDGES))
+
+
+@query(
+    "marching_cubes_sphere",
+    f"""tt(kind, t, e0, e1, e2) AS (VALUES {_TABLE}), cc(k, dx, dy, dz) AS (VALUES {_CUBE}), ee(e, a, b) AS (VALUES {_EDGE}),
+    cubes AS (SELECT a.i AS ix, b.i AS iy, c.i AS iz FROM range(0, 12) a(i), range(0, 12) b(i), range(0, 12) c(i)),
+    s AS (SELECT ix, iy, iz, k, -3 + (ix + dx) * 0.5 AS x, -3 + (iy + dy) * 0.5 AS y, -3 + (iz + dz) * 0.5 AS z FROM cubes, cc), f AS (SELECT *, sqrt(x * x + y * y + z * z) - 2 AS v FROM s),
+    kinds AS (SELECT ix, iy, iz, sum(CASE WHEN v < 0 THEN 1 << k ELSE 0 END) AS kind FROM f GROUP BY ix, iy, iz),
+    ends AS (SELECT n.ix, n.iy, n.iz, t, unnest([e0, e1, e2]) AS e FROM kinds n JOIN tt USING (kind)),
+    p AS (SELECT d.ix, d.iy, d.iz, d.t, u.x + (0 - u.v) / (w.v - u.v) * (w.x - u.x) AS x, u.y + (0 - u.v) / (w.v - u.v) * (w.y - u.y) AS y, u.z + (0 - u.v) / (w.v - u.v) * (w.z - u.z) AS z
+          FROM ends d JOIN ee USING (e) JOIN f u ON (u.ix, u.iy, u.iz, u.k) = (d.ix, d.iy, d.iz, a) JOIN f w ON (w.ix, w.iy, w.iz, w.k) = (d.ix, d.iy, d.iz, b))
+    SELECT fid, count(*) AS corners, round(sum(x), 6) + 0.0 AS x, round(sum(y), 6) + 0.0 AS y, round(sum(z), 6) + 0.0 AS z FROM (SELECT dense_rank() OVER (ORDER BY iz, iy, ix, t) - 1 AS fid, x, y, z FROM p) GROUP BY fid""",
+)
+def _(spark, d):
+    v, _ = iso.marching_cubes(spark, lambda x, y, z: F.sqrt(x * x + y * y + z * z) - 2, (-3.0,) * 3, (3.0,) * 3, (12, 12, 12))
+    sums = v.groupBy(F.floor(F.col("pid") / 3).cast("long").alias("fid")).agg(F.count(F.lit(1)).alias("corners"), *[F.sum(n).alias(n) for n in XYZ])
+    return sums.select("fid", "corners", *_r(*XYZ))
+
+
+_DEPTH = 4
+_BOX = f"b0 AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM e), b1 AS (SELECT *, 0.2 * greatest(x1 - x0, y1 - y0, z1 - z0, 1e-6) AS pad FROM b0), b2 AS (SELECT (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, (z0 + z1) / 2 AS cz, greatest(x1 - x0, y1 - y0, z1 - z0) + 2 * pad AS side FROM b1), box AS (SELECT cx - side / 2 AS lx, cy - side / 2 AS ly, cz - side / 2 AS lz, side / {2**_DEPTH} AS h FROM b2)"
+_CELLS = f"{E_SQL}, {_BOX}, spots AS (SELECT *, floor((x - lx) / h)::BIGINT AS ix, floor((y - ly) / h)::BIGINT AS iy, floor((z - lz) / h)::BIGINT AS iz FROM e, box), sp AS (SELECT *, greatest((1 - abs(x - (lx + (ix + 0.5) * h)) / (h / 2)) * (1 - abs(y - (ly + (iy + 0.5) * h)) / (h / 2)) * (1 - abs(z - (lz + (iz + 0.5) * h)) / (h / 2)), 0) AS w FROM spots), cells AS (SELECT ix, iy, iz, sum(w) AS weight, sum(w * nx) / greatest(sum(w), 1e-10) AS vx, sum(w * ny) / greatest(sum(w), 1e-10) AS vy, sum(w * nz) / greatest(sum(w), 1e-10) AS vz FROM sp GROUP BY ix, iy, iz)"
+
+
+def _cells(spark, d):
+    e = embeddings_cloud(spark, d)
+    low, side = iso.poisson_box(e)
+    return iso.poisson_cells(e, _DEPTH, low, side), side / 2**_DEPTH
+
+
+@query("poisson_cells", f"{_CELLS} SELECT ix, iy, iz, {_rs('weight', 'vx', 'vy', 'vz')} FROM cells")
+def _(spark, d):
+    return _cells(spark, d)[0].select("ix", "iy", "iz", *_r("weight", "vx", "vy", "vz"))
+
+
+def _difference(n: str) -> str:
+    return f"(coalesce(p{n}.v{n}, c.v{n}) - coalesce(m{n}.v{n}, c.v{n})) / (2 * h)"
+
+
+def _side(n: str, name: str, step: int) -> str:
+    return f"LEFT JOIN cells {name}{n} ON " + " AND ".join(f"{name}{n}.i{a} = c.i{a}" + (f" + {step}" if a == n else "") for a in XYZ)
+
+
+@query("poisson_divergence", f"{_CELLS} SELECT c.ix, c.iy, c.iz, round({' + '.join(map(_difference, XYZ))}, 4) + 0.0 AS divergence FROM cells c {' '.join(_side(n, s, k) for n in XYZ for s, k in (('p', 1), ('m', -1)))} JOIN box ON true")
+def _(spark, d):
+    cells, h = _cells(spark, d)
+    return iso.poisson_divergence(cells, h).select("ix", "iy", "iz", *_r("divergence", digits=4))
+
+
+@query("poisson_surface")
+def _(spark, d):
+    v, f = iso.poisson(embeddings_cloud(spark, d), depth=_DEPTH, iterations=10, in_order=True)
+    return mesh.with_corners(v, f).select("fid", "a", "b", "c", *[rounded(f"pa.{n}").alias(n) for n in XYZ])
+
+
+# Reports
+
+_BENCH = "before AS (SELECT event_type AS benchmark, avg(value) AS best_ms FROM events WHERE user_id % 2 = 0 GROUP BY 1), after AS (SELECT event_type || CASE WHEN event_type = 'error' THEN '2' ELSE '' END AS benchmark, avg(value) * 1.1 AS best_ms FROM events WHERE user_id % 2 = 1 GROUP BY 1)"
+
+
+def _bench(spark, d):
+    e = table(spark, d, "events")
+    name = F.concat("event_type", F.when(F.col("event_type") == "error", "2").otherwise(""))
+    before = e.where("user_id % 2 = 0").groupBy(F.col("event_type").alias("benchmark")).agg(F.avg("value").alias("best_ms"))
+    return before, e.where("user_id % 2 = 1").groupBy(name.alias("benchmark")).agg((F.avg("value") * 1.1).alias("best_ms"))
+
+
+@query("benchmark_gate", f"{_BENCH}, j AS (SELECT benchmark, b.best_ms AS before_ms, a.best_ms AS after_ms, a.best_ms / b.best_ms AS ratio FROM before b FULL JOIN after a USING (benchmark)) SELECT benchmark, round(before_ms, 6) AS before_ms, round(after_ms, 6) AS after_ms, round(ratio, 6) AS ratio, CASE WHEN before_ms IS NULL THEN 'added' WHEN after_ms IS NULL THEN 'missing' WHEN ratio >= 1.05 THEN 'regressed' WHEN ratio <= 0.95 THEN 'improved' ELSE 'unchanged' END AS status FROM j")
+def _(spark, d):
+    return report.benchmark_gate(*_bench(spark, d), tolerance=0.05).select("benchmark", *[F.round(c, 6).alias(c) for c in ("before_ms", "after_ms", "ratio")], "status")
+
+
+@query("hotspots", "r AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'gpu_' ELSE 'cpu_' END || event_type AS benchmark, avg(value) AS best_ms FROM events WHERE event_type <> 'error' OR user_id % 2 = 0 GROUP BY 1) SELECT g.benchmark, round(g.best_ms, 6) AS best_ms, round(c.best_ms, 6) AS cpu_ms, round(g.best_ms / c.best_ms, 6) AS ratio FROM r g LEFT JOIN r c ON c.benchmark = 'cpu_' || substr(g.benchmark, 5) WHERE g.benchmark LIKE 'gpu\\_%' ESCAPE '\\' ORDER BY g.best_ms DESC, g.benchmark LIMIT 3")
+def _(spark, d):
+    e = table(spark, d, "events").where("event_type <> 'error' or user_id % 2 = 0")
+    rows = e.groupBy(F.concat(F.when(F.col("user_id") % 2 == 0, "gpu_").otherwise("cpu_"), "event_type").alias("benchmark")).agg(F.avg("value").alias("best_ms"))
+    return report.hotspots(rows, 3).select("benchmark", *[F.round(c, 6).alias(c) for c in ("best_ms", "cpu_ms", "ratio")])
