@@ -350,7 +350,7 @@ def _(spark, d):
     return mesh.taubin_smooth(*_mesh(spark, d), 1).select("pid", *_r(*XYZ))
 
 
-@query("mesh_components", f"{_MESH}, {_EDGES}, part AS (SELECT fid FROM faces WHERE (a + b) % 4 <> 0), left_sides AS (SELECT * FROM sides SEMI JOIN part USING (fid)), links AS (SELECT DISTINCT s.fid AS f, t.fid AS g FROM left_sides s JOIN left_sides t USING (u, v)), reach AS (SELECT f, g FROM links UNION SELECT r.f, l.g FROM reach r JOIN links l ON r.g = l.f WHERE l.g < r.f) SELECT f AS fid, min(g) AS component FROM reach GROUP BY f")
+@query("mesh_components", f"{_MESH}, {_EDGES}, part AS (SELECT fid FROM faces WHERE (a + b) % 4 <> 0), left_sides AS (SELECT * FROM sides SEMI JOIN part USING (fid)), links AS (SELECT DISTINCT s.fid AS f, t.fid AS g FROM left_sides s JOIN left_sides t USING (u, v)), reach AS (SELECT f, g FROM links UNION SELECT r.f, l.g FROM reach r JOIN links l ON r.g = l.f) SELECT f AS fid, min(g) AS component FROM reach GROUP BY f")
 def _(spark, d):
     return mesh.face_components(_mesh(spark, d)[1].where((F.col("a") + F.col("b")) % 4 != 0))
 
