@@ -25,11 +25,11 @@ from .common import binary, components, save
 GOLAY, LENGTH, RADIUS = 0xAE3, 23, 3
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """Majority of each bit over the hashes of all word shingles (see ``simhash_dedup``)."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Hashes of all word shingles of a text, in order (see ``simhash_dedup``)."""
     found = text.lower().split()  # bytes: A-Z and ASCII white space only
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     size = np.fromiter(map(len, found), np.int64, len(found)) + 1
     ends = np.cumsum(size) - 1
@@ -37,7 +37,12 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     k = min(words, len(found))
     digest = xxhash.xxh64_intdigest
     pairs = zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[s:e], 42) for s, e in pairs), np.uint64)
+    return np.fromiter((digest(joined[s:e], 42) for s, e in pairs), np.uint64)
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """Majority of each bit over the hashes of all word shingles (see ``simhash_dedup``)."""
+    hashes = shingle_hashes(text, words)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):
         part = hashes[i : i + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
