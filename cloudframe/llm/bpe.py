@@ -47,6 +47,22 @@ def words_of(text: str, path: str):
             yield [bytes(map(chars.__getitem__, w)).decode("utf-8") for w, _ in found]
 
 
+def pack_numbers(numbers: np.ndarray, words: int) -> bytes:
+    """Numbers below ``words``, compressed by byte planes: three of them, or four in a block of over 2^24 words."""
+    planes = 3 if words <= 1 << 24 else 4
+    return zlib.compress(np.stack([numbers >> 8 * k & 0xFF for k in range(planes)]).astype(np.uint8).tobytes(), 1)
+
+
+def unpack_numbers(data: bytes, words: int) -> np.ndarray:
+    """The numbers of ``pack_numbers``."""
+    planes = 3 if words <= 1 << 24 else 4
+    found = np.frombuffer(zlib.decompress(data), np.uint8).reshape(planes, -1).astype(np.uint32)
+    out = found[0]
+    for k in range(1, planes):
+        out = out | found[k] << 8 * k
+    return out
+
+
 def _split(path: str, schema: pa.Schema, listed_words: bool, documents: bool):
     """Blocks of documents as the numbers of their words (``block, id, data``), and the blocks' words (``block, number, data``).
 
@@ -78,7 +94,7 @@ def _split(path: str, schema: pa.Schema, listed_words: bool, documents: bool):
         packed = []
         for c in codes:
             n = number[np.frombuffer(c, np.uint32)]
-            packed.append(zlib.compress(np.stack([n & 0xFF, n >> 8 & 0xFF, n >> 16]).astype(np.uint8).tobytes(), 1))
+            packed.append(pack_numbers(n, len(listed)))
         yield pa.RecordBatch.from_arrays([pa.array([block] * len(packed), pa.int64()), pa.concat_arrays(keys), pa.nulls(len(packed), pa.int32()), pa.array(packed, pa.binary())], schema=schema)
 
     def run(batches):
@@ -151,8 +167,7 @@ def _assemble(schema: pa.Schema, table, with_text: bool):
                     ids.append(given[k])
                     pieces.append(b" ".join(map(piece.__getitem__, np.frombuffer(given[k], "<u4").tolist())))
                     continue
-                n = np.frombuffer(zlib.decompress(given[k]), np.uint8).reshape(3, -1).astype(np.uint32)
-                n = (n[0] | n[1] << 8 | n[2] << 16).tolist()
+                n = unpack_numbers(given[k], len(ids)).tolist()
                 found = b"".join(map(ids.__getitem__, n))
                 decoded = b" ".join(filter(None, map(pieces.__getitem__, n)))
                 rows.append(k)

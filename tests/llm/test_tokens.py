@@ -105,6 +105,12 @@ def test_round_trip(table):
         assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
 
 
+def test_word_numbers_beyond_three_bytes():
+    for words in (1, 1 << 24, (1 << 24) + 1, 1 << 32):
+        numbers = np.array([k for k in (0, 255, 65_536, (1 << 24) - 1, 1 << 24, (1 << 24) + 7, (1 << 32) - 1) if k < words], np.uint32)
+        assert (bpe.unpack_numbers(bpe.pack_numbers(numbers, words), words) == numbers).all()
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert count_tokens(empty, BYTE).count() == pack(empty, BYTE).count() == encode_decode(empty, WORD).count() == 0
