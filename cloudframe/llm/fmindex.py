@@ -157,11 +157,19 @@ UNIT = "key long, m long, sh long, off int, nw int, n long, hot boolean, words b
 
 
 def _units(window: int):
-    """Cut the words of the listed segments out of each text; hot ones window by window."""
+    """Cut the words of the listed segments out of each text, once a task for repeated rows; hot ones window by window."""
     names = [x.split()[0] for x in UNIT.split(", ")]
 
     def run(batches):
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
+            new = []
+            for i, row in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if row not in seen:
+                    seen.add(row)
+                    new.append(i)
+            if len(new) < batch.num_rows:
+                batch = batch.take(pa.array(new, pa.int64()))
             listed = batch.column(1)
             fields = {f.name: listed.flatten().field(k).to_pylist() for k, f in enumerate(listed.type.value_type)}
             cuts = (np.asarray(listed.offsets) - listed.offsets[0].as_py()).tolist()
@@ -375,10 +383,10 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     hot = distinct.groupBy("m").count().where(F.col("count") > hot_segments).select("m", F.lit(True).alias("hot"))
     chosen = distinct.join(hot, "m", "left").select("r.*", "m", "sh", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
     by_row = chosen.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "nw", "m", "sh", "n", "hot")).alias("listed"))
-    once = keyed.join(by_row, ["k1", "k2"]).select("__text", "listed")
+    once = keyed.join(by_row, ["k1", "k2"]).select("__text", "listed", "k1", "k2")
     units = save(once.mapInArrow(_units(window), UNIT), "units")
 
-    # Identical rows give the same units again; each is searched once.
+    # Rows with equal words give the same units again, as do repeated rows in several tasks; each is searched once.
     plain = units.where("not hot").dropDuplicates(["m", "sh"]).select("key", "m", "sh", "nw", "n", "words")
     hot_units = units.where("hot").select("key", "m", "sh", "off", "n", "words").dropDuplicates(["m", "sh", "off"])
     hot_keys = hot_units.groupBy("key").agg(F.sum("n").alias("n"), F.min("words").alias("words"))
@@ -389,7 +397,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     back = back.groupBy("m", "sh").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
     masks = masks.where("sh is not null").unionByName(back)
 
-    hits = found.join(masks, ["m", "sh"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
+    # Repeated rows share their hits: each is kept once.
+    hits = found.join(masks, ["m", "sh"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "mask")).alias("hits"))
     rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "kept")]
     source = docs.select(*rest, text.alias("__text"), k1, k2).join(hits, ["k1", "k2"], "left").select(*rest, "__text", "hits")
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)

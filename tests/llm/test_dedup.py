@@ -4,10 +4,11 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 import xxhash
 
-from cloudframe.llm import simhash
+from cloudframe.llm import fmindex, simhash
 from cloudframe.llm.common import components
 from cloudframe.llm.exact import exact_dedup
 from cloudframe.llm.fmindex import substring_dedup
@@ -78,6 +79,35 @@ def test_substrings_null_and_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept) for r in got) == [(0, 50, 50, ""), (7, 51, 51, ""), (7, 51, 51, ""), (8, 0, 0, ""), (9, 1, 0, "short")]
 
 
+def test_repeated_rows_share_units_and_hits(spark, monkeypatch):
+    rng = random.Random(12)
+    body = " ".join(f"t{rng.randrange(10_000)}" for _ in range(400))
+    rows = [(None, body)] * 60 + [(7, body)] * 60 + [(8, "x " + body)]
+    kept, real = {}, fmindex.save
+
+    def recorded(df, label):
+        kept[label] = real(df.coalesce(1) if label == "units" else df, label)
+        return kept[label]
+
+    def count_hits(window, keep, with_text, schema):
+        def run(batches):
+            for batch in batches:
+                n = [len(x or []) for x in batch.column(keep + 1).to_pylist()]
+                columns = [*(batch.column(i) for i in range(keep)), pa.array(n, pa.int64()), pa.array(n, pa.int64()), pa.array([""] * len(n))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:keep], "n_words", "n_removed", "kept"])
+
+        return run
+
+    monkeypatch.setattr(fmindex, "save", recorded)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substring_dedup(docs, with_text=True).collect()
+    assert len(got) == 121 and all(r.n_removed == 400 and r.kept == ("x" if r.doc_id == 8 else "") for r in got)
+    assert kept["units"].count() == kept["units"].dropDuplicates(["m", "sh", "off"]).count()
+    monkeypatch.setattr(fmindex, "_remove", count_hits)
+    segments = kept["segments"].dropDuplicates(["k1", "k2", "start"]).groupBy("k1", "k2").count()
+    assert max(r.n_words for r in substring_dedup(docs).collect()) <= segments.agg({"count": "max"}).first()[0]
+
+
 def test_exact(docs):
     texts = {k: t or "" for k, t in enumerate(corpus())}
     same = defaultdict(list)
