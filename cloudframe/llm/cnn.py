@@ -167,12 +167,14 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int =
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most_docs: int, most_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], np.ndarray]:
     """Texts and labels of a bounded sample: the ``most_docs`` labelled ids with the smallest hashes, texts of at most ``most_bytes`` bytes.
 
-    Ids are chosen among ``labels`` first, so that only the chosen texts move.
+    Ids are chosen among ``labels`` first, so that only the chosen texts move. Repeated label rows
+    count once, and of the rows of an id the smallest text is taken.
     """
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("__label"))
+    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("__label")).distinct()
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col, "__label").limit(most_docs)
     rows = docs.select(id_col, text_col).where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= most_bytes).join(F.broadcast(chosen), id_col)
-    rows = sorted(rows.select(id_col, text_col, "__label").collect(), key=lambda r: (r[0], r[2], r[1] or ""))
+    rows = rows.groupBy(id_col, "__label").agg(F.min(text_col).alias("__text"))
+    rows = sorted(rows.select(id_col, "__text", "__label").collect(), key=lambda r: (r[0], r[2]))
     return [(r[1] or "").encode("utf-8") for r in rows], np.array([r[2] for r in rows], np.int64)
 
 

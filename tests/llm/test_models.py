@@ -92,6 +92,15 @@ def test_correlated_voters_share_a_weight():
     assert np.allclose(model.fires[1], 0.7, atol=0.08) and np.allclose(model.fires[0], 0.1, atol=0.05)
 
 
+def test_sample_takes_one_row_for_each_label(spark):
+    rows = [(1, f"text {k % 50:02}") for k in range(500)] + [(2, None), (2, "b"), (3, None), (4, "unlabelled")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (5, 1)], "doc_id long, label int")
+    texts, found = cnn.labelled_sample(docs, labels, "label", 100, 1000)
+    assert list(zip(texts, found.tolist(), strict=True)) == [(b"text 00", 1), (b"b", 0), (b"b", 1), (b"", 0)]
+    assert len(cnn.labelled_sample(docs, labels.where("doc_id = 1"), "label", 2, 1000)[0]) == 1
+
+
 @pytest.mark.parametrize("module", [cnn, toxicity])
 def test_tables(spark, module):
     texts, junk, toxic = corpus(120, 5)
