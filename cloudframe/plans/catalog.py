@@ -418,7 +418,7 @@ def _(spark, d):
 
 @query("poisson_surface")
 def _(spark, d):
-    v, f = iso.poisson(embeddings_cloud(spark, d), depth=_DEPTH, iterations=10, in_order=True)
+    v, f = iso.poisson(embeddings_cloud(spark, d))
     return mesh.with_corners(v, f).select("fid", "a", "b", "c", *[rounded(f"pa.{n}").alias(n) for n in XYZ])
 
 
