@@ -42,7 +42,8 @@ def height_grid(
     Each point adds to the four cells around it by its bilinear weights, or to the nearest cell.
     Points outside are left out. A cell is valid if its weights sum to over 1e-9; its height is the
     weighted mean, the least or the greatest height. One partial and one final aggregation; the
-    bounds, one row, become literals.
+    bounds, one row, become literals, and the cells are written to the shared folder, as every later
+    step starts from them.
     """
     if width < 2 or height < 2:
         raise ValueError("a grid has at least 2 x 2 cells")
@@ -76,30 +77,39 @@ def height_grid(
     value = {"mean": F.sum(F.col("z") * F.col("w")) / F.sum("w"), "min": F.min("z"), "max": F.max("z")}[aggregate]
     means = [half_up(F.sum(F.col(c) * F.col("w")) / F.sum("w"), 255).cast("smallint").alias(c) for c in colors]
     cells = placed.groupBy("ix", "iy").agg(value.alias("z"), F.sum("w").alias("weight"), *means).where(F.col("weight") > 1e-9).withColumn("fill_pass", F.lit(0))
-    return HeightGrid(cells, width, height, x0, y0, step_x, step_y)
+    return HeightGrid(cut(cells, "grid"), width, height, x0, y0, step_x, step_y)
 
 
 def fill_holes(grid: HeightGrid, passes: int = 8, least: int = 1, radius: int = 1) -> HeightGrid:
     """Fill cells that have ``least`` valid cells around them with their inverse-distance mean, pass by pass.
 
-    A pass sees only what was valid before it; it is written to the checkpoint folder. Stops when a
-    pass fills nothing.
+    A pass sees only what was valid before it; it is written to the shared folder. After the first
+    pass only cells around those of the last one are looked at: nothing changed around the others.
+    Stops when a pass fills nothing.
     """
-    cells = grid.cells
+    cells = last = grid.cells
     colors = [c for c in COLOR if c in cells.columns]
     steps = [(dx, dy) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if dx or dy]
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(1 / math.hypot(dx, dy)).alias("w")) for dx, dy in steps])
+
+    def spread(df: DataFrame, *rest: str) -> DataFrame:
+        """Every row at each place around its own, with the weight of the step."""
+        moved = df.select("ix", "iy", *rest, F.explode(around).alias("s"))
+        return moved.select((F.col("ix") + F.col("s.dx")).alias("ix"), (F.col("iy") + F.col("s.dy")).alias("iy"), *rest, F.col("s.w").alias("w"))
+
     for n in range(passes):
-        near = cells.select("ix", "iy", "z", *colors, F.explode(around).alias("s"))
-        near = near.select((F.col("ix") + F.col("s.dx")).alias("ix"), (F.col("iy") + F.col("s.dy")).alias("iy"), "z", *colors, F.col("s.w").alias("w"))
-        near = near.where(F.col("ix").between(0, grid.width - 1) & F.col("iy").between(0, grid.height - 1))
+        near = spread(last if n else cells, "z", *colors).where(F.col("ix").between(0, grid.width - 1) & F.col("iy").between(0, grid.height - 1))
+        if n:  # the open cells around the last ones, and all valid cells around those
+            targets = near.select("ix", "iy").distinct().join(cells.select("ix", "iy"), ["ix", "iy"], "left_anti")
+            near = spread(targets.withColumns({"tx": F.col("ix"), "ty": F.col("iy")}), "tx", "ty").join(cells.select("ix", "iy", "z", *colors), ["ix", "iy"])
+            near = near.select(F.col("tx").alias("ix"), F.col("ty").alias("iy"), "z", *colors, "w")
         means = [half_up(F.sum(F.col(c) * F.col("w")) / F.sum("w"), 255).cast("smallint").alias(c) for c in colors]
         new = near.join(cells.select("ix", "iy"), ["ix", "iy"], "left_anti").groupBy("ix", "iy")
         new = new.agg((F.sum(F.col("z") * F.col("w")) / F.sum("w")).alias("z"), F.lit(0.0).alias("weight"), *means, F.count(F.lit(1)).alias("__n"))
         new = cut(new.where(F.col("__n") >= least).drop("__n").withColumn("fill_pass", F.lit(n + 1)))
         if new.isEmpty():
             break
-        cells = cells.unionByName(new)
+        cells, last = cells.unionByName(new), new
     return replace(grid, cells=cells)
 
 
@@ -120,11 +130,11 @@ def height_jump(grid: HeightGrid, configured: float = 0.0) -> float:
     fallback = max(1e-6, 1.5 * math.hypot(grid.step_x, grid.step_y))
     pairs = F.explode(F.array(*[F.struct((F.col("ix") + a).alias("x"), (F.col("iy") + b).alias("y"), F.lit(k).alias("pair"), F.lit(first).alias("first")) for k, a, b, first in (("r", 0, 0, True), ("r", -1, 0, False), ("d", 0, 0, True), ("d", 0, -1, False))]))
     ends = grid.cells.select("z", pairs.alias("p")).groupBy("p.x", "p.y", "p.pair").agg(F.count(F.lit(1)).alias("n"), (F.max("z") - F.min("z")).alias("step"))
-    steps = cut(ends.where("n = 2").select("step"))
+    steps = dense_ids(ends.where("n = 2").select("step", "x", "y", "pair"), ["step", "x", "y", "pair"], "at")
     n = steps.count()
     if not n:
         return fallback
-    middle = dense_ids(steps, ["step"], "at").where(F.col("at") == n // 2).first()["step"]
+    middle = steps.where(F.col("at") == n // 2).first()["step"]
     return max(fallback, 4 * middle)
 
 
@@ -137,7 +147,7 @@ def grid_to_mesh(grid: HeightGrid, source: DataFrame | None = None, jump: float
     come from the grid, else from the nearest point of ``source``, as do intensities. Corners meet
     in one aggregation by quad.
     """
-    vertices = cut(grid_to_points(grid))
+    vertices = grid_to_points(grid)
     limit = height_jump(grid, jump)
     ids = vertices.select("pid", "ix", "iy").join(grid.cells.select("ix", "iy", "z", "fill_pass"), ["ix", "iy"])
     corner = F.explode(F.array(*[F.struct((F.col("ix") - dx).alias("qx"), (F.col("iy") - dy).alias("qy"), F.lit(f"v{dx}{dy}").alias("k")) for dx in (0, 1) for dy in (0, 1)]))

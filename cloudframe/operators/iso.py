@@ -88,7 +88,7 @@ def _extract(cubes: DataFrame, low: tuple, step: tuple, iso: float) -> tuple[Dat
     gradient = [(sum((v[k] if CORNERS[k][a] else -v[k] for k in range(1, 8)), v[0] if CORNERS[0][a] else -v[0])) / F.lit(4 * step[a]) for a in range(3)]
     turned = dot(n, gradient) < 0
     t = t.withColumns({"q1": F.when(turned, F.col("p2")).otherwise(F.col("p1")), "q2": F.when(turned, F.col("p1")).otherwise(F.col("p2"))})
-    numbered = cut(dense_ids(t.select("ix", "iy", "iz", "t", "p0", "q1", "q2"), ["iz", "iy", "ix", "t"], "fid"))
+    numbered = dense_ids(t.select("ix", "iy", "iz", "t", "p0", "q1", "q2"), ["iz", "iy", "ix", "t"], "fid")
     vertices = numbered.select("fid", F.posexplode(F.array("p0", "q1", "q2")).alias("k", "p")).select((F.col("fid") * 3 + F.col("k")).alias("pid"), "p.*")
     return vertices, numbered.select("fid", *[(F.col("fid") * 3 + k).alias(n) for k, n in enumerate("abc")])
 

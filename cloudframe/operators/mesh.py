@@ -67,7 +67,7 @@ def compact(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame
     """Drop unused vertices and number the rest in the order in which faces first use them."""
     corners = faces.select("fid", F.posexplode(F.array("a", "b", "c")).alias("k", "pid"))
     first = corners.groupBy("pid").agg(F.min(F.struct("fid", "k")).alias("at"))
-    renamed = cut(dense_ids(first.select("pid", "at.fid", "at.k"), ["fid", "k"], "new").select("pid", "new"))
+    renamed = dense_ids(first.select("pid", "at.fid", "at.k"), ["fid", "k"], "new").select("pid", "new")
     out = vertices.join(renamed, "pid").drop("pid").withColumnRenamed("new", "pid")
     return out.select("pid", *[c for c in vertices.columns if c != "pid"]), remap(faces, renamed)
 
@@ -146,7 +146,7 @@ def remove_small_components(vertices: DataFrame, faces: DataFrame, least_faces:
     labels = cut(face_components(faces))
     large = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_faces)
     kept = faces.join(labels.join(large, "component").select("fid", "component"), "fid")
-    ordered = cut(dense_ids(kept.withColumnRenamed("fid", "__old"), ["component", "__old"], "fid").select("fid", "a", "b", "c"))
+    ordered = dense_ids(kept.withColumnRenamed("fid", "__old"), ["component", "__old"], "fid").select("fid", "a", "b", "c")
     return compact(vertices, ordered)
 
 
@@ -162,7 +162,7 @@ def cluster_vertices(vertices: DataFrame, faces: DataFrame, size: float) -> tupl
     keys = {k: cell(c, size, F.lit(box[f"min_{n}"] or 0.0)) for k, n, c in zip(("kx", "ky", "kz"), XYZ, vector(), strict=True)}
     keyed = vertices.withColumns(keys)
     merged = keyed.groupBy("kx", "ky", "kz").agg(*[F.avg(c).alias(n) for n, c in zip(XYZ, vector(), strict=True)], *mean_attributes(vertices.drop(*NORMAL), scalars=False))
-    merged = cut(dense_ids(merged, ["kx", "ky", "kz"]))
+    merged = dense_ids(merged, ["kx", "ky", "kz"])
     names = keyed.select("pid", "kx", "ky", "kz").join(merged.select(F.col("pid").alias("new"), "kx", "ky", "kz"), ["kx", "ky", "kz"]).select("pid", "new")
     return merged.drop("kx", "ky", "kz"), remap(faces, names).where("a <> b and b <> c and a <> c")
 

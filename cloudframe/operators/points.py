@@ -9,20 +9,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import COLOR, NORMAL, RESERVED, XYZ, cell, dot, finite, minus, vector
+from ..plans.lineage import cut
 
 
 def dense_ids(df: DataFrame, order: Sequence[str | Column], name: str = "pid") -> DataFrame:
     """Number rows 0..N-1 in the given order without bringing them into one task.
 
-    Rows are range-partitioned and sorted; the counts of the partitions, one small row each, are
-    summed up and joined back.
+    Rows are range-partitioned, sorted and written once with their partition and their place in it.
+    Both the sizes of the partitions, one small row each, and the rows come from what was written:
+    a second evaluation of the exchange might draw other borders. Rows with equal keys stay in one
+    partition, so the order should hold few of them.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    ordered = ordered.withColumn("__in", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    counts = ordered.groupBy("__part").agg(F.max("__in").alias("__last"))
-    before = F.coalesce(F.sum(F.col("__last") + 1).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    placed = cut(placed.withColumn("__in", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "numbered")
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("__part", before.alias("__before"))
-    return ordered.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")
+    start = F.when(F.col("__before").isNull(), F.raise_error(F.lit("a partition has no first number")).cast("long")).otherwise(F.col("__before"))
+    return placed.join(F.broadcast(starts), "__part", "left").withColumn(name, start + F.col("__in")).drop("__part", "__in", "__before")
 
 
 def row(df: DataFrame, pid: int) -> DataFrame:
