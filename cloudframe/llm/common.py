@@ -2,36 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 #: ASCII white space: what separates words wherever a contract says ``[^\x20\x09-\x0D]+``.
 SPACES = b" \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="cloudframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/cloudframe/{uuid.uuid4().hex}-{label}"
-
+#: A key that one in so many rows or more have is hot; there are no more of them than that.
+HOT_SHARE = 1000
 
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and return it as read back."""
-    path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Cut the lineage: write to the shared folder and return what was written.
+save = cut
 
 
 def binary(column: pa.ChunkedArray | pa.Array) -> pa.Array:
@@ -45,6 +31,32 @@ def binary(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return column.fill_null(b"")
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], by: list[str], count: str = "n", how: str = "left") -> DataFrame:
+    """Join ``rows`` with ``groups``, which has one row a key and in ``count`` how many rows have that key.
+
+    Hot keys, at most ``HOT_SHARE`` of them by their counts, are broadcast, whatever the size of the
+    tables; rows that meet theirs so move by ``by`` and no longer by the key, as do rows with a null
+    key. So no task gets more than its share of a key. ``groups`` is read twice and should be a
+    written table. ``how`` is ``left`` or ``inner``.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    most = max(2, total // HOT_SHARE)
+    values = [c for c in groups.columns if c not in (*on, count)]
+    found = F.struct(F.lit(True).alias("__in"), *values)
+    hot = F.broadcast(groups.where(F.col(count) >= most).select(*on, found.alias("__hot")))
+    cold = groups.where(F.col(count) < most)
+    if how == "inner":
+        met = rows.join(hot, on).select(*rows.columns, *[F.col(f"__hot.{c}").alias(c) for c in values])
+        return met.unionByName(rows.join(hot, on, "left_anti").join(cold.drop(count), on).select(*rows.columns, *values))
+    settled = F.col("__hot").isNotNull()
+    for c in on:
+        settled = settled | F.col(c).isNull()
+    dealt = rows.join(hot, on, "left").withColumn("__deal", F.when(settled, F.xxhash64(*by)).otherwise(F.lit(0)))
+    joined = dealt.join(cold.select(*on, F.lit(0).cast("long").alias("__deal"), found.alias("__cold")), [*on, "__deal"], "left")
+    hit = F.coalesce("__hot", "__cold")
+    return joined.select(*rows.columns, *[hit[c].alias(c) for c in values])
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links as ``(node, smallest node reachable)`` for every node but the smallest ones."""
     nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from cloudframe.llm import fmindex, simhash
+from cloudframe.llm import common, fmindex, simhash
 from cloudframe.llm.common import components
 from cloudframe.llm.exact import exact_dedup
 from cloudframe.llm.fmindex import substring_dedup
@@ -177,3 +177,16 @@ def test_components(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup(empty).count() == exact_dedup(empty).count() == simhash_dedup(empty).count() == 0
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+@pytest.mark.parametrize("share", [1, 5, 1000])
+def test_spread_join_is_a_join(spark, monkeypatch, how, share):
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    rng = random.Random(share)
+    keys = [rng.choice([1, 1, 1, 2, 3, *range(10, 40), None]) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(keys)), "id long, key long")
+    groups = spark.createDataFrame([(k, keys.count(k), f"v{k}") for k in {*keys, 77} - {None} if k % 2], "key long, n long, value string")
+    got = sorted(map(tuple, common.spread_join(rows, groups, ["key"], ["id"], how=how).collect()))
+    want = [(i, k, f"v{k}" if k is not None and k % 2 else None) for i, k in enumerate(keys)]
+    assert got == [r for r in want if how == "left" or r[2]]
