@@ -19,9 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, new_path, save
+from ..plans.lineage import new_path
+from .common import HOT_SHARE, binary, save
 
 CHUNK = 1 << 18
+#: Payload bytes that a batch of chunks holds at most (or one chunk).
+BATCH = 4 << 20
 VERSION = b"WARC/1.1"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -46,8 +49,17 @@ def _chunks(size: int, with_data: bool):
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             texts = binary(batch.column(2))
+            source: list[int] = []
             out: list[list] = [[] for _ in range(7 + with_data)]
-            source = []
+            held = 0
+
+            def flush():
+                rows = pa.array(source, pa.int64())
+                types = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+                columns = [pa.array(v, t) for v, t in zip(out, types)]  # noqa: B905  data may be left out
+                names = ["row", "chunk", "last", "size", "whole", "bytes", "digest", "data"][: len(columns)]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *columns], names=["page_id", "url", *names])
+
             for k in range(len(texts)):
                 view = memoryview(texts[k].as_buffer())
                 running, digests = hashlib.sha1(), []
@@ -56,17 +68,18 @@ def _chunks(size: int, with_data: bool):
                     running.update(view[at : at + size])
                     digests.append(running.digest())
                 for n, at in enumerate(places):
-                    source.append(k)
                     part = view[at : at + size]
+                    if with_data and source and held + len(part) > BATCH:
+                        yield flush()
+                        source, out, held = [], [[] for _ in out], 0
+                    source.append(k)
                     values = (row, n, at + size >= len(view), len(view), digests[-1], at + len(part), digests[n], part)
                     for column, value in zip(out, values):  # noqa: B905  data may be left out
                         column.append(value)
+                    held += len(part)
                 row += 1
-            rows = pa.array(source, pa.int64())
-            types = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
-            columns = [pa.array(v, t) for v, t in zip(out, types)]  # noqa: B905
-            names = ["row", "chunk", "last", "size", "whole", "bytes", "digest", "data"][: len(columns)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *columns], names=["page_id", "url", *names])
+            if source:
+                yield flush()
 
     return run
 
@@ -132,9 +145,10 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, chunk_by
 
     Of records with equal payloads of at least ``least_bytes`` bytes the one with the smallest
     ``page_id`` is a response and the others are revisits of it; smaller payloads are all responses.
-    A first pass keeps digests only; they are grouped with partial aggregation and joined to the
-    chunks. Chunks of responses, and one empty chunk of each revisit, then move once, by record, and
-    are streamed to the files in chunk order.
+    A first pass keeps digests only; they are grouped with partial aggregation. Payloads that one in
+    ``HOT_SHARE`` records or more have are known to every task, at most ``HOT_SHARE`` of them, and
+    their revisits lose the payload before anything moves. Then chunks move once, to the digests
+    they are joined with, and are streamed to the files by record in chunk order.
 
     A null payload is empty. A page with a null id is a response if no page with an id has its
     payload, else a revisit. Repeated rows are records of their own; if theirs is the smallest id,
@@ -142,16 +156,23 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, chunk_by
     tasks that ended well. Empty in, no file. Other columns are not read.
     """
     heads = chunk_table(pages, chunk_bytes, with_data=False).where("last").select("page_id", F.col("bytes").alias("size"), F.col("digest").alias("whole"))
-    shared = heads.groupBy("whole", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = shared.where((F.col("n") > 1) & (F.col("size") >= least_bytes) & F.col("first").isNotNull()).drop("n")
-    chunks = chunk_table(pages, chunk_bytes).join(shared, ["whole", "size"], "left")
-    chunks = chunks.withColumn("first", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")))
+    counted = save(heads.groupBy("whole", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")), "payloads")
+    shared = counted.where((F.col("n") > 1) & (F.col("size") >= least_bytes) & F.col("first").isNotNull())
+    most = max(2, (counted.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    hot = shared.where(F.col("n") >= most).select("whole", "size", F.col("first").alias("hot"))
+    first = lambda c: F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col(c)), F.col(c))
+    chunks = chunk_table(pages, chunk_bytes).join(F.broadcast(hot), ["whole", "size"], "left").withColumn("known", F.col("hot").isNotNull()).withColumn("hot", first("hot"))
+    chunks = chunks.where("hot is null or chunk = 0").withColumn("data", F.when(F.col("hot").isNull(), F.col("data")))
+    # Chunks move once, by payload; those that are decided by their own record, so that no payload gathers in one task.
+    chunks = chunks.withColumn("key", F.when(F.col("known"), F.unhex(F.hex("row"))).otherwise(F.col("whole")))
+    rest = shared.where(F.col("n") < most).select(F.col("whole").alias("key"), "size", "first").hint("shuffle_hash")
+    chunks = chunks.join(rest, ["key", "size"], "left").withColumn("first", F.coalesce("hot", first("first")))
     chunks = chunks.where("first is null or chunk = 0").select(
         "row", "page_id", "url", "chunk", "size", "whole", "first",
         F.when(F.col("first").isNull(), F.col("data")).alias("data"), (F.col("last") | F.col("first").isNotNull()).alias("final"),
     )
     date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    ordered = chunks.repartition("row").sortWithinPartitions("row", "chunk")
+    ordered = chunks.sortWithinPartitions("row", "chunk")
     return save(ordered.mapInArrow(_write(folder, date), "file string, records long"), "manifest")
 
 
@@ -234,10 +255,12 @@ def _read(folder: str):
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """Read the files of a manifest back: a row per record, with digests taken from the payloads as they stream by.
 
-    Raises if a payload differs from its digest or a file from its manifest row.
+    A task reads one file or a few. Raises if a payload differs from its digest or a file from its
+    manifest row.
     """
+    tasks = max(2 * manifest.count(), 2)
     fields = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
-    return manifest.select("file", "records").repartition("file").mapInArrow(_read(folder), fields)
+    return manifest.select("file", "records").repartition(tasks, "file").mapInArrow(_read(folder), fields)
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0, chunk_bytes: int = CHUNK, folder: str | None = None) -> DataFrame:
