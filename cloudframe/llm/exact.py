@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import save, spread_join
+
+#: Buckets in which surviving groups are marked: the table of them that every task gets has no more rows.
+BUCKETS = 1 << 18
+
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 128) -> DataFrame:
     """Mark all but one row of equal texts; returns the rows of ``docs`` with three more columns.
@@ -12,39 +17,35 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``keep_id`` is the largest id among equal texts, ``group_size`` their number and ``kept`` is
     true for the row that stays. Texts are compared unchanged.
 
-    Rows are grouped by byte length, then by a hash of their first ``prefix`` characters; only rows
-    that share both with another are hashed in full (SHA-256). The groups are counted with partial
-    aggregation and joined back, so a text that a third of all rows hold neither meets in one task
-    (skewed joins are split) nor is collected.
+    A first scan takes byte lengths and hashes of the first ``prefix`` characters; lengths are split
+    by prefix before anything moves, so no length gathers in one task. Groups of two or more survive
+    and are marked in ``BUCKETS`` buckets that every task knows. A second scan hashes only texts of
+    marked buckets in full (SHA-256) and counts them with partial aggregation; some 60 bytes a row
+    move. The counts are joined back to the rows: hashes that one row in a thousand has are sent to
+    the rows, so a text that a third of all rows hold meets in no task.
 
     A null text counts as empty; empty texts equal each other. A null id is never the largest
     unless all ids of the group are null; then every row of the group stays, with a null
     ``keep_id``. Repeated rows with the same id and text all stay if theirs is the largest id.
-    An empty table gives an empty one. Other columns pass unchanged; names that begin with
-    ``__cf_`` are reserved.
+    An empty table gives an empty one. Other columns pass unchanged, those named like a new one as
+    ``<name>_in``; names that begin with ``__cf_`` are reserved.
     """
     for name in ("keep_id", "group_size", "kept"):
         if name in docs.columns and name not in (id_col, text_col):
             docs = docs.withColumnRenamed(name, f"{name}_in")
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.withColumns({"__cf_len": F.octet_length(text), "__cf_head": F.xxhash64(F.substring(text, 1, prefix))})
-    lengths = base.groupBy("__cf_len").count().where("count > 1").select("__cf_len")
-    shared = (
-        base.select("__cf_len", "__cf_head").join(lengths, "__cf_len", "left_semi")
-        .groupBy("__cf_len", "__cf_head").count().where("count > 1")
-        .select("__cf_len", "__cf_head", F.lit(True).alias("__cf_survives"))
-    )
-    # Rows that are alone get a key of their own length and prefix: no null key gathers them.
-    full = F.when(F.col("__cf_survives"), F.sha2(text, 256)).otherwise(F.concat_ws(":", "__cf_len", "__cf_head"))
-    marked = base.join(shared, ["__cf_len", "__cf_head"], "left").withColumn("__cf_key", full)
-    groups = (
-        marked.where("__cf_survives").groupBy("__cf_key")
-        .agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    )
-    out = marked.join(groups, "__cf_key", "left")
+    base = base.withColumn("__cf_bucket", F.pmod(F.xxhash64("__cf_len", "__cf_head"), F.lit(BUCKETS)))
+    survivors = base.groupBy("__cf_len", "__cf_head", "__cf_bucket").count().where("count > 1")
+    marks = save(survivors.select("__cf_bucket").distinct().withColumn("__cf_marked", F.lit(True)), "marks")
+    marked = base.join(F.broadcast(marks), "__cf_bucket", "left").withColumn("__cf_key", F.when(F.col("__cf_marked"), F.unhex(F.sha2(text, 256))))
+    groups = marked.where("__cf_marked").groupBy("__cf_key").agg(F.max(id_col).alias("__cf_keep"), F.count(F.lit(1)).alias("__cf_n"))
+    groups = save(groups.where("__cf_n > 1").withColumn("__cf_size", F.col("__cf_n")), "groups")
+    out = spread_join(marked, groups, ["__cf_key"], ["__cf_len", "__cf_head", id_col], "__cf_n")
+    alone = F.col("__cf_size").isNull()
     return out.select(
         *(F.col(c) for c in docs.columns),
-        F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.when(F.col("group_size").isNull(), True).otherwise(F.col(id_col).eqNullSafe(F.col("keep_id"))).alias("kept"),
+        F.when(alone, F.col(id_col)).otherwise(F.col("__cf_keep")).alias("keep_id"),
+        F.coalesce("__cf_size", F.lit(1)).cast("long").alias("group_size"),
+        F.when(alone, True).otherwise(F.col(id_col).eqNullSafe(F.col("__cf_keep"))).alias("kept"),
     )
