@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, save
+from .common import components, forest, save, spread_join
 from .fmindex import mix
 
-#: Cells and blocks hold at most about so many vectors; larger ones are dealt out as pairs of blocks.
-BLOCK = 1024
+#: Blocks hold at most about so many vectors; larger cells and components are dealt out as pairs of blocks.
+BLOCK = 8192
 
 
 @lru_cache(1)
@@ -109,12 +109,17 @@ def _clean(kind: str):
 
     def run(batches):
         for batch in batches:
-            out = []
-            for v in batch.column(1).to_pylist():
-                good = bool(v) and None not in v
-                a = np.array(v, kind) + np.zeros(1, kind) if good else None  # minus zero becomes zero
-                out.append(a.tobytes() if good and np.isfinite(a).all() and a.any() else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "vec"])
+            column = batch.column(1)
+            values = column.values.to_numpy(zero_copy_only=False)  # null components become NaN
+            at = column.offsets.to_numpy().astype(np.int64)
+            before = lambda hit: np.concatenate([[0], np.cumsum(hit)])[at]
+            bad, used = np.diff(before(~np.isfinite(values))), np.diff(before(values != 0))
+            good = column.is_valid().to_numpy(zero_copy_only=False) & (bad == 0) & (used > 0)
+            with np.errstate(invalid="ignore", over="ignore"):
+                stored = (values + 0.0).astype(kind)  # minus zero becomes zero
+            offsets = pa.py_buffer((at * np.dtype(kind).itemsize).astype(np.int32))
+            valid = pa.py_buffer(np.packbits(good, bitorder="little"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(column), [valid, offsets, pa.py_buffer(stored)])], names=["vec_id", "vec"])
 
     return run
 
@@ -142,7 +147,9 @@ def _cells(kind: str, tables: int, scale: float, probes: int, seed: int):
 
 
 def _blocks(n, block: int):
-    return F.ceil(n / F.lit(block)).cast("int")
+    """Blocks of a group of n: of at most ``block`` members, and up to sixteen, of a 128th of a block or more, so that many tasks share a group."""
+    small = F.greatest(F.lit(1), F.least(F.lit(16), F.floor(n / F.lit(max(block // 128, 1)))))
+    return F.greatest(F.ceil(n / F.lit(block)), small).cast("int")
 
 
 def _pairs_of_blocks(df: DataFrame, group: str, member: str, sizes: DataFrame, block: int) -> DataFrame:
@@ -157,54 +164,97 @@ def _pairs_of_blocks(df: DataFrame, group: str, member: str, sizes: DataFrame, b
     return df.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
 
 
+def _by_group(name: str, handle):
+    """Run ``handle`` on the rows of whole groups ``(name, bi, bj)`` of one vector length, which arrive sorted.
+
+    Groups are bounded by two blocks; a task holds a batch and the group that it ends in.
+    """
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            key = np.stack([held.column(c).to_numpy().astype(np.int64) for c in (name, "bi", "bj")])
+            change = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            if len(change):
+                yield from parts(held.slice(0, int(change[-1])), key[:, : change[-1]])
+                held = held.slice(int(change[-1]))
+        if held is not None and held.num_rows:
+            key = np.stack([held.column(c).to_numpy().astype(np.int64) for c in (name, "bi", "bj")])
+            yield from parts(held, key)
+
+    def parts(table, key):
+        vectors = table.column("vec").combine_chunks()
+        vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
+        size = np.diff(np.frombuffer(vectors.buffers()[1], np.int32)[vectors.offset : vectors.offset + len(vectors) + 1])
+        for n in np.unique(size).tolist():
+            rows = np.flatnonzero(size == n)
+            k = key[:, rows]
+            starts = np.flatnonzero(np.concatenate([[True], (k[:, 1:] != k[:, :-1]).any(axis=0)]))
+            yield handle(table.take(pa.array(rows)), starts, np.diff(np.append(starts, len(rows))))
+
+    return run
+
+
+def _near_pairs(unit: np.ndarray, starts: np.ndarray, size: np.ndarray, own: np.ndarray, bi: np.ndarray, bj: np.ndarray, threshold: float):
+    """Pairs of rows of a group, from either of its blocks, with a cosine of at least the threshold: yields (x, y) in pieces.
+
+    Small groups are compared all at once, rows a step apart at a time; larger ones block by block.
+    """
+    small = size <= 32
+    where = np.arange(len(unit)) - np.repeat(starts, size)
+    left = np.where(np.repeat(small, size), np.repeat(size, size) - where, 0)
+    for step in range(1, int(size[small].max(initial=1))):
+        x = np.flatnonzero(left > step)
+        for i in range(0, len(x), 1 << 15):
+            a = x[i : i + (1 << 15)]
+            b = a + step
+            a, b = (v[(own[a] != own[b]) | (bi[a] == bj[a])] for v in (a, b))
+            near = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
+            yield a[near], b[near]
+    for s, n in zip(starts[~small].tolist(), size[~small].tolist(), strict=True):
+        rows = np.arange(s, s + n)
+        first, second = rows[own[rows] == bi[s]], rows[own[rows] == bj[s]]
+        for i in range(0, len(first), 256):
+            a = first[i : i + 256]
+            x, y = np.nonzero(unit[a] @ unit[second].T >= threshold)
+            x, y = a[x], second[y]
+            keep = x < y if bi[s] == bj[s] else slice(None)
+            yield x[keep], y[keep]
+
+
 def _link(threshold: float, kind: str):
-    """Tree links within one cell or pair of its blocks: homes against everyone who probes."""
-
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        first = np.unique(ids, return_index=True)[1]
-        homes = set(ids[table.column("home").to_numpy(zero_copy_only=False)].tolist())
-        table = table.take(pa.array(first))
-        ids, own = ids[first], table.column("own").to_numpy()
+    """Tree links of whole cells or pairs of their blocks: homes against everyone who probes."""
+
+    def handle(table, starts, size):
+        ids, own, bi, bj, home = (table.column(c).to_numpy() for c in ("id", "own", "bi", "bj", "home"))
         unit = unit_vectors(table.column("vec").to_pylist(), kind)
-        bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
-        home = np.isin(ids, np.fromiter(homes, np.int64, len(homes)))
-        a = np.flatnonzero(own == bi)
-        b = np.flatnonzero(own == bj)
         found = [(np.zeros(0, np.int64),) * 2]
-        for i in range(0, len(a), BLOCK):
-            rows = a[i : i + BLOCK]
-            near = unit[rows] @ unit[b].T >= threshold
-            near &= home[rows][:, None] | home[b][None, :]
-            x, y = np.nonzero(near)
-            found.append(forest(ids[rows][x], ids[b][y]))
+        for x, y in _near_pairs(unit, starts, size, own, bi, bj, threshold):
+            good = (home[x] | home[y]) & (ids[x] != ids[y])
+            found.append(forest(ids[x[good]], ids[y[good]]))
         x, y = (np.concatenate(c) for c in zip(*found, strict=True))
         if len(x):
             x, y = forest(x, y)
-        return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    return run
+    return _by_group("cell", handle)
 
 
 def _count(threshold: float, kind: str):
     """Links of each vector with those of the other block of its component, copies counted."""
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, own, copies = (table.column(c).to_numpy() for c in ("id", "own", "copies"))
+    def handle(table, starts, size):
+        ids, own, bi, bj, copies = (table.column(c).to_numpy() for c in ("id", "own", "bi", "bj", "copies"))
         unit = unit_vectors(table.column("vec").to_pylist(), kind)
-        bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
-        a, b = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
         n = np.zeros(len(ids), np.int64)
-        for i in range(0, len(a), BLOCK):
-            rows = a[i : i + BLOCK]
-            near = unit[rows] @ unit[b].T >= threshold
-            near &= ids[rows][:, None] != ids[b][None, :]
-            n[rows] += near @ copies[b]
-            if bi != bj:
-                n[b] += copies[rows] @ near
-        return pa.table({"id": pa.array(ids, pa.int64()), "n": pa.array(n)})
+        for x, y in _near_pairs(unit, starts, size, own, bi, bj, threshold):
+            np.add.at(n, x, copies[y])
+            np.add.at(n, y, copies[x])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n)], names=["id", "n"])
 
-    return run
+    return _by_group("component_id", handle)
 
 
 def embedding_dedup(
@@ -218,9 +268,10 @@ def embedding_dedup(
     links that a table of the hash shows; a link it misses is missed only if no chain of shown links
     joins its ends. None below the threshold is ever found.
 
-    Equal vectors are compared once and counted. Cells move by key, without being collected; a cell
-    or component of more than ``block`` vectors is dealt out as pairs of blocks, so every task is
-    bounded, and cells hand on a tree of links, not all of them.
+    Equal vectors are compared once and counted. Cells move by key, without being collected; large
+    cells and components are dealt out as pairs of blocks of at most ``block`` vectors, so every
+    task is bounded, and cells hand on a tree of links, not all of them. Counting the links of a
+    component of n vectors compares all its pairs and moves each vector n / ``block`` times.
 
     Null, zero and empty vectors and those with a null or non-finite component link with nothing,
     nor do vectors of different lengths. Rows with a null id are returned unlinked. Repeated rows
@@ -231,22 +282,23 @@ def embedding_dedup(
     rows = save(source.mapInArrow(_clean(kind), "vec_id long, vec binary"), "vectors")
     good = rows.where("vec is not null and vec_id is not null")
     # A vector stands for its copies; its id is the smallest of theirs.
-    distinct = save(good.groupBy("vec").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies")), "distinct")
+    distinct = save(good.groupBy("vec").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies"), F.count(F.lit(1)).alias("rows")), "distinct")
     cells = save(distinct.select("id", "vec").mapInArrow(_cells(kind, tables, scale, probes, seed), "cell long, id long, home boolean"), "cells")
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("used")).where("used and n > 1")
     dealt = _pairs_of_blocks(cells, "cell", "id", sizes, block).join(distinct.select("id", "vec"), "id")
-    edges = dealt.select("cell", "bi", "bj", "own", "id", "home", "vec").groupBy("cell", "bi", "bj").applyInArrow(_link(threshold, kind), "a long, b long")
+    grouped = lambda df, name: df.repartition(name, "bi", "bj").sortWithinPartitions(name, "bi", "bj")
+    edges = grouped(dealt.select("cell", "bi", "bj", "own", "id", "home", "vec"), "cell").mapInArrow(_link(threshold, kind), "a long, b long")
     labels = save(components(edges).select(F.col("node").alias("id"), F.col("component").alias("component_id")), "labels")
 
     members = distinct.join(labels, "id").select("id", "vec", "copies", "component_id")
     sizes = labels.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
     dealt = _pairs_of_blocks(members, "component_id", "id", sizes, block)
-    counted = dealt.groupBy("component_id", "bi", "bj").applyInArrow(_count(threshold, kind), "id long, n long")
+    counted = grouped(dealt.select("component_id", "bi", "bj", "own", "id", "copies", "vec"), "component_id").mapInArrow(_count(threshold, kind), "id long, n long")
     links = counted.groupBy("id").agg(F.sum("n").alias("n"))
-    known = distinct.join(labels, "id", "left").join(links, "id", "left").select(
-        "vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
-    )
-    linked = good.join(known, "vec").select(F.col("vec_id").alias(id_col), "n_links", "component_id")
+    known = save(distinct.join(labels, "id", "left").join(links, "id", "left").select(
+        "vec", "rows", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
+    ), "known")
+    linked = spread_join(good, known, ["vec"], ["vec_id"], "rows").select(F.col("vec_id").alias(id_col), "n_links", "component_id")
     alone = rows.where("vec is null or vec_id is null").select(F.col("vec_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
