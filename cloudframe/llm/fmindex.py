@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import SPACES, binary, save
+from .common import SPACES, binary, save, spread_join
 
 K = 12
 #: Words in a shard's index after which the next minimizer starts a new one.
@@ -305,7 +306,7 @@ def _search(window: int):
     def flush(rows):
         words, n, nw = [r[4] for r in rows], np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
         mask = repeated_windows(words, n, nw, window)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(mask)], names=["m", "sh", "mask"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(n, pa.int64()), pa.array(mask)], names=["m", "sh", "n", "mask"])
 
     def run(batches):
         rows, size, key = [], 0, None
@@ -362,7 +363,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     otherwise.
 
     Rows move by content: segments by minimizer, distinct segments to shards, results back by
-    segment and row. A minimizer with more than ``hot_segments`` distinct segments is routed window
+    segment and row; minimizers, windows and segments that one row in a thousand has are sent to the
+    rows instead. A minimizer with more than ``hot_segments`` distinct segments is routed window
     by window, equal windows being added up first, so no shard grows with a frequent passage.
 
     A null text has no words. Rows are told apart by id and text; repeated rows repeat each other's
@@ -376,12 +378,13 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     k2 = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text, F.lit(1))).alias("k2")
     keyed = docs.select(k1, k2, text.alias("__text"))
     segments = save(keyed.mapInArrow(_segments(window), "m long, sh long, k1 long, k2 long, start int, nw int"), "segments")
-    again = segments.groupBy("m").count().where("count > 1").select("m")
-    found = save(segments.join(again, "m"), "repeated")
+    again = save(segments.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minimizers")
+    found = save(spread_join(segments, again, ["m"], [], how="inner"), "repeated")
 
-    distinct = found.groupBy("m", "sh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "start", "nw")).alias("r"))
-    hot = distinct.groupBy("m").count().where(F.col("count") > hot_segments).select("m", F.lit(True).alias("hot"))
-    chosen = distinct.join(hot, "m", "left").select("r.*", "m", "sh", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
+    distinct = save(found.groupBy("m", "sh").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "start", "nw")).alias("r")), "distinct")
+    hot = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_segments).withColumn("hot", F.lit(True))
+    chosen = spread_join(distinct, save(hot, "hot"), ["m"], ["m", "sh"])
+    chosen = chosen.select("r.*", "m", "sh", F.col("copies").alias("n"), F.coalesce("hot", F.lit(False)).alias("hot"))
     by_row = chosen.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "nw", "m", "sh", "n", "hot")).alias("listed"))
     once = keyed.join(by_row, ["k1", "k2"]).select("__text", "listed", "k1", "k2")
     units = save(once.mapInArrow(_units(window), UNIT), "units")
@@ -392,14 +395,15 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     hot_keys = hot_units.groupBy("key").agg(F.sum("n").alias("n"), F.min("words").alias("words"))
     hot_keys = hot_keys.select("key", F.col("key").alias("m"), F.lit(None).cast("long").alias("sh"), F.lit(1).alias("nw"), "n", "words")
     sharded = plain.unionByName(hot_keys).repartition("key").sortWithinPartitions("key")
-    masks = save(sharded.mapInArrow(_search(window), "m long, sh long, mask long").where("mask <> 0"), "masks")
-    back = hot_units.join(masks.where("sh is null").select(F.col("m").alias("key")), "key")
-    back = back.groupBy("m", "sh").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
-    masks = masks.where("sh is not null").unionByName(back)
+    masks = save(sharded.mapInArrow(_search(window), "m long, sh long, n long, mask long").where("mask <> 0"), "masks")
+    # A hot window is in n rows, so in no more of the hot units.
+    back = spread_join(hot_units.select("key", "m", "sh", "off", F.col("n").alias("copies")), masks.where("sh is null").select(F.col("m").alias("key"), "n"), ["key"], [], how="inner")
+    back = back.groupBy("m", "sh").agg(F.max("copies").alias("n"), F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
+    masks = save(masks.where("sh is not null").unionByName(back), "masks")
 
     # Repeated rows share their hits: each is kept once.
-    hits = found.join(masks, ["m", "sh"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "mask")).alias("hits"))
+    hits = spread_join(found, masks, ["m", "sh"], [], how="inner").groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "mask")).alias("hits"))
     rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "kept")]
     source = docs.select(*rest, text.alias("__text"), k1, k2).join(hits, ["k1", "k2"], "left").select(*rest, "__text", "hits")
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return source.mapInArrow(_remove(window, len(rest), with_text, None), f"{types}, n_words long, n_removed long, kept string")
+    made = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]
+    return source.mapInArrow(_remove(window, len(rest), with_text, None), StructType([*(docs.schema[c] for c in rest), *made]))
