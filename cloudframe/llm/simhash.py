@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import binary, components, save
+from .common import binary, components, save, spread_join
 
 #: Generator polynomial of the binary Golay code, and the radius within which it covers all words.
 GOLAY, LENGTH, RADIUS = 0xAE3, 23, 3
@@ -42,7 +43,11 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
 
 def fingerprint(text: bytes, words: int = 3) -> int:
     """Majority of each bit over the hashes of all word shingles (see ``simhash_dedup``)."""
-    hashes = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):
         part = hashes[i : i + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -56,7 +61,7 @@ def _fingerprints(words: int):
             texts = binary(batch.column(0))
             found = np.fromiter((fingerprint(t, words) for t in texts.to_pylist()), np.uint64, len(texts))
             rest = [batch.column(i) for i in range(1, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(found.view(np.int64))], names=[*batch.schema.names[1:], "fp"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(found.view(np.int64))], names=[*batch.schema.names[1:], "__fp"])
 
     return run
 
@@ -132,23 +137,22 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     clash with the new ones are replaced).
 
     Documents with equal fingerprints count once when fingerprints are compared; membership is
-    joined back. Null and empty texts and texts of white space have fingerprint zero and are linked
+    joined back, common fingerprints by broadcast. Null and empty texts and texts of white space have fingerprint zero and are linked
     like any other. A row with a null id takes part in no component but is returned with that of
     its fingerprint, null if no row with an id has it. Repeated rows are all returned. Empty in,
     empty out.
     """
-    rest = [c for c in docs.columns if c not in (text_col, "fp", "fingerprint", "component_id")] if keep_columns else [id_col]
+    rest = [c for c in docs.columns if c not in (text_col, "fingerprint", "component_id")] if keep_columns else [id_col]
     source = docs.select(F.col(text_col).alias("__text"), *([text_col] if keep_columns else []), *rest)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
-    rows = source.mapInArrow(_fingerprints(words), f"{fields}, fp long")
+    rows = source.mapInArrow(_fingerprints(words), StructType([*source.schema.fields[1:], StructField("__fp", LongType())]))
     rows = save(rows, "fingerprints")
-    first = save(rows.groupBy("fp").agg(F.min(id_col).cast("long").alias("first")), "distinct")
+    first = save(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(id_col).cast("long").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
     links = near_links(first, distance)
     by_a = first.select(F.col("fp").alias("a"), F.col("first").alias("ia"))
     by_b = first.select(F.col("fp").alias("b"), F.col("first").alias("ib"))
     edges = links.join(by_a, "a").join(by_b, "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
     labels = components(edges).withColumnRenamed("node", "first")
-    named = first.join(labels, "first", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    named = save(first.join(labels, "first", "left").select(F.col("fp").alias("__fp"), "n", F.coalesce("component", "first").alias("component_id")), "named")
+    hexed = F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint")
     out = [text_col, *rest] if keep_columns else rest
-    return rows.join(named, "fp").select(*out, hexed, "component_id")
+    return spread_join(rows, named, ["__fp"], [id_col]).select(*out, hexed, "component_id")
