@@ -11,14 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import binary
 
 #: Bytes a window, from one window to the next, a block, blocks a chunk and from one chunk to the next.
 WINDOW, STRIDE, BLOCK, CHUNK, HOP = 8, 4, 64, 4, 3
 DIM, FILTERS, HIDDEN = 8, 32, 16
-#: The driver fits on at most so many labelled documents of at most so many bytes each.
-SAMPLE_DOCS, SAMPLE_BYTES = 2400, 1 << 16
+#: The driver fits on at most so many labelled documents, whose texts have at most so many bytes in all.
+SAMPLE_DOCS, SAMPLE_BYTES = 2400, 1 << 23
 #: Bytes that are convolved at a time.
 PART = 1 << 18
 
@@ -165,16 +166,26 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int =
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most_docs: int, most_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of a bounded sample: the ``most_docs`` labelled ids with the smallest hashes, texts of at most ``most_bytes`` bytes.
+    """Texts and labels of a bounded sample: labelled ids in the order of their hashes, at most ``most_docs``, with texts of at most ``most_bytes`` bytes in all.
 
-    Ids are chosen among ``labels`` first, so that only the chosen texts move. Repeated label rows
-    count once, and of the rows of an id the smallest text is taken.
+    Ids are chosen among ``labels`` first; then only the sizes of their texts are asked for, and
+    texts are taken in order while they fit into what is left of the bytes, however long they are.
+    Repeated label rows count once, and of the rows of an id the smallest text is taken.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("__label")).distinct()
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col, "__label").limit(most_docs)
-    rows = docs.select(id_col, text_col).where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= most_bytes).join(F.broadcast(chosen), id_col)
+    chosen = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # at most most_docs rows
+    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
     rows = rows.groupBy(id_col, "__label").agg(F.min(text_col).alias("__text"))
-    rows = sorted(rows.select(id_col, "__text", "__label").collect(), key=lambda r: (r[0], r[2]))
+    sizes = rows.select(id_col, "__label", F.xxhash64(id_col).alias("h"), F.coalesce(F.octet_length("__text"), F.lit(0)).alias("bytes")).collect()
+    taken, left = [], most_bytes
+    for r in sorted(sizes, key=lambda r: (r.h, r[0], r[1])):
+        if r.bytes <= left:
+            taken.append((r[0], r[1]))
+            left -= r.bytes
+    taken = docs.sparkSession.createDataFrame(taken, chosen.schema)
+    rows = rows.join(F.broadcast(taken), [id_col, "__label"]).select(id_col, "__text", "__label").collect()
+    rows.sort(key=lambda r: (r[0], r[2]))
     return [(r[1] or "").encode("utf-8") for r in rows], np.array([r[2] for r in rows], np.int64)
 
 
@@ -210,6 +221,6 @@ def score_quality(docs: DataFrame, model: dict[str, np.ndarray], text_col: str =
     pass unchanged (a column named ``score`` is replaced). Empty in, empty out.
     """
     rest = [c for c in docs.columns if c != "score"]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
+    fields = StructType([*(docs.schema[c] for c in rest), StructField("score", DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*rest, F.col(text_col).alias("__text")).mapInArrow(_score(shared, len(rest)), f"{fields}, score double")
+    return docs.select(*rest, F.col(text_col).alias("__text")).mapInArrow(_score(shared, len(rest)), fields)

@@ -25,8 +25,8 @@ def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _held_out(modulus: int, remainder: int):
-    """Whether a document's labels may not be learned from."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == remainder
+    """Whether a document's labels may not be learned from; a document without an id has none and is not held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
 
 
 def _predicted(scored: DataFrame, held_out) -> DataFrame:

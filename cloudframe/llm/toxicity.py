@@ -1,10 +1,12 @@
 """Toxicity by weak supervision.
 
-Voters look at the words of a document: lexicon voters fire on a word or on words that begin alike,
-pattern voters on what the whole text looks like. A generative label model estimates how often each
-voter fires in either class and how far voters repeat each other, and gives every document of the
-training sample a posterior label. A linear classifier over word beginnings is trained on the
-posteriors; it alone scores documents.
+Voters look at a document: lexicon voters fire on a word (insults in four languages) or on words
+that begin alike, pattern voters on what the whole text looks like. A generative label model sees
+votes only: from how voters agree it estimates how often each fires in either class and how far
+voters repeat each other, and gives every document of the training sample a posterior label. A
+linear classifier over words and word beginnings is trained on the posteriors; it alone scores
+documents. Labels name the word beginnings that vote, since no lexicon of all languages exists, and
+the share of toxic documents; they enter neither the label model nor the classifier's targets.
 """
 
 from __future__ import annotations
@@ -13,21 +15,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .cnn import labelled_sample
 from .common import binary
 from .fmindex import mix
 
-# A general lexicon of insults in English, matched as whole words.
-INSULTS = "coward disgusting dumb filth filthy fool garbage hate horrible idiot idiots imbecile jerk kill loathsome loser losers moron morons pathetic pig rubbish scum shut stupid trash ugly vermin vile worthless".split()
-
-#: The driver fits on at most so many labelled documents of at most so many bytes each.
-SAMPLE_DOCS, SAMPLE_BYTES = 4000, 1 << 16
+# General lexica of insults in English, German, French and Spanish, matched as whole words.
+INSULTS = {
+    "en": "coward disgusting dumb filth filthy fool garbage hate horrible idiot idiots imbecile jerk kill loathsome loser losers moron morons pathetic pig rubbish scum shut stupid trash ugly vermin vile worthless",
+    "de": "abschaum blöd dreck dumm dummkopf ekelhaft feigling hass hasse idioten müll schwachkopf trottel verlierer versager wertlos widerlich",
+    "fr": "abruti bouffon connard crétin débile dégoûtant haine idiote imbécile lâche minable nul ordure pathétique pourriture raclure stupide",
+    "es": "asco asqueroso basura cobarde cretino escoria estúpido idiota imbécil inútil miserable odio patético perdedor repugnante tonto",
+}
+# Words that speak to somebody, by language.
+SECOND_PERSON = (b" you ", b" your ", b" du ", b" dich ", b" tu ", b" toi ", b" vous ", b" eres ", b" usted ")
+
+#: The driver fits on at most so many labelled documents, whose texts have at most so many bytes in all.
+SAMPLE_DOCS, SAMPLE_BYTES = 4000, 1 << 24
 PREFIXES = (3, 4, 5, 6, 7, 8)
 VOTERS, FEATURES = 200, 2000
-#: A word or beginning joins the lexicon if its documents are toxic so much oftener than others
+#: A word or beginning becomes a voter if its documents are toxic so much oftener than others
 #: (standard deviations: some 100,000 are tried) and with at least this precision.
-LEAST_Z, LEAST_PRECISION = 6.0, 0.85
+LEAST_Z, LEAST_PRECISION = 5.0, 0.8
+#: For the classifier's targets a silent voter counts less than one that fires: short documents give few voters a chance.
+SILENCE = 0.25
 
 _RNG = np.random.default_rng(31)
 _FACTOR = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,41 +95,91 @@ def document_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def patterns(texts: list[bytes]) -> np.ndarray:
-    """Pattern voters, a column each: shouting, exclamation marks, no letters, second person."""
-    out = np.zeros((len(texts), 4), bool)
+    """Pattern voters, a column each: shouting, exclamation marks, runs of them, no letters, and somebody spoken to twice or more."""
+    out = np.zeros((len(texts), 5), bool)
     for k, t in enumerate(texts):
         capitals = sum(map(t.count, (b"A", b"E", b"I", b"O", b"N", b"T")))
         small = sum(map(t.count, (b"a", b"e", b"i", b"o", b"n", b"t")))
-        out[k] = (capitals > small, t.count(b"!") * 40 > len(t) + 40, capitals + small == 0, b" you " in t.lower())
+        low = t.lower()
+        out[k] = (capitals > small, t.count(b"!") * 40 > len(t) + 40, b"!!" in t or b"?!" in t, capitals + small == 0, sum(map(low.count, SECOND_PERSON)) >= 2)
     return out
 
 
 class LabelModel:
-    """Class-conditional firing rates of voters, with voters that repeat each other sharing one weight."""
+    """A generative model of votes: firing rates of every voter in each class, with voters that repeat each other sharing one weight.
+
+    Fitted to votes alone by expectation and maximization. Voters that fire together form families
+    (such as the insults of one language), and class 1 is a mixture of a part for each family, so
+    that one family's silence does not speak against another's vote. The start is that documents
+    belong to the part whose family agrees on them. ``prior`` is the share of class 1.
+    """
 
-    def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 15):
+    def __init__(self, votes: np.ndarray, prior: float, rounds: int = 40):
         votes = votes.astype(float)
-        posterior = np.clip(start.astype(float), 0.02, 0.98)
+        n = len(votes)
+        self.prior = float(np.clip(prior, 1 / (n + 2), 1 - 1 / (n + 2)))
+        rest = votes - votes.mean(axis=0)
+        single = 1 / self._alike(rest, 0.9).sum(axis=1)  # voters that copy each other count once
+        family = self._families(self._alike(rest, 0.15))
+        large = [f for f in np.unique(family) if single[family == f].sum() >= 1.5] or np.unique(family).tolist()
+        agreed = np.stack([votes[:, family == f] @ single[family == f] for f in large])
+        agreed = agreed[np.unique(agreed.argmax(axis=0))]  # families that lead somewhere
+        # shares[0] is class 0; a part of class 1 begins with the documents that its family votes for
+        shares = np.zeros((len(agreed) + 1, n))
+        shares[1 + agreed.argmax(axis=0), np.arange(n)] = np.where(agreed.max(axis=0) >= 0.5, 0.9, 0.02)
+        shares[0] = 1 - shares.sum(axis=0)
         for _ in range(rounds):
-            ones = posterior.sum()
-            zeros = len(posterior) - ones
-            self.prior = (ones + 1) / (len(posterior) + 2)
-            self.fires = np.stack([((1 - posterior) @ votes + 0.1) / (zeros + 1), (posterior @ votes + 0.1) / (ones + 1)])
-            expected = np.outer(1 - posterior, self.fires[0]) + np.outer(posterior, self.fires[1])
-            rest = votes - expected
-            scale = np.sqrt((rest * rest).sum(axis=0)) + 1e-9
-            self.correlation = np.abs(rest.T @ rest / np.outer(scale, scale))
-            alike = np.where(self.correlation > 0.2, self.correlation, 0)
-            np.fill_diagonal(alike, 1)
-            self.weight = 1 / alike.sum(axis=1)
-            posterior = (self.posterior(votes) + start) / 2  # labels hold the classes in place
-
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        votes = votes.astype(float)
-        fired = np.log(self.fires[1] / self.fires[0]) * self.weight
-        silent = np.log((1 - self.fires[1]) / (1 - self.fires[0])) * self.weight
-        logit = np.log(self.prior / (1 - self.prior)) + votes @ fired + (1 - votes) @ silent
-        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+            size = shares.sum(axis=1)
+            self.rates = (shares @ votes + 0.05) / (size + 1)[:, None]
+            self.rates[1:] = np.maximum(self.rates[1:], self.rates[0])  # voters vote for class 1 or not at all
+            self.mix = size[1:] / size[1:].sum()
+            alike = self._alike(votes - shares.T @ self.rates, 0.2)
+            self.correlation, self.weight = alike, 1 / alike.sum(axis=1)
+            before, shares = shares, self._shares(votes)
+            if np.abs(shares - before).max(initial=0) < 1e-4:
+                break
+        self.fires = np.stack([self.rates[0], self.mix @ self.rates[1:]])
+        self.accuracy = self.prior * self.fires[1] / (self.prior * self.fires[1] + (1 - self.prior) * self.fires[0])
+
+    @staticmethod
+    def _alike(rest: np.ndarray, least: float) -> np.ndarray:
+        """Correlations of residuals, those below ``least`` as none."""
+        scale = np.sqrt((rest * rest).sum(axis=0)) + 1e-9
+        c = np.abs(rest.T @ rest / np.outer(scale, scale))
+        c = np.where(c > least, c, 0)
+        np.fill_diagonal(c, 1)
+        return c
+
+    @staticmethod
+    def _families(alike: np.ndarray) -> np.ndarray:
+        """Voters joined by chains of correlations, named by their first voter."""
+        name = np.arange(len(alike))
+        while True:
+            new = np.where(alike > 0, name[None, :], len(alike)).min(axis=1)
+            if np.array_equal(new, name):
+                return name
+            name = new
+
+    def _shares(self, votes: np.ndarray, silence: float = 1.0) -> np.ndarray:
+        fired, silent = np.log(self.rates) * self.weight, silence * np.log(1 - self.rates) * self.weight
+        logs = fired @ votes.T + silent @ (1 - votes).T
+        logs += np.log(np.concatenate([[1 - self.prior], self.prior * self.mix]) + 1e-12)[:, None]
+        odds = np.exp(logs - logs.max(axis=0))
+        return odds / odds.sum(axis=0)
+
+    def posterior(self, votes: np.ndarray, silence: float = 1.0) -> np.ndarray:
+        """Probability of class 1 for each row of votes; ``silence`` is what a silent voter counts."""
+        return 1 - self._shares(votes.astype(float), silence)[0]
+
+
+def nominate(doc: np.ndarray, index: np.ndarray, count: np.ndarray, names: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Features that vote, surest first: those of the lexica that occur, and words and beginnings that labels name."""
+    share = labels.mean()
+    hits = np.bincount(index, labels[doc], len(names))
+    z = (hits - count * share) / np.sqrt(count * share * (1 - share))
+    fixed = np.isin(names, np.array([_word_hash(w) for words in INSULTS.values() for w in words.split()], np.uint64)) & (z > 0)
+    good = np.flatnonzero(fixed | ((z >= LEAST_Z) & (hits >= LEAST_PRECISION * count)))
+    return good[np.argsort(-z[good], kind="stable")][:FEATURES]
 
 
 def train(texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
@@ -129,13 +191,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
         return empty
     doc, feature = document_features(texts)
     names, index, count = np.unique(feature, return_inverse=True, return_counts=True)
-    hits = np.bincount(index, labels[doc], len(names))
-    share = ones / n
-    z = (hits - count * share) / np.sqrt(count * share * (1 - share))
-    lexicon = np.isin(names, np.array([_word_hash(w) for w in INSULTS], np.uint64))
-    sure = (z >= LEAST_Z) & (hits >= LEAST_PRECISION * count)
-    good = np.flatnonzero(sure | (lexicon & (hits >= 0.5 * count)))
-    good = good[np.argsort(-z[good], kind="stable")][:FEATURES]
+    good = nominate(doc, index, count, names, labels)
     if not len(good):
         return empty | {"bias": np.array([np.log(ones / (n - ones))])}
     place = np.full(len(names), -1)
@@ -144,14 +200,12 @@ def train(texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
     rows, columns = doc[used], place[index[used]]
 
     voters = min(VOTERS, len(good))
-    fire = np.zeros((n, voters + 2), bool)
+    fire = np.zeros((n, voters + 1), bool)
     few = columns < voters
     fire[rows[few], columns[few]] = True
-    hit = np.bincount(rows, minlength=n)
-    fire[:, voters] = hit == 0
-    fire[:, voters + 1] = hit >= 2
+    fire[np.bincount(rows[~few], minlength=n) > 0, voters] = True  # the rest of the lexicon is one voter
     votes = np.concatenate([fire, patterns(texts)], axis=1)
-    target = LabelModel(votes, labels).posterior(votes)
+    target = LabelModel(votes, ones / n).posterior(votes, SILENCE)
 
     weight, bias = np.zeros(len(good)), np.log(target.mean() / (1 - target.mean()))
     m1, m2 = np.zeros(len(good) + 1), np.zeros(len(good) + 1)
@@ -235,6 +289,6 @@ def score_toxicity(docs: DataFrame, model: dict[str, np.ndarray], text_col: str
     named ``score`` is replaced). Empty in, empty out.
     """
     rest = [c for c in docs.columns if c != "score"]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
+    fields = StructType([*(docs.schema[c] for c in rest), StructField("score", DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*rest, F.col(text_col).alias("__text")).mapInArrow(_score(shared, len(rest)), f"{fields}, score double")
+    return docs.select(*rest, F.col(text_col).alias("__text")).mapInArrow(_score(shared, len(rest)), fields)

@@ -1,11 +1,12 @@
 """The classifiers: held-out accuracy, edge cases, and a numerical check of the gradients."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
 
-from cloudframe.llm import cnn, toxicity
+from cloudframe.llm import cnn, queries, toxicity
 
 
 def gradient_error(name):
@@ -82,14 +83,119 @@ def test_toxicity_accuracy_and_whole_texts():
     assert np.allclose(np.concatenate([classifier.scores([t]) for t in raw[:60]]), classifier.scores(raw[:60]))
 
 
-def test_correlated_voters_share_a_weight():
+def test_label_model_recovers_planted_voters_without_labels():
     rng = np.random.default_rng(1)
-    y = rng.random(3000) < 0.3
-    vote = lambda: np.where(y, rng.random(3000) < 0.7, rng.random(3000) < 0.1)
-    a, b, c = vote(), vote(), vote()
-    model = toxicity.LabelModel(np.stack([a, a, a, a, b, c], axis=1), y)
-    assert model.weight[:4].max() < 0.3 and model.weight[4:].min() > 0.7
-    assert np.allclose(model.fires[1], 0.7, atol=0.08) and np.allclose(model.fires[0], 0.1, atol=0.05)
+    y = rng.random(6000) < 0.3
+    hit, false = np.array([0.7, 0.6, 0.5, 0.8]), np.array([0.1, 0.05, 0.02, 0.15])
+    vote = [np.where(y, rng.random(6000) < h, rng.random(6000) < f) for h, f in zip(hit, false, strict=True)]
+    noise = rng.random(6000) < 0.25
+    model = toxicity.LabelModel(np.stack([vote[0], vote[0], vote[0], *vote[1:], noise], axis=1), 0.3)
+    assert np.allclose(model.fires[1][[0, 3, 4, 5]], hit, atol=0.08) and np.allclose(model.fires[0][[0, 3, 4, 5]], false, atol=0.05)
+    accuracy = 0.3 * hit / (0.3 * hit + 0.7 * false)
+    assert np.allclose(model.accuracy[[0, 3, 4, 5]], accuracy, atol=0.08) and abs(model.accuracy[6] - 0.3) < 0.08
+    assert model.weight[:3].max() < 0.4 and model.weight[3:].min() > 0.7  # copies share a weight
+    assert model.correlation[0, 1] > 0.9 and model.correlation[0, 3] < 0.2
+    votes = np.stack([vote[0], vote[0], vote[0], *vote[1:], noise], axis=1)
+    assert ((model.posterior(votes) >= 0.5) == y).mean() > 0.88
+
+
+def test_label_model_keeps_families_apart():
+    rng = np.random.default_rng(4)
+    kind = rng.choice(3, 6000, p=[0.88, 0.08, 0.04])  # clean, and two kinds that different voters know
+    votes = np.stack([np.where(kind == 1 + k // 4, rng.random(6000) < 0.5, rng.random(6000) < 0.0003) for k in range(8)], axis=1)
+    found = toxicity.LabelModel(votes, 0.12).posterior(votes) >= 0.5
+    seen = votes.any(axis=1)
+    assert len(toxicity.LabelModel(votes, 0.12).mix) == 2
+    assert found[(kind > 0) & seen].mean() > 0.9 and found[kind == 0].mean() < 0.02
+
+
+def naive_quality(text, m):
+    """One window, filter and chunk at a time."""
+    blocks = max(-(-(len(text) + cnn.STRIDE) // cnn.BLOCK), 1)
+    data = (bytes(cnn.STRIDE) + text).ljust(blocks * cnn.BLOCK + cnn.STRIDE, b"\0")
+    top = []
+    for b in range(blocks):
+        values = []
+        for w in range(b * cnn.BLOCK, (b + 1) * cnn.BLOCK, cnn.STRIDE):
+            window = [float(v) for x in data[w : w + cnn.WINDOW] for v in m["embed"][x]]
+            values.append([sum(v * float(c) for v, c in zip(window, m["filters"][:, f], strict=True)) for f in range(cnn.FILTERS)])
+        top.append([max(v) for v in zip(*values, strict=True)])
+    starts = [0]
+    while starts[-1] + cnn.CHUNK < blocks:
+        starts.append(min(starts[-1] + cnn.HOP, blocks - cnn.CHUNK))
+    best = [0.0] * cnn.HIDDEN
+    for s in starts:
+        pooled = [max(v) for v in zip(*top[s : s + cnn.CHUNK], strict=True)]
+        share = min(1.0, (len(text) + cnn.STRIDE - s * cnn.BLOCK) / (cnn.CHUNK * cnn.BLOCK))
+        features = [max(0.0, v + float(m["bias"][f])) for f, v in enumerate(pooled)] + [share]
+        for h in range(cnn.HIDDEN):
+            best[h] = max(best[h], sum(v * float(m["hidden"][k, h]) for k, v in enumerate(features)) + float(m["hidden_bias"][h]))
+    z = sum(v * float(m["out"][h]) for h, v in enumerate(best)) + float(m["out_bias"][0])
+    return 1 / (1 + np.exp(-z))
+
+
+def naive_toxicity(text, m):
+    """One word at a time, each word and beginning counted once."""
+    words, word = [], b""
+    low = "".join(c.lower() if c.isascii() or c in "ÄÖÜÉÀÇÑÊÈ" else c for c in text.decode()).encode()
+    for x in [*low, 32]:
+        if chr(x).isalpha() and x < 128 or x >= 128:
+            word += bytes([x])
+        elif word:
+            words.append(word)
+            word = b""
+    weight = dict(zip(m["feature"].tolist(), m["weight"].tolist(), strict=True))
+    names = set()
+    for w in words:
+        names.add(int(toxicity.word_features(np.frombuffer(w, np.uint8))[1][-1]))
+        for k in toxicity.PREFIXES:
+            if len(w) > k:  # the beginning of a word: the same feature as of any word that begins so
+                at, found = toxicity.word_features(np.frombuffer(w[:k] + b"q", np.uint8))
+                names.add(int(found[[j for j in toxicity.PREFIXES if j < k + 1].index(k)]))
+    return 1 / (1 + np.exp(-(sum(weight.get(n, 0.0) for n in names) + m["bias"][0])))
+
+
+def test_scores_against_naive_loops(spark):
+    texts, junk, toxic = corpus(260, 9)
+    raw = [t.encode() for t in texts]
+    net, linear = cnn.train(raw[:200], junk[:200], epochs=3), toxicity.train(raw[:200], toxic[:200])
+    some = [b"", b"a", b"x" * 59, b"x" * 60, b"ab " * 100, "IDIOT! Zürich ÄÖÜ zorg's zorgan".encode(), *(t[:700] for t in raw[200:212])]
+    rows = [(k, t.decode()) for k, t in enumerate(some)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in cnn.score_quality(docs, net).collect()}
+    assert all(abs(got[k] - naive_quality(t, net)) < 1e-4 for k, t in enumerate(some))
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, linear).collect()}
+    assert all(abs(got[k] - naive_toxicity(t, linear)) < 1e-9 for k, t in enumerate(some))
+    assert len(linear["feature"]) > 3
+
+
+@pytest.mark.parametrize("name,label,modulus,rest", [("op2_quality", "quality", 3, 1), ("op9_toxicity", "toxic", 5, 0)])
+def test_queries_hold_out_and_predict(spark, tmp_path, monkeypatch, name, label, modulus, rest):
+    texts, junk, toxic = corpus(150, 8)
+    rows = [(None if k == 4 else k, t) for k, t in enumerate(texts)] + [(900, None), (901, ""), (901, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    marked = [(k, int(q), int(x)) for k, (q, x) in enumerate(zip(junk, toxic, strict=True))]
+    spark.createDataFrame(marked, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, real = [], cnn.labelled_sample
+
+    def watched(docs, labels, *rest):
+        seen.extend(r.doc_id for r in labels.collect())
+        return real(docs, labels, *rest)
+
+    monkeypatch.setattr(cnn, "labelled_sample", watched)
+    monkeypatch.setattr(toxicity, "labelled_sample", watched)
+    got = queries.queries()[name](spark, str(tmp_path)).collect()
+    out = lambda k: k is not None and zlib.crc32(str(k).encode()) % modulus == rest
+    assert sorted(seen) == [k for k in range(150) if not out(k)]
+    assert len(got) == len(rows)
+    assert all(r.held_out == out(r.doc_id) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(k, "x" * (9000 if k % 7 == 0 else 100)) for k in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, label int")
+    texts, _ = cnn.labelled_sample(docs, labels, "label", 60, 30_000)
+    assert sum(map(len, texts)) <= 30_000 and max(map(len, texts)) == 9000 and len(texts) > 25
 
 
 def test_sample_takes_one_row_for_each_label(spark):
