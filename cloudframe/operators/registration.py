@@ -65,6 +65,13 @@ def moments(source: DataFrame, target: DataFrame, pairs: DataFrame) -> DataFrame
     return joined.agg(*out)
 
 
+def metrics(source: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: ``fitness``, the share of source points that have a pair, and ``rmse``, the root of the mean squared distance (infinite without pairs)."""
+    size = source.agg(F.count(F.lit(1)).alias("size"))
+    found = pairs.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"))
+    return found.join(F.broadcast(size)).select((F.col("n") / F.nullif("size", F.lit(0))).alias("fitness"), F.coalesce("rmse", F.lit(float("inf"))).alias("rmse"))
+
+
 def flat(row, side: str) -> bool:
     """Whether the paired points of one side lie on a line, by the principal minors of their covariance."""
     xx, xy, xz, yy, yz, zz = (row[f"{side}{p}"] for p in ("xx", "xy", "xz", "yy", "yz", "zz"))
@@ -155,4 +162,4 @@ def icp(
     return Registration(total, converged, fitness, rmse, step, transform(base, total))
 
 
-__all__ = ["Registration", "correspondences", "flat", "icp", "knn_join", "moments", "ordered_correspondences", "rigid_step"]
+__all__ = ["Registration", "correspondences", "flat", "icp", "knn_join", "metrics", "moments", "ordered_correspondences", "rigid_step"]

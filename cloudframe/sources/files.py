@@ -8,7 +8,6 @@ count for each range, so nothing is sorted or gathered.
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, new_path
 
 #: Bytes of a range, and rows or bytes that a task holds at a time.
 SPLIT, BATCH_ROWS, READ = 64 << 20, 65536, 1 << 20
@@ -223,8 +222,7 @@ def write_file(path: str, pieces: list[bytes | tuple[DataFrame, list[str], Calla
             sources.append(piece)
             continue
         rows, order, encode = piece
-        marker = cut(spark.range(0))  # makes sure that the checkpoint folder is known
-        folder = f"{marker.sparkSession.conf.get('spark.checkpoint.dir')}/cloudframe/{uuid.uuid4().hex}-file"
+        folder = new_path(spark, "file")
         wanted = [c for c in rows.columns if c not in order]
         ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*wanted)
         parts = cut(ordered.mapInArrow(_write_part(folder, encode), "part int, name string"))
