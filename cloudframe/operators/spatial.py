@@ -34,7 +34,8 @@ def _queries(df: DataFrame) -> DataFrame:
 
 
 def _square():
-    return sum(((F.col(f"p{n}") - F.col(f"q{n}")) ** 2 for n in "yz"), (F.col("px") - F.col("qx")) ** 2)
+    x, y, z = (F.col(f"p{n}") - F.col(f"q{n}") for n in XYZ)
+    return x * x + y * y + z * z
 
 
 def _cells(prefix: str, size: float) -> list:
@@ -160,7 +161,7 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int, skip_self: bool = Fa
 
     ``grid``: queries among evenly spread points are settled by cells that hold about k points each,
     some of the rest by cells three times as wide; queries in crowds and voids and far outside go
-    down a tree of cells (see ``_in_tree``). Every step is an equi-join on cells whose result is
+    down a tree of cells (see ``_in_tree``), or are compared as in ``brute`` where few are left. Every step is an equi-join on cells whose result is
     written to the shared folder. ``brute``: every query with every point, the smaller side being
     broadcast if it has at most ``BRUTE_ROWS`` rows; ``auto`` takes it after counting both sides,
     where the pairs are few, too.
@@ -175,9 +176,13 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int, skip_self: bool = Fa
     n, m = box["n"], q.count()
     other = F.col("qid") != F.col("pid") if skip_self else F.lit(True)
     columns = ["qid", "pid", F.sqrt("d2").alias("d"), "d2", "rank"]
-    if strategy != "grid" and min(n, m) <= BRUTE_ROWS and (strategy == "brute" or n * m <= BRUTE_PAIRS):
+
+    def brute(q: DataFrame, m: int) -> DataFrame:
         pairs = q.join(F.broadcast(p), other) if n <= m else F.broadcast(q).join(p, other)
-        return _top(pairs.withColumn("d2", _square()).select("qid", "pid", "d2"), k).select(*columns)
+        return _top(pairs.withColumn("d2", _square()).select("qid", "pid", "d2"), k)
+
+    if strategy != "grid" and min(n, m) <= BRUTE_ROWS and (strategy == "brute" or n * m <= BRUTE_PAIRS):
+        return brute(q, m).select(*columns)
     extent = [max(box[f"max_{c}"] - box[f"min_{c}"], 0.0) for c in XYZ]
     widest = max(extent)
     spread = [e for e in extent if e > widest * 1e-6] or [1.0]
@@ -187,8 +192,11 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int, skip_self: bool = Fa
         top = _in_grid(p, left, width, k, other)
         done = top if done is None else done.unionByName(top)
         left = cut(left.join(top.where("rank = 1").select("qid"), "qid", "left_anti"), "left")
-        if left.isEmpty():
+        m = left.count()
+        if not m:
             return done.select(*columns)
+        if min(n, m) <= BRUTE_ROWS and n * m <= BRUTE_PAIRS:
+            return done.unionByName(cut(brute(left, m))).select(*columns)
     top = _in_tree(p, left, [box[f"min_{c}"] for c in XYZ], widest * (1 + 1e-9) or 1.0, k, other, int(skip_self))
     return done.unionByName(top).select(*columns)
 

@@ -43,14 +43,16 @@ def clouds():
 
 
 @pytest.mark.parametrize("name", list(clouds()))
-@pytest.mark.parametrize("k,skip", [(1, False), (8, True)])
-def test_knn(spark, name, k, skip):
+@pytest.mark.parametrize("k,skip,pairs", [(1, False, 0), (8, True, 100_000)])
+def test_knn(spark, monkeypatch, name, k, skip, pairs):
+    monkeypatch.setattr(spatial, "BRUTE_PAIRS", pairs)  # 0: whatever the grid leaves goes down the tree
     a = clouds()[name]
     cloud = frame(spark, a).repartition(3)
     check(knn_join(cloud, cloud, k, skip, "grid"), brute(a, a, k, skip))
 
 
-def test_knn_of_queries_far_outside_and_with_many_neighbours(spark):
+def test_knn_of_queries_far_outside_and_with_many_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "BRUTE_PAIRS", 0)
     a = clouds()["crowds"]
     far = np.array([[1e4, 0, 0], [-3e3, 2e3, 50], [50, 0, 0], [0, 0, 0]])
     check(knn_join(frame(spark, a), frame(spark, far), 5, strategy="grid"), brute(a, far, 5))
