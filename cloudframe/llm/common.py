@@ -15,6 +15,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 #: A key that one in so many rows or more have is hot; there are no more of them than that.
 HOT_SHARE = 1000
+#: Buckets in which keys are marked: a table of marks has no more rows.
+MARKS = 1 << 18
 
 #: Cut the lineage: write to the shared folder and return what was written.
 save = cut
@@ -57,6 +59,33 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], by: list[str]
     return joined.select(*rows.columns, *[hit[c].alias(c) for c in values])
 
 
+def marked(rows: DataFrame, keys: DataFrame, on: list[str], name: str = "__marked") -> DataFrame:
+    """``rows`` with a column ``name``: true where the key ``on`` may be among ``keys``, null where it is not.
+
+    Every task gets the marks: which of ``MARKS`` buckets hold a key. The more keys there are, the
+    more rows are marked in vain, but none is missed. A null key is not marked.
+    """
+    bucket = F.pmod(F.xxhash64(*on), F.lit(MARKS)).alias("__bucket")
+    marks = save(keys.select(bucket).distinct().withColumn(name, F.lit(True)), "marks")
+    null = F.lit(False)
+    for c in on:
+        null = null | F.col(c).isNull()
+    dealt = rows.withColumn("__bucket", F.when(~null, bucket))
+    return dealt.join(F.broadcast(marks), "__bucket", "left").drop("__bucket")
+
+
+def sparse_join(rows: DataFrame, groups: DataFrame, on: list[str], by: list[str], count: str = "n") -> DataFrame:
+    """``spread_join`` for ``groups`` that few rows belong to: the others, told by ``marked``, do not move.
+
+    ``rows`` is read twice and should be a table or what one scan of it gives.
+    """
+    told = marked(rows, groups, on)
+    values = [f for f in groups.schema.fields if f.name not in (*on, count)]
+    alone = told.where("__marked is null").select(*rows.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in values])
+    met = spread_join(told.where("__marked").drop("__marked"), groups, on, by, count)
+    return met.unionByName(alone)
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links as ``(node, smallest node reachable)`` for every node but the smallest ones."""
     nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)

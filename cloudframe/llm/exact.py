@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, spread_join
-
-#: Buckets in which surviving groups are marked: the table of them that every task gets has no more rows.
-BUCKETS = 1 << 18
+from .common import marked, save, sparse_join
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 128) -> DataFrame:
@@ -19,10 +16,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A first scan takes byte lengths and hashes of the first ``prefix`` characters; lengths are split
     by prefix before anything moves, so no length gathers in one task. Groups of two or more survive
-    and are marked in ``BUCKETS`` buckets that every task knows. A second scan hashes only texts of
+    and are marked in buckets that every task knows. A second scan hashes only texts of
     marked buckets in full (SHA-256) and counts them with partial aggregation; some 60 bytes a row
-    move. The counts are joined back to the rows: hashes that one row in a thousand has are sent to
-    the rows, so a text that a third of all rows hold meets in no task.
+    move. The counts are joined back to the rows that have a partner, again by marks; the others
+    stay where they are. Hashes that one row in a thousand has are sent to the
+    rows, so a text that a third of all rows hold meets in no task.
 
     A null text counts as empty; empty texts equal each other. A null id is never the largest
     unless all ids of the group are null; then every row of the group stays, with a null
@@ -35,13 +33,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             docs = docs.withColumnRenamed(name, f"{name}_in")
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.withColumns({"__cf_len": F.octet_length(text), "__cf_head": F.xxhash64(F.substring(text, 1, prefix))})
-    base = base.withColumn("__cf_bucket", F.pmod(F.xxhash64("__cf_len", "__cf_head"), F.lit(BUCKETS)))
-    survivors = base.groupBy("__cf_len", "__cf_head", "__cf_bucket").count().where("count > 1")
-    marks = save(survivors.select("__cf_bucket").distinct().withColumn("__cf_marked", F.lit(True)), "marks")
-    marked = base.join(F.broadcast(marks), "__cf_bucket", "left").withColumn("__cf_key", F.when(F.col("__cf_marked"), F.unhex(F.sha2(text, 256))))
-    groups = marked.where("__cf_marked").groupBy("__cf_key").agg(F.max(id_col).alias("__cf_keep"), F.count(F.lit(1)).alias("__cf_n"))
+    survivors = base.groupBy("__cf_len", "__cf_head").count().where("count > 1")
+    hashed = marked(base, survivors, ["__cf_len", "__cf_head"], "__cf_marked").withColumn("__cf_key", F.when(F.col("__cf_marked"), F.unhex(F.sha2(text, 256))))
+    groups = hashed.where("__cf_marked").groupBy("__cf_key").agg(F.max(id_col).alias("__cf_keep"), F.count(F.lit(1)).alias("__cf_n"))
     groups = save(groups.where("__cf_n > 1").withColumn("__cf_size", F.col("__cf_n")), "groups")
-    out = spread_join(marked, groups, ["__cf_key"], ["__cf_len", "__cf_head", id_col], "__cf_n")
+    out = sparse_join(hashed, groups, ["__cf_key"], ["__cf_len", "__cf_head", id_col], "__cf_n")
     alone = F.col("__cf_size").isNull()
     return out.select(
         *(F.col(c) for c in docs.columns),
