@@ -586,11 +586,16 @@ def _(spark, d):
     return iso.poisson_solve(iso.poisson_divergence(cells, h), h, _DEPTH, _SWEEPS).select("ix", "iy", "iz", *_r("value"))
 
 
-# The surface of that field: the sums of each triangle's corners, which no orientation changes.
+#: The same cells at the operator's own depth.
+_SURFACE_DEPTH = 6
+_SURFACE_CELLS = _CELLS.replace(f"side / {2**_DEPTH} AS h", f"side / {2**_SURFACE_DEPTH} AS h")
+
+
+# The surface of such a field: the sums of each triangle's corners, which no orientation changes.
 @query(
     "poisson_surface",
-    f"""{_CELLS}, {_solution(_SWEEPS)}, tt(kind, t, e0, e1, e2) AS (VALUES {_TABLE}), cc(k, dx, dy, dz) AS (VALUES {_CUBE}), ee(e, a, b) AS (VALUES {_EDGE}),
-    cubes AS (SELECT DISTINCT ix - dx AS ix, iy - dy AS iy, iz - dz AS iz FROM field, cc WHERE least(ix - dx, iy - dy, iz - dz) >= 0 AND greatest(ix - dx, iy - dy, iz - dz) <= {2**_DEPTH - 1}),
+    f"""{_SURFACE_CELLS}, {_solution(_SWEEPS)}, tt(kind, t, e0, e1, e2) AS (VALUES {_TABLE}), cc(k, dx, dy, dz) AS (VALUES {_CUBE}), ee(e, a, b) AS (VALUES {_EDGE}),
+    cubes AS (SELECT DISTINCT ix - dx AS ix, iy - dy AS iy, iz - dz AS iz FROM field, cc WHERE least(ix - dx, iy - dy, iz - dz) >= 0 AND greatest(ix - dx, iy - dy, iz - dz) <= {2**_SURFACE_DEPTH - 1}),
     f AS (SELECT q.ix, q.iy, q.iz, k, lx + (q.ix + dx) * h AS x, ly + (q.iy + dy) * h AS y, lz + (q.iz + dz) * h AS z, coalesce(value, 0) AS v FROM cubes q JOIN cc ON true JOIN box ON true LEFT JOIN field s ON (s.ix, s.iy, s.iz) = (q.ix + dx, q.iy + dy, q.iz + dz)),
     kinds AS (SELECT ix, iy, iz, sum(CASE WHEN v < 0 THEN 1 << k ELSE 0 END) AS kind FROM f GROUP BY ix, iy, iz),
     ends AS (SELECT n.ix, n.iy, n.iz, t, unnest([e0, e1, e2]) AS e FROM kinds n JOIN tt USING (kind)),
@@ -599,7 +604,7 @@ def _(spark, d):
     SELECT fid, round(sum(x), 6) + 0.0 AS x, round(sum(y), 6) + 0.0 AS y, round(sum(z), 6) + 0.0 AS z FROM (SELECT dense_rank() OVER (ORDER BY iz, iy, ix, t) - 1 AS fid, x, y, z FROM p) GROUP BY fid""",
 )
 def _(spark, d):
-    v, f = iso.poisson(embeddings_cloud(spark, d), _DEPTH, _SWEEPS)
+    v, f = iso.poisson(embeddings_cloud(spark, d))
     met = mesh.with_corners(v, f)
     return met.select("fid", *[rounded(F.col(f"pa.{n}") + F.col(f"pb.{n}") + F.col(f"pc.{n}")).alias(n) for n in XYZ])
 
