@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from cloudframe.llm import jaccard as jaccard_module
 from cloudframe.llm.jaccard import band_keys, jaccard_dedup
 from cloudframe.llm.simhash import shingle_hashes
 
@@ -87,3 +90,30 @@ def test_recall_of_the_buckets():
             found, total = found + bool((x == y).any()), total + 1
     print(f"pairs at 0.81 to 0.83 that share a bucket: {found} of {total}")
     assert found >= 0.995 * total
+
+
+def test_shared_counts(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(jaccard_module, "COLUMNS", 7)
+    left, right = ([np.unique(rng.integers(0, 90, rng.integers(0, 60)).astype(np.uint64)) for _ in range(n)] for n in (9, 6))
+    left.append(np.zeros(0, np.uint64))
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in right] for x in left]
+    assert jaccard_module.shared_counts(left, right).tolist() == want
+    assert jaccard_module.shared_counts(left[-1:], right[:1]).tolist() == [[0]]
+
+
+def test_a_template_in_blocks(spark, monkeypatch):
+    """Texts of one template, alike to less and more than 0.8, in buckets that are cut into blocks."""
+    monkeypatch.setattr(jaccard_module, "BLOCK_TEXTS", 5)
+    rng = random.Random(11)
+    base = [f"v{k}" for k in range(150)]
+    texts = {}
+    for k in range(90):
+        words = list(base)
+        for place in rng.sample(range(150), rng.choice([2, 3, 4, 5, 6])):
+            words[place] = f"w{k}x{place}"
+        texts[k] = " ".join(words)
+    want = components_of(texts)
+    assert 3 < len(set(want.values())) < 90  # several components, buckets in common
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in jaccard_dedup(docs).collect()} == want
