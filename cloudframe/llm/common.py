@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
@@ -22,6 +24,25 @@ MARKS = 1 << 18
 save = cut
 
 
+def column(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def renamed(df: DataFrame, made: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns named like one of ``made``, in any case, as ``<name>_in`` (again until free); and all names, old to new."""
+    new, taken = {m.lower() for m in made}, {c.lower() for c in (*df.columns, *made)}
+    names = []
+    for c in df.columns:
+        free = c
+        if c.lower() in new:
+            while free.lower() in taken:
+                free += "_in"
+            taken.add(free.lower())
+        names.append(free)
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
 def binary(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     """A text or binary Arrow column as large binary, nulls as empty."""
     if isinstance(column, pa.ChunkedArray):
