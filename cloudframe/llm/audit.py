@@ -10,7 +10,7 @@ from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, marked
 
 FILTERS = "ABCDE"
 UPPER, MARKS = bytes(range(65, 91)), b"#$%&*|"
@@ -36,10 +36,11 @@ def failures(text: str, raw: bytes) -> int:
 
 
 def _route(rows):
-    """Rows ``(id, text, part)`` of a task as ``((fingerprint, (has an id, id)), (text, ((part, rows), ...), failures))``.
+    """Rows ``(id, text, part, fingerprint, marked)`` of a task as ``((fingerprint, (has an id, id)), (text, ((part, rows), ...), failures))``.
 
-    Of rows with equal text only the smallest id goes on by its text's fingerprint; the others are
-    known to be repeated, carry no text and are dealt in turn, so that no common text gathers.
+    Only marked texts may be repeated. Of rows with equal text the smallest id alone goes on by its
+    text's fingerprint; the others are known to be repeated. Rows that are settled carry no text and
+    are dealt in turn, so that no common text gathers.
     """
     chains: dict[bytes, list] = {}
     size = 0
@@ -47,15 +48,15 @@ def _route(rows):
     def told(at, i, parts, mask):
         return (xxhash.xxh64_intdigest(at.to_bytes(8, "little")), (i is not None, i)), (None, tuple(parts.items()), mask)
 
-    for at, (i, text, part) in enumerate(rows):
+    for at, (i, text, part, fingerprint, marked) in enumerate(rows):
         text, part = text or "", part or ""
         raw = text.encode("utf-8", "surrogatepass")
-        found = chains.get(raw)
+        found = chains.get(raw) if marked else None
         mask = found[2] if found else failures(text, raw)
-        if i is None:
+        if i is None or not marked:
             yield told(at, i, {part: 1}, mask)
         elif found is None:
-            chains[raw] = [i, {part: 1}, mask]
+            chains[raw] = [i, {part: 1}, mask, fingerprint]
             size += len(raw) + 200
         elif i == found[0]:
             found[1][part] = found[1].get(part, 0) + 1
@@ -71,8 +72,8 @@ def _route(rows):
 
 
 def _sent(chains: dict):
-    for raw, (i, parts, mask) in chains.items():
-        yield (xxhash.xxh64_intdigest(raw), (True, i)), (raw, tuple(parts.items()), mask)
+    for raw, (i, parts, mask, fingerprint) in chains.items():
+        yield (fingerprint, (True, i)), (raw, tuple(parts.items()), mask)
 
 
 def _settle(rows):
@@ -128,9 +129,11 @@ def audit_filters(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     ``good_lost, toxic_lost``: removed with label ``quality`` or ``toxic`` 1; ``shapley``:
     removed by the filter in all 120 orders.
 
-    An RDD routes each text once, to the partition of its xxhash, sorted by fingerprint and id, so a
-    task holds the chain of one fingerprint at a time. Copies meet within tasks first (in blocks
-    of ``CHAIN_BYTES``), so a text that a third of all rows have moves once a block. Labels join
+    A first scan counts fingerprints (xxhash); those that several rows have are marked in buckets
+    that every task knows. An RDD routes each text of a marked bucket once, to the partition of its
+    fingerprint, sorted by fingerprint and id, so a task holds the chain of one fingerprint at a
+    time; other texts do not move. Copies meet within tasks first (in blocks of
+    ``CHAIN_BYTES``), so a text that a third of all rows have moves once a block. Labels join
     by id without texts. ``combineByKey`` adds vectors of 32 masks within tasks and then by
     part; the orders are made from them, 600 rows a part.
 
@@ -140,13 +143,16 @@ def audit_filters(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     one 1 is enough. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    rows: RDD = docs.select(column(id_col), column(text_col), column(part_col).cast("string")).rdd
+    fingerprint = F.xxhash64(F.coalesce(column(text_col), F.lit(""))).alias("__at")
+    keyed = docs.select(column(id_col).alias("__id"), column(text_col).alias("__text"), column(part_col).cast("string").alias("__part"), fingerprint)
+    repeated = keyed.groupBy("__at").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows: RDD = marked(keyed, repeated, ["__at"]).select("__id", "__text", "__part", "__at", "__marked").rdd
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.getNumPartitions())
     routed = rows.mapPartitions(_route).repartitionAndSortWithinPartitions(n, lambda key: key[0])
     kind = docs.schema[id_col].dataType.simpleString()
     failed = spark.createDataFrame(routed.mapPartitions(_settle), f"id {kind}, part string, mask int, n long", verifySchema=False)
     one = lambda c: F.max((column(c) == 1).cast("int"))
     known = labels.groupBy(column(id_col).alias("id")).agg(one("quality").alias("good"), one("toxic").alias("toxic"))
-    marked = failed.join(known, "id", "left").select("part", "mask", "n", F.coalesce("good", F.lit(0)), F.coalesce("toxic", F.lit(0)))
-    counted = marked.rdd.map(lambda r: (r[0], tuple(r[1:]))).combineByKey(_first, _more, lambda a, b: a + b, n)
+    labelled = failed.join(known, "id", "left").select("part", "mask", "n", F.coalesce("good", F.lit(0)), F.coalesce("toxic", F.lit(0)))
+    counted = labelled.rdd.map(lambda r: (r[0], tuple(r[1:]))).combineByKey(_first, _more, lambda a, b: a + b, n)
     return spark.createDataFrame(counted.flatMap(lambda x: _report(*x)), OUT, verifySchema=False)
