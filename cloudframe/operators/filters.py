@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import finite, vector
+from ..plans.lineage import cut
 from .points import complement, uniform_downsample, voxel_downsample
 from .spatial import knn_join, radius_count
 
@@ -49,7 +50,7 @@ class StatisticalOutlierRemoval(Filter):
         return good.select("pid").join(means, F.col("pid") == F.col("qid"), "left").select("pid", F.coalesce("d", F.lit(0.0)).alias("d"))
 
     def keep(self, cloud: DataFrame) -> DataFrame:
-        means = self.mean_distances(cloud)
+        means = cut(self.mean_distances(cloud), "means")  # read for the limit and against it
         limit = means.agg((F.avg("d") + F.lit(float(self.factor)) * F.stddev_pop("d")).alias("limit"))
         return means.join(F.broadcast(limit), F.col("d") <= F.col("limit")).select("pid")
 
@@ -69,7 +70,7 @@ class RadiusOutlierRemoval(Filter):
 
             counts = radius_join(good, good, 0.0).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
         else:
-            counts = radius_count(good, good, self.radius)
+            counts = radius_count(good, good, self.radius, self.least)
         return counts.where(F.col("n") >= self.least).select(F.col("qid").alias("pid"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import COLOR, finite, vector
 from ..plans.lineage import cut
 from .points import bounds, checked, dense_ids, half_up
+from .selection import kth_smallest
 from .spatial import nearest
 
 
@@ -130,11 +131,11 @@ def height_jump(grid: HeightGrid, configured: float = 0.0) -> float:
     fallback = max(1e-6, 1.5 * math.hypot(grid.step_x, grid.step_y))
     pairs = F.explode(F.array(*[F.struct((F.col("ix") + a).alias("x"), (F.col("iy") + b).alias("y"), F.lit(k).alias("pair"), F.lit(first).alias("first")) for k, a, b, first in (("r", 0, 0, True), ("r", -1, 0, False), ("d", 0, 0, True), ("d", 0, -1, False))]))
     ends = grid.cells.select("z", pairs.alias("p")).groupBy("p.x", "p.y", "p.pair").agg(F.count(F.lit(1)).alias("n"), (F.max("z") - F.min("z")).alias("step"))
-    steps = dense_ids(ends.where("n = 2").select("step", "x", "y", "pair"), ["step", "x", "y", "pair"], "at")
+    steps = cut(ends.where("n = 2").select("step"), "steps")
     n = steps.count()
     if not n:
         return fallback
-    middle = steps.where(F.col("at") == n // 2).first()["step"]
+    middle, _ = kth_smallest(steps, n // 2 + 1, "step")
     return max(fallback, 4 * middle)
 
 

@@ -6,43 +6,44 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import XYZ, finite, vector
 from ..plans.lineage import cut
+from .index import SpatialIndex
 from .points import transform
-from .spatial import knn_join, nearest, radius_join
+from .selection import smallest
+from .spatial import BRUTE_PAIRS, knn_join
+from .spatial import index as build_index
 
 
 def correspondences(
-    source: DataFrame, target: DataFrame, most: float = math.inf, reciprocal: bool = False, one_to_one: bool = False, overlap: float = 1.0
-) -> DataFrame:
+    source: DataFrame, target: DataFrame, most: float = math.inf, reciprocal: bool = False, one_to_one: bool = False, overlap: float = 1.0, index: SpatialIndex | None = None,
+) -> DataFrame:
     """Nearest target point of every source point, ``src, tgt, d``, and what the rejectors leave.
 
-    ``most``: largest distance; a finite one turns the search into a radius join. ``reciprocal``:
-    the source point has to be the nearest of its target, too. ``one_to_one``: a target keeps its
-    nearest source, lowest id first. ``overlap``: the nearest ceil(overlap * sources) stay, at
-    least three.
+    ``most``: largest distance; it bounds the search, and the pairs that are compared do not grow with it.
+    ``reciprocal``: the source point has to be the nearest of its target, too. ``one_to_one``: a
+    target keeps its nearest source, lowest id first. ``overlap``: the nearest ceil(overlap *
+    sources) stay, at least three; their last is found by counts, no row is sorted.
+    ``index``: of the target, if it is searched more than once.
     """
     if not most > 0 or not 0 < overlap <= 1:
         raise ValueError("the distance is positive and the overlap in (0, 1]")
-
-    def first(points, queries):
-        if math.isfinite(most):
-            w = Window.partitionBy("qid").orderBy("d", "pid")
-            return radius_join(points, queries, most).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
-        return nearest(points, queries).where("pid >= 0")
-
-    pairs = first(target, source).select(F.col("qid").alias("src"), F.col("pid").alias("tgt"), "d")
-    if reciprocal:
-        back = first(source, target.where(finite(*vector()))).select(F.col("pid").alias("src"), F.col("qid").alias("tgt"))
+    pairs = knn_join(index or target, source, 1, most=most).select(F.col("qid").alias("src"), F.col("pid").alias("tgt"), "d")
+    if reciprocal or overlap < 1:
+        pairs = cut(pairs, "pairs")
+    if reciprocal:  # only targets that some source chose need to choose
+        asked = target.join(pairs.select(F.col("tgt").alias("pid")), "pid", "left_semi")
+        back = knn_join(source, asked, 1, most=most).select(F.col("pid").alias("src"), F.col("qid").alias("tgt"))
         pairs = pairs.join(back, ["src", "tgt"], "left_semi")
     if one_to_one:
-        w = Window.partitionBy("tgt").orderBy("d", "src")
-        pairs = pairs.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+        pairs = pairs.groupBy("tgt").agg(F.min(F.struct("d", "src")).alias("m")).select("m.src", "tgt", "m.d")
     if overlap < 1:
-        pairs = pairs.orderBy("d", "src").limit(max(3, math.ceil(source.count() * overlap - 1e-6)))
+        if reciprocal or one_to_one:
+            pairs = cut(pairs, "pairs")
+        pairs = smallest(pairs, max(3, math.ceil(source.count() * overlap - 1e-6)), "d", "src")
     return pairs
 
 
@@ -109,6 +110,8 @@ def icp(
 ) -> Registration:
     """Iterative closest point. Each step is one aggregation over a join; the driver sees one row.
 
+    A large target is indexed once, for all steps.
+
     The transform is applied to the original source as literals, so plans do not grow. Stops before
     a step if the error is at most ``epsilon``, after a step if it moved less than ``epsilon`` in
     sum, turned less than ``rotation_epsilon``, or changed the error by at most
@@ -128,9 +131,11 @@ def icp(
     if base.where(~finite(*vector())).limit(1).count():
         raise ValueError("source points are finite")
 
+    there = build_index(goal) if not ordered and size * goal.count() > BRUTE_PAIRS else None
+
     def measure(matrix):
         moved = transform(base, matrix)
-        pairs = ordered_correspondences(moved, goal) if ordered else correspondences(moved, goal, most, reciprocal, one_to_one, overlap)
+        pairs = ordered_correspondences(moved, goal) if ordered else correspondences(moved, goal, most, reciprocal, one_to_one, overlap, there)
         found = moments(moved, goal, pairs).first()
         n = found["n"]
         return found, n, n / size, math.sqrt(found["sum_d2"] / n) if n else math.inf

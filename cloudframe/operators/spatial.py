@@ -1,4 +1,4 @@
-"""Proximity joins as equi-joins on grid cells."""
+"""Proximity joins: pairs as equi-joins on grid cells, nearest points and counts by an index in partitions."""
 
 from __future__ import annotations
 
@@ -8,17 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import XYZ, cell, finite, vector
-from ..plans.lineage import cut
-from .points import bounds, checked
+from .index import SpatialIndex
+from .points import checked
 
 #: Pairs up to which comparing everything with everything is cheaper than rounds of joins, and rows that are broadcast for it at most.
 BRUTE_PAIRS, BRUTE_ROWS = 4_000_000, 20_000
-#: Points around a query that are compared with it before the tree of cells is asked instead, for each neighbour wanted.
-CROWD = 48
-#: Points of a cell that is not split, and the number of times that a cell can be halved along each axis.
-LEAF, DEPTH = 64, 20
-#: Levels of the tree whose cells, at most 8^4 of them, are broadcast.
-SHALLOW = 4
 
 
 def _side(df: DataFrame, key: str, prefix: str) -> DataFrame:
@@ -71,13 +65,36 @@ def radius_join(points: DataFrame, queries: DataFrame, radius: float, skip_self:
     return joined.select("qid", "pid", "d")
 
 
-def radius_count(points: DataFrame, queries: DataFrame, radius: float, early_stop: int | None = None, skip_self: bool = False) -> DataFrame:
-    """``qid, n``: partners of every query within the radius, at most ``early_stop``; an empty search for radius <= 0."""
+def _indexed(points: DataFrame | SpatialIndex) -> SpatialIndex:
+    return points if isinstance(points, SpatialIndex) else SpatialIndex(_points(points))
+
+
+def index(points: DataFrame) -> SpatialIndex:
+    """An index of the finite points of a cloud, for several searches: it is written once."""
+    return SpatialIndex(_points(points))
+
+
+def radius_count(points: DataFrame | SpatialIndex, queries: DataFrame, radius: float, early_stop: int | None = None, skip_self: bool = False) -> DataFrame:
+    """``qid, n``: partners of every query within the radius, at most ``early_stop``; an empty search for radius <= 0.
+
+    Boxes of points that lie within the radius as a whole add their number unseen, and a query ends
+    once that reaches ``early_stop``, so crowded balls cost no more than others; no pair leaves
+    a task. With ``skip_self`` the point of the query's id, should it be within the radius, is taken
+    off after the count; ids of points are unique.
+    """
+    if not math.isfinite(radius):
+        raise ValueError("a radius is finite")
     if radius <= 0:
         return queries.select(F.col("pid").alias("qid"), F.lit(0).cast("long").alias("n"))
-    found = radius_join(points, queries, radius, skip_self).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return queries.select(F.col("pid").alias("qid")).join(found, "qid", "left").select("qid", (F.least(n, F.lit(early_stop)) if early_stop else n).alias("n"))
+    q, stop = _queries(queries), early_stop or None
+    there = _indexed(points)
+    found = there.within(q, radius, stop + int(skip_self) if stop else None)
+    if skip_self:
+        own = q.join(there.points, F.col("qid") == F.col("pid")).where(F.sqrt(_square()) <= radius).select("qid", F.lit(-1).cast("long").alias("n"))
+        if stop:
+            found = found.withColumn("n", F.least("n", F.lit(stop + 1)))
+        found = found.unionByName(own).groupBy("qid").agg(F.sum("n").alias("n"))
+    return found.select("qid", F.least("n", F.lit(stop).cast("long")).alias("n") if stop else "n")
 
 
 def _top(candidates: DataFrame, k: int) -> DataFrame:
@@ -85,123 +102,35 @@ def _top(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _in_grid(p: DataFrame, q: DataFrame, size: float, k: int, other) -> DataFrame:
-    """The k nearest of the queries that cells of one size settle: ``qid, pid, d2, rank``.
+def knn_join(points: DataFrame | SpatialIndex, queries: DataFrame, k: int, skip_self: bool = False, strategy: str = "auto", most: float = math.inf) -> DataFrame:
+    """The ``k`` nearest points of every query, none farther than ``most``: ``qid, pid, d, d2, rank``, nearest first, ties by id.
 
-    A query is compared if the 27 cells around it hold at least k points, which the sizes of cells
-    tell beforehand, and not a crowd of them; it is settled if the k-th is no farther than a cell is
-    wide, which nothing outside can beat.
-    """
-    cells = ["cx", "cy", "cz"]
-    filled = p.groupBy(*[c.alias(n) for n, c in zip(cells, _cells("p", size), strict=True)]).agg(F.count(F.lit(1)).alias("n"))
-    around = cut(_around(q, size).join(filled, cells), "around")
-    good = around.groupBy("qid").agg(F.sum("n").alias("n")).where((F.col("n") >= k) & (F.col("n") <= CROWD * (k + 1))).select("qid")
-    near = around.join(good, "qid", "left_semi").join(p.select("*", *_cells("p", size)), cells).where(other)
-    top = _top(near.withColumn("d2", _square()).select("qid", "pid", "d2"), k)
-    full = top.where((F.col("rank") == k) & (F.col("d2") <= size * size)).select("qid")
-    return cut(top.join(full, "qid", "left_semi"), "settled")
-
-
-def _in_tree(p: DataFrame, q: DataFrame, low: list[float], side: float, k: int, other, spare: int) -> DataFrame:
-    """The k nearest points of any queries, however far or crowded: ``qid, pid, d2, rank``.
-
-    The cube around the points is halved along each axis, level by level. A query keeps the cells
-    whose least distance is within reach: the distance within which, by the greatest distances of
-    its cells, k points lie for sure. Kept cells of over ``LEAF`` points give way to their filled
-    children; when none is left, points of kept cells are compared. Of points at one place only the
-    k first by id matter, so no cell of the last level is crowded.
-    """
-    want, cell = k + spare, ("ix", "iy", "iz")
-    same = Window.partitionBy("px", "py", "pz").orderBy("pid")
-    p = p.withColumn("__r", F.row_number().over(same)).where(F.col("__r") <= want).drop("__r")
-    at = lambda n, o: F.least(F.floor((F.col(f"p{n}") - F.lit(o)) / F.lit(side / 2**DEPTH)), F.lit(2**DEPTH - 1)).cast("long").alias(f"i{n}")
-    p = cut(p.select("*", *[at(n, o) for n, o in zip(XYZ, low, strict=True)]), "placed")
-    fine = cut(p.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")), "cells")
-
-    def measured(df: DataFrame, level: int) -> DataFrame:
-        """Rows with cells and queries, with least and greatest squared distances; a little slack covers rounding."""
-        width = side / 2**level
-        least, most = F.lit(0.0), F.lit(0.0)
-        for n, o in zip(XYZ, low, strict=True):
-            a = F.lit(o) + F.col(f"i{n}") * F.lit(width)
-            slack = F.lit(width * 1e-6) + F.abs(a) * 1e-12
-            below, above = a - slack - F.col(f"q{n}"), F.col(f"q{n}") - (a + F.lit(width) + slack)
-            least = least + F.pow(F.greatest(below, above, F.lit(0.0)), F.lit(2.0))
-            most = most + F.pow(F.greatest(F.abs(below), F.abs(above)), F.lit(2.0))
-        return df.withColumns({"level": F.lit(level), "least": least, "most": most, "open": (F.col("n") > LEAF) & F.lit(level < DEPTH)})
-
-    names = ["qid", "qx", "qy", "qz", "level", *cell, "n", "least", "most", "open"]
-    total = fine.agg(F.sum("n")).first()[0]
-    state = measured(q.withColumns({c: F.lit(0).cast("long") for c in cell} | {"n": F.lit(total)}), 0).select(*names)
-    reach = Window.partitionBy("qid").orderBy("most").rowsBetween(Window.unboundedPreceding, 0)
-    for level in range(1, DEPTH + 1):
-        down = DEPTH - level
-        children = fine.groupBy(*[F.shiftright(c, down).alias(c) for c in cell]).agg(F.sum("n").alias("n"))
-        children = children.withColumns({f"u{c}": F.shiftright(c, 1) for c in cell})
-        if level <= SHALLOW:
-            children = F.broadcast(children)
-        parents = state.where("open").select("qid", "qx", "qy", "qz", *[F.col(c).alias(f"u{c}") for c in cell])
-        below = measured(parents.join(children, [f"u{c}" for c in cell]), level).select(*names)
-        kept = state.where("not open").unionByName(below).withColumn("__sum", F.sum("n").over(reach))
-        kept = kept.withColumn("__reach", F.min(F.when(F.col("__sum") >= want, F.col("most"))).over(Window.partitionBy("qid")))
-        state = cut(kept.where("__reach is null or least <= __reach").select(*names), "kept")
-        if state.where("open").isEmpty():
-            break
-    found = None
-    for r in state.select("level").distinct().collect():  # at most one row for each level
-        here = state.where(F.col("level") == r.level).select("qid", "qx", "qy", "qz", *cell)
-        points = p.select("pid", "px", "py", "pz", *[F.shiftright(c, DEPTH - r.level).alias(c) for c in cell])
-        near = here.join(points, list(cell)).where(other).select("qid", "pid", _square().alias("d2"))
-        found = near if found is None else found.unionByName(near)
-    return cut(_top(found, k), "tree")
-
-
-def knn_join(points: DataFrame, queries: DataFrame, k: int, skip_self: bool = False, strategy: str = "auto") -> DataFrame:
-    """The ``k`` nearest points of every query: ``qid, pid, d, d2, rank``, nearest first, ties by id.
-
-    ``grid``: queries among evenly spread points are settled by cells that hold about k points each,
-    some of the rest by cells three times as wide; queries in crowds and voids and far outside go
-    down a tree of cells (see ``_in_tree``), or are compared as in ``brute`` where few are left. Every step is an equi-join on cells whose result is
-    written to the shared folder. ``brute``: every query with every point, the smaller side being
-    broadcast if it has at most ``BRUTE_ROWS`` rows; ``auto`` takes it after counting both sides,
-    where the pairs are few, too.
+    ``tree``: points are dealt to partitions of about equal numbers, whatever their density, and
+    searched there in blocks (see ``index``); a query sees its own partition, then those others
+    that can hold something nearer, in three rounds at most. ``brute``: every query with
+    every point, the smaller side being broadcast if it has at most ``BRUTE_ROWS`` rows; ``auto``
+    takes it after counting both sides, where the pairs are few, too.
 
     Fewer than k points give fewer rows; k <= 0 none. Non-finite points are no neighbours; a
-    non-finite query raises.
+    non-finite query raises. Ids are whole numbers.
     """
-    p, q = _points(points), _queries(queries)
-    box = bounds(points).first()
-    if k <= 0 or not box["n"]:
-        return q.join(p, F.lit(False)).select("qid", "pid", F.lit(0.0).alias("d"), F.lit(0.0).alias("d2"), F.lit(0).alias("rank"))
-    n, m = box["n"], q.count()
-    other = F.col("qid") != F.col("pid") if skip_self else F.lit(True)
+    p, q = points.points.select("pid", "px", "py", "pz") if isinstance(points, SpatialIndex) else _points(points), _queries(queries)
     columns = ["qid", "pid", F.sqrt("d2").alias("d"), "d2", "rank"]
-
-    def brute(q: DataFrame, m: int) -> DataFrame:
-        pairs = q.join(F.broadcast(p), other) if n <= m else F.broadcast(q).join(p, other)
-        return _top(pairs.withColumn("d2", _square()).select("qid", "pid", "d2"), k)
-
-    if strategy != "grid" and min(n, m) <= BRUTE_ROWS and (strategy == "brute" or n * m <= BRUTE_PAIRS):
-        return brute(q, m).select(*columns)
-    extent = [max(box[f"max_{c}"] - box[f"min_{c}"], 0.0) for c in XYZ]
-    widest = max(extent)
-    spread = [e for e in extent if e > widest * 1e-6] or [1.0]
-    size = (math.prod(spread) * (k + 1) / n) ** (1 / len(spread)) or 1.0
-    done, left = None, q
-    for width in (size, 3 * size):
-        top = _in_grid(p, left, width, k, other)
-        done = top if done is None else done.unionByName(top)
-        left = cut(left.join(top.where("rank = 1").select("qid"), "qid", "left_anti"), "left")
-        m = left.count()
-        if not m:
-            return done.select(*columns)
-        if min(n, m) <= BRUTE_ROWS and n * m <= BRUTE_PAIRS:
-            return done.unionByName(cut(brute(left, m))).select(*columns)
-    top = _in_tree(p, left, [box[f"min_{c}"] for c in XYZ], widest * (1 + 1e-9) or 1.0, k, other, int(skip_self))
-    return done.unionByName(top).select(*columns)
-
-
-def nearest(points: DataFrame, queries: DataFrame, skip_self: bool = False) -> DataFrame:
+    if k <= 0:
+        return q.join(p, F.lit(False)).select("qid", "pid", F.lit(0.0).alias("d"), F.lit(0.0).alias("d2"), F.lit(0).alias("rank"))
+    near = F.sqrt("d2") <= F.lit(float(most)) if math.isfinite(most) else F.lit(True)
+    if strategy != "tree":
+        n, m = points.n if isinstance(points, SpatialIndex) else p.count(), q.count()
+        if min(n, m) <= BRUTE_ROWS and (strategy == "brute" or n * m <= BRUTE_PAIRS):
+            other = F.col("qid") != F.col("pid") if skip_self else F.lit(True)
+            pairs = q.join(F.broadcast(p), other) if n <= m else F.broadcast(q).join(p, other)
+            return _top(pairs.withColumn("d2", _square()).where(near).select("qid", "pid", "d2"), k).select(*columns)
+    found = _indexed(points).nearest(q, k, skip_self, most)
+    rows = found.select("qid", F.posexplode("best").alias("at", "b")).select("qid", "b.pid", "b.d2", (F.col("at") + 1).alias("rank"))
+    return rows.where(near).select(*columns)
+
+
+def nearest(points: DataFrame | SpatialIndex, queries: DataFrame, skip_self: bool = False) -> DataFrame:
     """The nearest point of every query, lowest id first among equals: ``qid, pid, d``; -1 and null if there is none."""
     found = knn_join(points, queries, 1, skip_self).select("qid", "pid", "d")
     return queries.select(F.col("pid").alias("qid")).join(found, "qid", "left").select("qid", F.coalesce("pid", F.lit(-1).cast("long")).alias("pid"), "d")

@@ -144,7 +144,7 @@ def _(spark, d):
 @query("knn_join", f"{E_SQL}, {_KNN} SELECT qid, pid, round(d, 6) AS d, rank FROM knn WHERE rank <= {NEIGHBOURS}")
 def _(spark, d):
     e = embeddings_cloud(spark, d)
-    return spatial.knn_join(e, e, NEIGHBOURS, strategy="grid").select("qid", "pid", F.round("d", 6).alias("d"), "rank")
+    return spatial.knn_join(e, e, NEIGHBOURS, strategy="tree").select("qid", "pid", F.round("d", 6).alias("d"), "rank")
 
 
 @query("knn_skip_self", f"{E_SQL}, {_PAIRS}, knn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, pid) AS rank FROM pairs WHERE qid <> pid) SELECT qid, pid, round(d * d, 6) AS d2, rank FROM knn WHERE rank <= {NEIGHBOURS}")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cloudframe.operators import filters, registration, spatial
+from cloudframe.operators import filters, index, registration, spatial
 from cloudframe.operators.spatial import knn_join, knn_padded, nearest, radius_count, radius_join
 
 SCHEMA = "pid long, x double, y double, z double"
@@ -43,23 +43,21 @@ def clouds():
 
 
 @pytest.mark.parametrize("name", list(clouds()))
-@pytest.mark.parametrize("k,skip,pairs", [(1, False, 0), (8, True, 100_000)])
-def test_knn(spark, monkeypatch, name, k, skip, pairs):
-    monkeypatch.setattr(spatial, "BRUTE_PAIRS", pairs)  # 0: whatever the grid leaves goes down the tree
+@pytest.mark.parametrize("k,skip", [(1, False), (8, True)])
+def test_knn(spark, name, k, skip):
     a = clouds()[name]
     cloud = frame(spark, a).repartition(3)
-    check(knn_join(cloud, cloud, k, skip, "grid"), brute(a, a, k, skip))
+    check(knn_join(cloud, cloud, k, skip, "tree"), brute(a, a, k, skip))
 
 
-def test_knn_of_queries_far_outside_and_with_many_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(spatial, "BRUTE_PAIRS", 0)
+def test_knn_of_queries_far_outside_and_with_many_neighbours(spark):
     a = clouds()["crowds"]
     far = np.array([[1e4, 0, 0], [-3e3, 2e3, 50], [50, 0, 0], [0, 0, 0]])
-    check(knn_join(frame(spark, a), frame(spark, far), 5, strategy="grid"), brute(a, far, 5))
-    check(knn_join(frame(spark, a), frame(spark, far), 900, strategy="grid"), brute(a, far, 900))
+    check(knn_join(frame(spark, a), frame(spark, far), 5, strategy="tree"), brute(a, far, 5))
+    check(knn_join(frame(spark, a), frame(spark, far), 900, strategy="tree"), brute(a, far, 900))
 
 
-@pytest.mark.parametrize("strategy", ["auto", "grid", "brute"])
+@pytest.mark.parametrize("strategy", ["auto", "tree", "brute"])
 def test_knn_edge_cases(spark, strategy):
     few = np.array([[0, 0, 0], [1, 0, 0], [3, 0, 0]], float)
     check(knn_join(frame(spark, few), frame(spark, few), 10, strategy=strategy), brute(few, few, 10))
@@ -154,10 +152,56 @@ def test_horn_agrees_with_the_step(spark):
         assert np.allclose(registration.rigid_step(row)[:3, :3], r, atol=1e-6)
 
 
-def test_tree_of_cells_alone(spark):
-    a = clouds()["crowds"]
-    q = np.concatenate([a[:50], a[-40:]])
-    p, queries = spatial._points(frame(spark, a)), spatial._queries(frame(spark, q))
-    low = a.min(axis=0).tolist()
-    top = spatial._in_tree(p, queries, low, float((a.max(axis=0) - a.min(axis=0)).max()) * (1 + 1e-9), 6, F.lit(True), 0)
-    check(top.withColumn("d", F.sqrt("d2")), brute(a, q, 6))
+def places(name):
+    """Clouds that partitions find hard, with queries in them, between them and far outside."""
+    a = clouds()[name]
+    far = np.array([[1e4, 0, 0], [-3e3, 2e3, 50], [50, 0, 0], [1.0, 2.0, 3.0]])
+    return a, np.concatenate([a[::9], far])
+
+
+@pytest.mark.parametrize("name", list(clouds()))
+@pytest.mark.parametrize("k,most,pieces", [(1, np.inf, 1000), (5, 0.4, 7), (40, np.inf, 1000)])
+def test_index_of_many_partitions(spark, monkeypatch, name, k, most, pieces):
+    monkeypatch.setattr(index, "QUERIES", pieces)  # few queries a task: points go to several
+    monkeypatch.setattr(index, "NEXT", 2)
+    a, q = places(name)
+    built = index.SpatialIndex(spatial._points(frame(spark, a)), parts=13)
+    assert built.n == len(a) and built.parts.n.max() < 4 * len(a) / 13  # crowded places are dealt out, too
+    want = {i: [(p, d) for p, d in rows if d <= most] for i, rows in brute(a, q, k).items()}
+    found = knn_join(built, frame(spark, q), k, strategy="tree", most=most)
+    assert {r.qid for r in found.collect()} == {i for i, rows in want.items() if rows}
+    check(found, want)
+
+
+@pytest.mark.parametrize("name", list(clouds()))
+@pytest.mark.parametrize("stop,skip", [(None, False), (6, False), (6, True)])
+def test_counts_by_boxes(spark, name, stop, skip):
+    a, q = places(name)
+    built = index.SpatialIndex(spatial._points(frame(spark, a)), parts=13)
+    for radius in (0.0015, 1.0, 90.0):
+        found = {r.qid: r.n for r in radius_count(built, frame(spark, q), radius, stop, skip).collect()}
+        near = np.sqrt((((a[None] - q[:, None]) ** 2)[..., 0] + ((a[None] - q[:, None]) ** 2)[..., 1]) + ((a[None] - q[:, None]) ** 2)[..., 2]) <= radius
+        if skip:
+            near[np.arange(min(len(q), len(a))), np.arange(min(len(q), len(a)))] = False
+        n = near.sum(axis=1)
+        assert found == {i: min(int(c), stop) if stop else int(c) for i, c in enumerate(n)}
+
+
+def test_dense_cell_takes_linear_work():
+    """100,000 points in one ball: leaves within it are counted unseen, and few points are compared."""
+    rng = np.random.default_rng(4)
+    a = rng.uniform(0, 1e-3, (100_000, 3))
+    cloud, compared = index._Cloud(np.arange(len(a)), a), []
+    pairs, index._pairs = index._pairs, lambda axes, q: compared.append(axes.shape[1] * len(q)) or pairs(axes, q)
+    try:
+        assert (cloud.within(a, 0.01, None) == len(a)).all() and sum(compared) == 0
+        assert (cloud.within(a, 2e-4, 100) >= 100).all() and sum(compared) < 100 * len(a)
+    finally:
+        index._pairs = pairs
+
+
+def test_index_of_nothing(spark):
+    empty = spatial.index(frame(spark, np.zeros((1, 3))).limit(0))
+    one = frame(spark, np.zeros((1, 3)))
+    assert empty.n == 0 and knn_join(empty, one, 2, strategy="tree").count() == 0
+    assert [tuple(r) for r in radius_count(empty, one, 1.0).collect()] == [(0, 0)]
