@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import binary
+from .common import binary, numbered
 
 #: Bytes a window, from one window to the next, a block, blocks a chunk and from one chunk to the next.
 WINDOW, STRIDE, BLOCK, CHUNK, HOP = 8, 4, 64, 4, 3
@@ -218,9 +218,11 @@ def score_quality(docs: DataFrame, model: dict[str, np.ndarray], text_col: str =
 
     Only the text is read by the network, which is broadcast (some 20 kB). One scan, no shuffle.
     Null and empty texts score as one chunk without bytes; null ids, repeated rows and other columns
-    pass unchanged (a column named ``score`` is replaced). Empty in, empty out.
+    pass unchanged (a column named ``score``, in any case, is replaced). Empty in, empty out.
     """
-    rest = [c for c in docs.columns if c != "score"]
-    fields = StructType([*(docs.schema[c] for c in rest), StructField("score", DoubleType())])
+    docs, inner = numbered(docs)
+    rest = {n: c for c, n in inner.items() if c.lower() != "score"}
+    source = docs.select(*rest, F.col(inner[text_col]).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*rest, F.col(text_col).alias("__text")).mapInArrow(_score(shared, len(rest)), fields)
+    scored = source.mapInArrow(_score(shared, len(rest)), StructType([*source.schema.fields[:-1], StructField("score", DoubleType())]))
+    return scored.toDF(*rest.values(), "score")

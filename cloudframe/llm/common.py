@@ -43,6 +43,12 @@ def renamed(df: DataFrame, made: Sequence[str]) -> tuple[DataFrame, dict[str, st
     return df.toDF(*names), dict(zip(df.columns, names, strict=True))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns named by number, so that no name clashes, has dots or differs by case only; and all names, old to new."""
+    names = [f"__cf_c{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
 def binary(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     """A text or binary Arrow column as large binary, nulls as empty."""
     if isinstance(column, pa.ChunkedArray):

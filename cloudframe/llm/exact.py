@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import marked, save, sparse_join
+from .common import marked, numbered, renamed, save, sparse_join
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 128) -> DataFrame:
@@ -25,12 +25,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text counts as empty; empty texts equal each other. A null id is never the largest
     unless all ids of the group are null; then every row of the group stays, with a null
     ``keep_id``. Repeated rows with the same id and text all stay if theirs is the largest id.
-    An empty table gives an empty one. Other columns pass unchanged, those named like a new one as
-    ``<name>_in``; names that begin with ``__cf_`` are reserved.
+    An empty table gives an empty one. Other columns pass unchanged, whatever they are called; those
+    named like a new one, in any case, as ``<name>_in`` (``<name>_in_in`` if that is taken).
     """
-    for name in ("keep_id", "group_size", "kept"):
-        if name in docs.columns and name not in (id_col, text_col):
-            docs = docs.withColumnRenamed(name, f"{name}_in")
+    out_names = renamed(docs, ("keep_id", "group_size", "kept"))[0].columns
+    docs, inner = numbered(docs)
+    id_col, text_col = inner[id_col], inner[text_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.withColumns({"__cf_len": F.octet_length(text), "__cf_head": F.xxhash64(F.substring(text, 1, prefix))})
     survivors = base.groupBy("__cf_len", "__cf_head").count().where("count > 1")
@@ -40,7 +40,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = sparse_join(hashed, groups, ["__cf_key"], ["__cf_len", "__cf_head", id_col], "__cf_n")
     alone = F.col("__cf_size").isNull()
     return out.select(
-        *(F.col(c) for c in docs.columns),
+        *(F.col(c).alias(n) for c, n in zip(docs.columns, out_names, strict=True)),
         F.when(alone, F.col(id_col)).otherwise(F.col("__cf_keep")).alias("keep_id"),
         F.coalesce("__cf_size", F.lit(1)).cast("long").alias("group_size"),
         F.when(alone, True).otherwise(F.col(id_col).eqNullSafe(F.col("__cf_keep"))).alias("kept"),

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import SPACES, binary, save, spread_join
+from .common import SPACES, binary, numbered, save, spread_join
 
 K = 12
 #: Words in a shard's index after which the next minimizer starts a new one.
@@ -357,8 +357,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     """Remove every word covered by a window of ``window`` words that also starts elsewhere.
 
     Words are runs without ASCII white space, compared unchanged; windows lie within a document and
-    are judged on the input. Returns the columns of ``docs`` but the text (those that clash are
-    replaced) and ``n_words, n_removed, kept``: the SHA-256 of the kept words joined by spaces, or
+    are judged on the input. Returns the columns of ``docs`` but the text (those named like a new
+    one, in any case, are replaced; other names are free) and ``n_words, n_removed, kept``: the SHA-256 of the kept words joined by spaces, or
     with ``with_text`` the text itself, joined by spaces where words were removed and unchanged
     otherwise.
 
@@ -373,6 +373,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     """
     if not 2 * K <= window <= 39:
         raise ValueError("windows of 24 to 39 words are supported: searches are at most 64 words long")
+    docs, inner = numbered(docs)
+    id_col, text_col = inner[id_col], inner[text_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
     k1 = F.xxhash64(text).alias("k1")
     k2 = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text, F.lit(1))).alias("k2")
@@ -403,7 +405,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
 
     # Repeated rows share their hits: each is kept once.
     hits = spread_join(found, masks, ["m", "sh"], [], how="inner").groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "mask")).alias("hits"))
-    rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "kept")]
-    source = docs.select(*rest, text.alias("__text"), k1, k2).join(hits, ["k1", "k2"], "left").select(*rest, "__text", "hits")
+    rest = {n: c for c, n in inner.items() if n != text_col and c.lower() not in ("n_words", "n_removed", "kept")}
+    source = docs.select(*rest, text.alias("text"), k1, k2).join(hits, ["k1", "k2"], "left").select(*rest, "text", "hits")
     made = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]
-    return source.mapInArrow(_remove(window, len(rest), with_text, None), StructType([*(docs.schema[c] for c in rest), *made]))
+    out = source.mapInArrow(_remove(window, len(rest), with_text, None), StructType([*source.schema.fields[: len(rest)], *made]))
+    return out.toDF(*rest.values(), *out.columns[len(rest) :])

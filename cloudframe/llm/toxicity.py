@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .cnn import labelled_sample
-from .common import binary
+from .common import binary, numbered
 from .fmindex import mix
 
 # General lexica of insults in English, German, French and Spanish, matched as whole words.
@@ -286,9 +286,11 @@ def score_toxicity(docs: DataFrame, model: dict[str, np.ndarray], text_col: str
 
     The classifier (at most ``FEATURES`` weights) is broadcast. One scan, no shuffle. Null and empty
     texts score by the bias alone; null ids, repeated rows and other columns pass unchanged (a column
-    named ``score`` is replaced). Empty in, empty out.
+    named ``score``, in any case, is replaced). Empty in, empty out.
     """
-    rest = [c for c in docs.columns if c != "score"]
-    fields = StructType([*(docs.schema[c] for c in rest), StructField("score", DoubleType())])
+    docs, inner = numbered(docs)
+    rest = {n: c for c, n in inner.items() if c.lower() != "score"}
+    source = docs.select(*rest, F.col(inner[text_col]).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*rest, F.col(text_col).alias("__text")).mapInArrow(_score(shared, len(rest)), fields)
+    scored = source.mapInArrow(_score(shared, len(rest)), StructType([*source.schema.fields[:-1], StructField("score", DoubleType())]))
+    return scored.toDF(*rest.values(), "score")

@@ -190,3 +190,19 @@ def test_spread_join_is_a_join(spark, monkeypatch, how, share):
     got = sorted(map(tuple, common.spread_join(rows, groups, ["key"], ["id"], how=how).collect()))
     want = [(i, k, f"v{k}" if k is not None and k % 2 else None) for i, k in enumerate(keys)]
     assert got == [r for r in want if how == "left" or r[2]]
+
+
+def test_columns_of_any_name(spark):
+    """Names of results, of helpers, with dots and in other cases pass or are replaced as documented."""
+    passage = " ".join(f"p{k}" for k in range(50))
+    rows = [(1, passage, 1, 2, 3, 4, 5, 6), (2, passage, 7, 8, 9, 10, 11, 12), (3, None, 0, 0, 0, 0, 0, 0)]
+    names = "doc_id long, text string, kept int, kept_in int, `a.b` int, k1 int, hits int, `__cf_c1` int"
+    frame = spark.createDataFrame(rows, names)
+    out = exact_dedup(frame)
+    assert out.columns == ["doc_id", "text", "kept_in_in", "kept_in", "a.b", "k1", "hits", "__cf_c1", "keep_id", "group_size", "kept"]
+    assert sorted(tuple(r)[2:] for r in out.collect()) == [(0,) * 6 + (3, 1, True), (1, 2, 3, 4, 5, 6, 2, 2, False), (7, 8, 9, 10, 11, 12, 2, 2, True)]
+    out = substring_dedup(frame)
+    assert out.columns == ["doc_id", "kept_in", "a.b", "k1", "hits", "__cf_c1", "n_words", "n_removed", "kept"]
+    assert sorted(tuple(r)[:8] for r in out.collect()) == [(1, 2, 3, 4, 5, 6, 50, 50), (2, 8, 9, 10, 11, 12, 50, 50), (3, 0, 0, 0, 0, 0, 0, 0)]
+    cased = exact_dedup(frame.toDF("Doc", "Text", "Kept", "KEEP_ID", "x", "y", "z", "w"), "Doc", "Text")
+    assert cased.columns[2:4] == ["Kept_in", "KEEP_ID_in"] and cased.count() == 3

@@ -221,3 +221,13 @@ def test_tables(spark, module):
     assert score(empty, module.fit(empty, labels, "label")).count() == 0
     one = labels.where("label = 1")
     assert all(r.score > 0.5 for r in score(docs, module.fit(docs, one, "label")).collect())
+
+
+def test_scores_beside_columns_of_any_name(spark):
+    model = {"feature": np.zeros(0, np.uint64), "weight": np.zeros(0), "bias": np.array([-6.0])}
+    frame = spark.createDataFrame([(1, "some words", 2, 3)], "doc_id long, text string, `a.b` int, Score int")
+    out = toxicity.score_toxicity(frame, model)
+    assert out.columns == ["doc_id", "text", "a.b", "score"] and out.first()[:3] == (1, "some words", 2)
+    fitted = cnn.train([b"good text " * 20, b"#### ####"] * 8, np.array([1, 0] * 8))
+    out = cnn.score_quality(frame, fitted)
+    assert out.columns == ["doc_id", "text", "a.b", "score"] and 0 <= out.first().score <= 1
