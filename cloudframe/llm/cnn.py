@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import binary, numbered
+from .common import binary, numbered, tidy
 
 #: Bytes a window, from one window to the next, a block, blocks a chunk and from one chunk to the next.
 WINDOW, STRIDE, BLOCK, CHUNK, HOP = 8, 4, 64, 4, 3
@@ -195,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_d
 
 
 def _score(model, keep: int):
+    @tidy
     def run(batches):
         net = model.value
         for batch in batches:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Sequence
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,28 @@ MARKS = 1 << 18
 save = cut
 
 
+def tidy(run):
+    """``run`` over Arrow batches, giving freed memory back to the system at the end: Python workers live on and hold it."""
+
+    @wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return tidied
+
+
+def by_bytes(batches, text: int, most: int = 4 << 20):
+    """Batches cut so that the texts of each have about ``most`` bytes."""
+    for batch in batches:
+        size = max(1, batch.column(text).nbytes)
+        rows = max(1, batch.num_rows * most // size)
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def column(name: str) -> Column:
     """A column by its whole name, dots and all."""
     return F.col(f"`{name.replace('`', '``')}`")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import SPACES, binary, numbered, save, spread_join
+from .common import SPACES, binary, numbered, save, spread_join, tidy
 
 K = 12
 #: Words in a shard's index after which the next minimizer starts a new one.
@@ -139,6 +139,7 @@ def _words_by_doc(group: list[bytes]):
 
 
 def _segments(window: int):
+    @tidy
     def run(batches):
         for batch in batches:
             keys = [batch.column(0), batch.column(1)]
@@ -161,6 +162,7 @@ def _units(window: int):
     """Cut the words of the listed segments out of each text, once a task for repeated rows; hot ones window by window."""
     names = [x.split()[0] for x in UNIT.split(", ")]
 
+    @tidy
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
@@ -308,6 +310,7 @@ def _search(window: int):
         mask = repeated_windows(words, n, nw, window)
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(n, pa.int64()), pa.array(mask)], names=["m", "sh", "n", "mask"])
 
+    @tidy
     def run(batches):
         rows, size, key = [], 0, None
         for batch in batches:
@@ -326,6 +329,7 @@ def _search(window: int):
 
 
 def _remove(window: int, keep: int, with_text: bool, schema: pa.Schema):
+    @tidy
     def run(batches):
         for batch in batches:
             texts = binary(batch.column(keep)).to_pylist()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import binary, components, forest, marked, save, sparse_join, spread_join
+from .common import binary, components, forest, marked, save, sparse_join, spread_join, tidy
 from .simhash import majority, near_links, shingle_hashes
 
 BANDS, ROWS = 40, 8
@@ -44,6 +44,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 def _sets(words: int):
     """Append ``__key``, a hash of the set of shingles, ``__fp``, the SimHash, ``__size`` and ``__bands``."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             keys, prints, sizes, bands = [], [], [], []
@@ -66,6 +67,7 @@ def _sets(words: int):
 def _verify(words: int, similarity: float):
     """Of rows ``a, b, ta, tb`` the pairs ``a, b`` whose texts are similar enough."""
 
+    @tidy
     def run(batches):
         sets: dict[int, np.ndarray] = {}
         held = 0

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary, save
+from .common import binary, by_bytes, save, tidy
 from .tokens import encode_ids
 
 
@@ -112,11 +112,12 @@ def slots(patterns: list[tuple[tuple[int, ...], int]], window: int) -> list[np.n
 
 
 def _pieces(path: str, window: int, end_id: int, with_ids: bool, schema: pa.Schema):
+    @tidy
     def run(batches):
         part = TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             texts, keys = binary(batch.column(1)), batch.column(0)
             rows: dict[str, list] = {name: [] for name in schema.names}
             source = []
@@ -140,6 +141,7 @@ def _pieces(path: str, window: int, end_id: int, with_ids: bool, schema: pa.Sche
 
 
 def _place(table, keep: list[str]):
+    @tidy
     def run(batches):
         where = table.value
         for batch in batches:
