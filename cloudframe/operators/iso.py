@@ -128,6 +128,32 @@ def marching_cubes_sampled(samples: DataFrame, low, step, size: tuple[int, int,
     return _extract(cubes, low, step, iso)
 
 
+def splat_field(cloud: DataFrame, low, step, weight: Column | None = None) -> DataFrame:
+    """A sparse field ``ix, iy, iz, value``: each point adds its trilinear weights (times ``weight``) to the eight samples around it.
+
+    One partial and one final aggregation; samples without a point are no rows. A point that is not
+    finite raises.
+    """
+    x, y, z = vector()
+    good = checked(cloud, "a point of a field is not finite", x, y, z)
+    at = {g: (c - F.lit(float(o))) / F.lit(float(s)) for g, c, o, s in zip(("gx", "gy", "gz"), (x, y, z), low, step, strict=True)}
+    placed = good.select(*[c.alias(g) for g, c in at.items()], (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"))
+    share = lambda g, d: F.col(g) - F.floor(g) if d else 1 - (F.col(g) - F.floor(g))
+    corners = [F.struct(*[(F.floor(g) + d).cast("long").alias(i) for i, g, d in zip(("ix", "iy", "iz"), at, c, strict=True)], (share("gx", c[0]) * share("gy", c[1]) * share("gz", c[2]) * F.col("w")).alias("value")) for c in CORNERS]
+    return placed.select(F.explode(F.array(*corners)).alias("c")).select("c.*").where("value <> 0").groupBy("ix", "iy", "iz").agg(F.sum("value").alias("value"))
+
+
+def density_surface(cloud: DataFrame, low, step, size: tuple[int, int, int], level: float) -> tuple[DataFrame, DataFrame]:
+    """The surface around the places where the splatted weight of a cloud exceeds ``level``: only cubes near points exist.
+
+    It is closed if no point is within two steps of the sides of the ``size`` cubes; normals look away from the points.
+    """
+    if not level > 0:
+        raise ValueError("a level is positive, as there is no weight outside")
+    field = splat_field(cloud, low, step)
+    return marching_cubes_sampled(field.withColumn("value", -F.col("value")), tuple(map(float, low)), tuple(map(float, step)), size, -float(level))
+
+
 def poisson_box(cloud: DataFrame) -> tuple[tuple[float, float, float], float]:
     """Corner and side of the cube in which a cloud is reconstructed: its box, padded by a fifth of the longest side."""
     box = bounds(cloud).first()
@@ -248,4 +274,4 @@ def poisson(cloud: DataFrame, depth: int = 6, iterations: int = 30, in_order: bo
     return vertices, orient_faces(vertices, faces, cloud)
 
 
-__all__ = ["finite", "marching_cubes", "marching_cubes_sampled", "norm", "orient_faces", "poisson", "poisson_box", "poisson_cells", "poisson_divergence", "poisson_solve", "triangles"]
+__all__ = ["density_surface", "finite", "marching_cubes", "marching_cubes_sampled", "norm", "orient_faces", "poisson", "poisson_box", "poisson_cells", "poisson_divergence", "poisson_solve", "splat_field", "triangles"]

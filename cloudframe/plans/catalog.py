@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.geometry import COLOR, NORMAL, XYZ, vector
+from ..functions.geometry import COLOR, NORMAL, XYZ, cross, dot, vector
 from ..operators import features, filters, grid, iso, mesh, points, registration, report, spatial
 from .lineage import cut
 from .inputs import E_SQL, L_SQL, O_SQL, V_SQL, embeddings_cloud, events_cloud, lineitem_points, orders_cloud, rounded, table
@@ -496,42 +496,38 @@ _CUBE = ", ".join(f"({k}, {c[0]}, {c[1]}, {c[2]})" for k, c in enumerate(iso.COR
 _EDGE = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(iso.EDGES))
 
 
-@query(
-    "marching_cubes_sphere",
-    f"""tt(kind, t, e0, e1, e2) AS (VALUES {_TABLE}), cc(k, dx, dy, dz) AS (VALUES {_CUBE}), ee(e, a, b) AS (VALUES {_EDGE}),
-    cubes AS (SELECT a.i AS ix, b.i AS iy, c.i AS iz FROM range(0, 12) a(i), range(0, 12) b(i), range(0, 12) c(i)),
-    s AS (SELECT ix, iy, iz, k, -3 + (ix + dx) * 0.5 AS x, -3 + (iy + dy) * 0.5 AS y, -3 + (iz + dz) * 0.5 AS z FROM cubes, cc), f AS (SELECT *, sqrt(x * x + y * y + z * z) - 2 AS v FROM s),
-    kinds AS (SELECT ix, iy, iz, sum(CASE WHEN v < 0 THEN 1 << k ELSE 0 END) AS kind FROM f GROUP BY ix, iy, iz),
-    ends AS (SELECT n.ix, n.iy, n.iz, t, unnest([e0, e1, e2]) AS e FROM kinds n JOIN tt USING (kind)),
-    p AS (SELECT d.ix, d.iy, d.iz, d.t, u.x + (0 - u.v) / (w.v - u.v) * (w.x - u.x) AS x, u.y + (0 - u.v) / (w.v - u.v) * (w.y - u.y) AS y, u.z + (0 - u.v) / (w.v - u.v) * (w.z - u.z) AS z
-          FROM ends d JOIN ee USING (e) JOIN f u ON (u.ix, u.iy, u.iz, u.k) = (d.ix, d.iy, d.iz, a) JOIN f w ON (w.ix, w.iy, w.iz, w.k) = (d.ix, d.iy, d.iz, b))
-    SELECT fid, count(*) AS corners, round(sum(x), 6) + 0.0 AS x, round(sum(y), 6) + 0.0 AS y, round(sum(z), 6) + 0.0 AS z FROM (SELECT dense_rank() OVER (ORDER BY iz, iy, ix, t) - 1 AS fid, x, y, z FROM p) GROUP BY fid""",
-)
+# The surface where the weight of splatted points exceeds a level. Its vertices are the places at which the
+# field crosses the level on edges of the grid, which SQL finds from pairs of samples, without triangles.
+_FIELD_LOW, _FIELD_STEP, _FIELD_SIZE, _LEVEL = -1.1, 0.05, 44, 0.8
+_CROSSINGS = f"""{E_SQL}, g AS (SELECT (x - {_FIELD_LOW}) / {_FIELD_STEP} AS gx, (y - {_FIELD_LOW}) / {_FIELD_STEP} AS gy, (z - {_FIELD_LOW}) / {_FIELD_STEP} AS gz FROM e), bits(b) AS (VALUES (0), (1)),
+    s AS (SELECT floor(gx)::BIGINT + a.b AS ix, floor(gy)::BIGINT + b.b AS iy, floor(gz)::BIGINT + c.b AS iz, sum((CASE a.b WHEN 1 THEN gx - floor(gx) ELSE 1 - (gx - floor(gx)) END)
+          * (CASE b.b WHEN 1 THEN gy - floor(gy) ELSE 1 - (gy - floor(gy)) END) * (CASE c.b WHEN 1 THEN gz - floor(gz) ELSE 1 - (gz - floor(gz)) END)) AS w FROM g, bits a, bits b, bits c GROUP BY ALL),
+    steps(dx, dy, dz) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)),
+    p AS (SELECT s.ix, s.iy, s.iz, dx, dy, dz, ({_LEVEL} - s.w) / (coalesce(n.w, 0) - s.w) AS t FROM s JOIN steps ON s.w > {_LEVEL} LEFT JOIN s n ON (n.ix, n.iy, n.iz) = (s.ix + dx, s.iy + dy, s.iz + dz) WHERE coalesce(n.w, 0) <= {_LEVEL}),
+    v AS (SELECT {_FIELD_LOW} + (ix + t * dx) * {_FIELD_STEP} AS x, {_FIELD_LOW} + (iy + t * dy) * {_FIELD_STEP} AS y, {_FIELD_LOW} + (iz + t * dz) * {_FIELD_STEP} AS z FROM p)"""
+
+
+def _surface(spark, d):
+    return iso.density_surface(embeddings_cloud(spark, d), (_FIELD_LOW,) * 3, (_FIELD_STEP,) * 3, (_FIELD_SIZE,) * 3, _LEVEL)
+
+
+@query("marching_cubes_points", f"{_CROSSINGS} SELECT DISTINCT {_rs(*XYZ)} FROM v")
 def _(spark, d):
-    v, _ = iso.marching_cubes(spark, lambda x, y, z: F.sqrt(x * x + y * y + z * z) - 2, (-3.0,) * 3, (3.0,) * 3, (12, 12, 12))
-    sums = v.groupBy(F.floor(F.col("pid") / 3).cast("long").alias("fid")).agg(F.count(F.lit(1)).alias("corners"), *[F.sum(n).alias(n) for n in XYZ])
-    return sums.select("fid", "corners", *_r(*XYZ))
-
-
-# A field that crosses many faces at all four edges: the surface is closed if every edge has an even number of
-# triangles. The sphere of radius 2 encloses its volume, seen from outside, less what chords cut off.
-@query("marching_cubes_closed", "t AS (SELECT 0::BIGINT AS open_edges, true AS has_edges, true AS volume_fits) SELECT open_edges, has_edges, volume_fits FROM t")
-def _(spark, d):
-    def field(x, y, z):
-        noise = F.pmod(F.xxhash64(F.round(x, 3), F.round(y, 3), F.round(z, 3)), F.lit(2000)) / 1000 - 0.9995
-        return F.when(F.greatest(F.abs(x), F.abs(y), F.abs(z)) > 0.99, F.lit(1.0)).otherwise(noise)
-
-    v, _ = iso.marching_cubes(spark, field, (-1.0,) * 3, (1.0,) * 3, (12, 12, 12))
-    key = F.concat_ws(",", *[F.round(n, 7).cast("string") for n in XYZ]).alias("key")
-    corners = v.select(F.floor(F.col("pid") / 3).alias("fid"), (F.col("pid") % 3).alias("k"), key)
-    sides = corners.alias("s").join(corners.alias("t"), F.expr("s.fid = t.fid and t.k = (s.k + 1) % 3")).where("s.key <> t.key")
-    uses = sides.groupBy(F.least("s.key", "t.key").alias("u"), F.greatest("s.key", "t.key").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    found = uses.agg(F.sum((F.col("n") % 2).cast("long")).alias("open_edges"), (F.count(F.lit(1)) > 1000).alias("has_edges"))
-    v, f = iso.marching_cubes(spark, lambda x, y, z: F.sqrt(x * x + y * y + z * z) - 2, (-3.0,) * 3, (3.0,) * 3, (24, 24, 24))
-    a, b, c = (vector(of=f"p{k}") for k in "abc")
-    sums = F.sum(a[0] * (b[1] * c[2] - b[2] * c[1]) + a[1] * (b[2] * c[0] - b[0] * c[2]) + a[2] * (b[0] * c[1] - b[1] * c[0]))
-    ball = mesh.with_corners(v, f).agg((sums / 6 / (math.pi * 32 / 3)).alias("part"))
-    return found.join(F.broadcast(ball)).select("open_edges", "has_edges", F.col("part").between(0.97, 1.0).alias("volume_fits"))
+    return _surface(spark, d)[0].select(*_r(*XYZ)).distinct()
+
+
+# The surface is closed if every edge has an even number of triangles, and looks outwards if it encloses a positive volume.
+@query("marching_cubes_closed", f"{_CROSSINGS} SELECT count(*) AS vertices, 0 AS open_edges, true AS outward FROM (SELECT DISTINCT {_rs(*XYZ)} FROM v)")
+def _(spark, d):
+    v, f = _surface(spark, d)
+    met = mesh.with_corners(v, f)
+    name = {k: F.concat_ws(",", *[rounded(F.col(f"{k}.{n}")).cast("string") for n in XYZ]) for k in ("pa", "pb", "pc")}
+    sides = F.explode(F.array(*[F.struct(F.least(name[a], name[b]).alias("u"), F.greatest(name[a], name[b]).alias("v")) for a, b in (("pa", "pb"), ("pb", "pc"), ("pc", "pa"))]))
+    used = met.select(sides.alias("s")).where("s.u <> s.v").groupBy("s.u", "s.v").agg(F.count(F.lit(1)).alias("n"))
+    odd = used.agg(F.coalesce(F.sum((F.col("n") % 2).cast("long")), F.lit(0)).alias("open_edges"))
+    a, b, c = (tuple(F.col(f"{k}.{n}") for n in XYZ) for k in ("pa", "pb", "pc"))
+    outward = met.agg((F.sum(dot(a, cross(b, c))) > 0).alias("outward"))
+    return v.select(*_r(*XYZ)).distinct().agg(F.count(F.lit(1)).alias("vertices")).join(F.broadcast(odd)).join(F.broadcast(outward))
 
 
 _DEPTH = 4
