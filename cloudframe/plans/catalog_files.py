@@ -45,6 +45,16 @@ for _format in ("ascii", "binary_little_endian", "binary_big_endian"):
         return ply.read_ply(spark, path).faces.select("fid", "a", "b", "c")
 
 
+# Polygons of three to five corners in a binary file: their places follow only from all before them.
+@query("ply_polygons", f"{_PAINTED}, t AS (SELECT pid, n, unnest(range(1, 2 + pid % 3)) AS k FROM p, n) SELECT row_number() OVER (ORDER BY pid, k) - 1 AS fid, CAST(pid AS INT) AS a, CAST((pid + k) % n AS INT) AS b, CAST((pid + k + 1) % n AS INT) AS c FROM t")
+def _(spark, d):
+    path, cloud = new_path(spark, "polygons.ply"), _painted(spark, d)
+    n = cloud.count()
+    corners = F.transform(F.sequence(F.lit(0), F.col("pid") % 3 + 2), lambda k: ((F.col("pid") + k) % n).cast("int"))
+    ply.write_ply(cloud.select("pid", *XYZ), path, cloud.select(F.col("pid").alias("fid"), corners.alias("corners")), "binary_little_endian")
+    return ply.read_ply(spark, path).faces.select("fid", "a", "b", "c")
+
+
 def _streamed(spark, d):
     path = new_path(spark, "stream.ply")
     ply.write_ply(_painted(spark, d).select("pid", *[F.col(c).cast("float").alias(c) for c in XYZ], *COLOR), path, format="binary_little_endian")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,12 +12,12 @@ from pyspark.sql import functions as F
 from ..functions.geometry import COLOR, NORMAL, RESERVED, XYZ, color_byte, intensity_word
 from ..operators.points import sample_rows
 from .files import SPLIT, lines_of, open_input, read_lines, read_records, write_file
+from .polygons import ListElement
 from .xyz import number, require
 
 # Names of types in headers and the numpy types (without byte order) that they stand for.
 TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 _WIDE = {"f4": "float", "f8": "double", "u2": "ushort"}
-_CODES = {"i1": "b", "u1": "B", "i2": "h", "u2": "H", "i4": "i", "u4": "I", "f4": "f", "f8": "d"}
 
 
 @dataclass
@@ -103,52 +102,36 @@ def read_header(path: str) -> Header:
     return header
 
 
-def _list_sizes(f, element: Element, order: str):
-    """Pass over the rows of an element with lists, a buffer at a time, giving each list as (row, property, items)."""
-    data, at = b"", 0
-
-    def need(n):
-        nonlocal data, at
-        while len(data) - at < n:
-            more = f.read(1 << 20)
-            if not more:
-                raise ValueError("the file ends within a list")
-            data, at = data[at:] + more, 0
-
-    for row in range(element.count):
-        for p in element.properties:
-            size = int(p[1][1])
-            need(size)
-            value = struct.unpack_from(order + _CODES[p[1]], data, at)[0]
-            at += size
-            if len(p) == 2:
-                continue
-            width = int(p[2][1])
-            if value < 0:
-                raise ValueError("a list has a negative count")
-            need(width * value)
-            yield row, p[0], np.frombuffer(data, np.dtype(order + p[2]), value, at), at, len(data)
-            at += width * value
-    f.seek(f.tell() - (len(data) - at))
-
-
-def _starts(path: str, header: Header) -> dict[str, int]:
-    """Where each element of a binary file begins. Elements with lists are passed over only if others follow."""
+@dataclass
+class _Place:
+    """Where an element of a binary file begins and, if its rows have no fixed width, where its ranges do."""
+
+    begin: int
+    rows: ListElement | None = None
+    places: DataFrame | None = None
+
+
+def _starts(spark: SparkSession, path: str, header: Header, split: int, wanted: tuple[str, ...]) -> dict[str, _Place]:
+    """Places of the elements of a binary file. Lists are followed only if they are wanted or others come after them."""
     at, out, order = header.size, {}, ">" if "big" in header.format else "<"
+    with open_input(path) as f:
+        size = f.size()
     for n, e in enumerate(header.elements):
-        out[e.name] = at
-        if n + 1 == len(header.elements):
-            break
+        out[e.name] = _Place(at)
+        rest = header.elements[n + 1 :]
         if e.stride is not None:
             at += e.stride * e.count
         elif (width := _triangles(path, header, e, at)) is not None and _follows(path, header, n, at + width * e.count):
             at += width * e.count
-        else:
-            with open_input(path) as f:
-                f.seek(at)
-                for _ in _list_sizes(f, e, order):
-                    pass
-                at = f.tell()
+        elif rest or e.name in wanted:
+            # Elements of fixed width after this one leave so much less for it.
+            end = size - sum(x.stride * x.count for x in rest) if all(x.stride is not None for x in rest) else size
+            if end < at:
+                _fail(path, "the file ends within its elements")
+            rows = ListElement(path, e.properties, order, at, end, e.count, split)
+            places, stop = rows.places(spark)
+            out[e.name] = _Place(at, rows, places)
+            at = stop
     return out
 
 
@@ -228,51 +211,34 @@ def _ascii(spark: SparkSession, path: str, header: Header, split: int) -> tuple[
 
 def _binary(spark: SparkSession, path: str, header: Header, split: int) -> tuple[DataFrame, DataFrame | None]:
     order = ">" if "big" in header.format else "<"
-    starts, v = _starts(path, header), header.element("vertex")
+    v, e = header.element("vertex"), header.element("face")
     if v.stride is None:
         _fail(path, "vertices with lists are not supported in binary files")
+    corners = next((p[0] for p in e.properties if len(p) == 3 and p[0] in ("vertex_indices", "vertex_index")), None) if e else None
+    starts = _starts(spark, path, header, split, ("face",) if corners else ())
     fields, at = [], 0
     for name, kind in v.properties:
         fields.append((name, order + kind, at))
         at += int(kind[1])
     with open_input(path) as f:
         size = f.size()
-    if starts["vertex"] + v.stride * v.count > size:
+    if starts["vertex"].begin + v.stride * v.count > size:
         _fail(path, "the file ends within its vertices")
-    raw = read_records(spark, path, starts["vertex"], v.count, v.stride, fields, split)
-    e = header.element("face")
-    if e is None or not any(len(p) == 3 and p[0] in ("vertex_indices", "vertex_index") for p in e.properties):
+    raw = read_records(spark, path, starts["vertex"].begin, v.count, v.stride, fields, split)
+    if corners is None:
         return raw, None
-    width = _triangles(path, header, e, starts["face"])
-    n = header.elements.index(e)
-    if width is not None and _follows(path, header, n, starts["face"] + width * e.count):
-        _, count, item = e.properties[0]
-        if item[0] == "f":
-            _fail(path, "face corners are no integers")
-        step = int(item[1])
-        places = [("n", order + count, 0), *((c, order + item, int(count[1]) + k * step) for k, c in enumerate("abc"))]
-        rows = read_records(spark, path, starts["face"], e.count, width, places, split)
-        # Counts of three at equal steps, filling the file: by induction every row is a triangle.
-        return raw, rows.where(require(F.col("n") == 3, F.lit(f"PLY parse error in {path}: a bad list count"))).select(F.col("pid").alias("row"), F.array(*[F.col(c).cast("long") for c in "abc"]).alias("corners"))
-
-    begin = starts["face"]
-
-    def polygons(batches):  # lists of any length have no known places: one task streams them
-        for _ in batches:
-            with open_input(path) as f:
-                f.seek(begin)
-                rows, corners = [], []
-                for row, name, items, _, _ in _list_sizes(f, e, order):
-                    if name in ("vertex_indices", "vertex_index"):
-                        rows.append(row)
-                        corners.append(items.astype(np.int64))
-                    if len(rows) == 65536:
-                        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(corners, pa.list_(pa.int64()))], names=["row", "corners"])
-                        rows, corners = [], []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(corners, pa.list_(pa.int64()))], names=["row", "corners"])
-
-    return raw, spark.range(0, 1, 1, 1).mapInArrow(polygons, "row long, corners array<bigint>")
+    face = starts["face"]
+    item = next(p[2] for p in e.properties if p[0] == corners)
+    if item[0] == "f":
+        _fail(path, "face corners are no integers")
+    if face.rows is not None:
+        return raw, face.rows.lists(face.places, corners)
+    _, count, _ = e.properties[0]
+    width, step = _triangles(path, header, e, face.begin), int(item[1])
+    places = [("n", order + count, 0), *((c, order + item, int(count[1]) + k * step) for k, c in enumerate("abc"))]
+    rows = read_records(spark, path, face.begin, e.count, width, places, split)
+    # Counts of three at equal steps, filling the file: by induction every row is a triangle.
+    return raw, rows.where(require(F.col("n") == 3, F.lit(f"PLY parse error in {path}: a bad list count"))).select(F.col("pid").alias("row"), F.array(*[F.col(c).cast("long") for c in "abc"]).alias("corners"))
 
 
 def read_ply(spark: SparkSession, path: str, apply_offset: bool = True, split: int = SPLIT) -> PlyFile:
@@ -281,7 +247,8 @@ def read_ply(spark: SparkSession, path: str, apply_offset: bool = True, split: i
     Points: ``pid, x, y, z``, normals and colours where complete (gray from an intensity where there
     are no colours), ``intensity`` and any other property as a scalar. Polygons become fans. A
     comment POINT_OFFSET is added to the coordinates unless ``apply_offset`` is false. Vertices and
-    triangles are read range by range; binary polygons of mixed sizes by one streaming task.
+    faces are read range by range; for binary polygons of mixed sizes, two jobs first find the first row of each
+    range, and a file that ends within them raises at once.
     """
     header = read_header(path)
     raw, corners = (_ascii if header.format == "ascii" else _binary)(spark, path, header, split)
@@ -313,8 +280,29 @@ def sample_vertices(spark: SparkSession, path: str, most: int) -> DataFrame:
     return sample_rows(stream_vertices(spark, path), read_header(path).element("vertex").count, most)
 
 
+def _polygon_encoder(order: str):
+    """Rows of a byte and as many corners of four bytes."""
+
+    def encode(batch: pa.RecordBatch) -> bytes:
+        lists = batch.column(0)
+        items = np.asarray(lists.flatten()).astype(order + "i4")
+        sizes = np.asarray(lists.value_lengths()).astype(np.int64)
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        begins = 4 * before[:-1] + np.arange(len(sizes))
+        out = np.empty(len(sizes) + 4 * len(items), np.uint8)
+        out[begins] = sizes
+        at = np.repeat(begins + 1 - 4 * before[:-1], sizes) + 4 * np.arange(len(items))
+        out[at[:, None] + np.arange(4)] = items.view(np.uint8).reshape(-1, 4)
+        return out.tobytes()
+
+    return encode
+
+
 def write_ply(points: DataFrame, path: str, faces: DataFrame | None = None, format: str = "ascii") -> None:
-    """Write a PLY file: coordinates, colours, intensity, normals, scalars, then faces; in the order of ``pid`` and ``fid``."""
+    """Write a PLY file: coordinates, colours, intensity, normals, scalars, then faces; in the order of ``pid`` and ``fid``.
+
+    Faces are triangles ``a, b, c`` or polygons ``corners`` (an array of at most 255).
+    """
     if format not in ("ascii", "binary_little_endian", "binary_big_endian"):
         raise ValueError(f"unknown format {format}")
     order = ">" if "big" in format else "<"
@@ -329,13 +317,16 @@ def write_ply(points: DataFrame, path: str, faces: DataFrame | None = None, form
     head = f"ply\nformat {format} 1.0\nelement vertex {points.count()}\n" + "".join(f"property {titles[k]} {c}\n" for c, k in layout)
     if faces is not None:
         head += f"element face {faces.count()}\nproperty list uchar int vertex_indices\n"
+        if polygons := "corners" in faces.columns:
+            faces = faces.where(require(F.coalesce(F.size("corners"), F.lit(0)).between(0, 255) & F.forall("corners", lambda c: c.isNotNull()), F.lit("a face has over 255 corners or null ones")))
     pieces: list = [(head + "end_header\n").encode()]
     numbers = {"f4": "float", "f8": "double", "u1": "smallint", "u2": "int"}
     columns = [F.col(c).cast(numbers[k]).alias(c) for c, k in layout]
     if format == "ascii":
         pieces.append((points.select(F.concat_ws(" ", *[c.cast("string") for c in columns]).alias("text"), "pid"), ["pid"], lines_of))
         if faces is not None:
-            pieces.append((faces.select(F.concat_ws(" ", F.lit("3"), "a", "b", "c").alias("text"), "fid"), ["fid"], lines_of))
+            corners = [F.size("corners"), F.array_join("corners", " ")] if polygons else [F.lit("3"), "a", "b", "c"]
+            pieces.append((faces.select(F.rtrim(F.concat_ws(" ", *corners)).alias("text"), "fid"), ["fid"], lines_of))
     else:
         def encoder(fields, fixed=()):
             def encode(batch: pa.RecordBatch) -> bytes:
@@ -349,7 +340,9 @@ def write_ply(points: DataFrame, path: str, faces: DataFrame | None = None, form
             return encode
 
         pieces.append((points.select(*columns, "pid"), ["pid"], encoder(layout)))
-        if faces is not None:
+        if faces is not None and polygons:
+            pieces.append((faces.select(F.col("corners").cast("array<int>").alias("corners"), "fid"), ["fid"], _polygon_encoder(order)))
+        elif faces is not None:
             triangle = [("n", "u1"), *((c, "i4") for c in "abc")]
             pieces.append((faces.select(*[F.col(c).cast("int").alias(c) for c in "abc"], "fid"), ["fid"], encoder(triangle, (("n", 3),))))
     write_file(path, pieces)
