@@ -1,4 +1,4 @@
-"""Two data sources over byte ranges of files, and a writer of single files from many tasks.
+"""Data sources over byte ranges of files, and one that puts single files together from many tasks.
 
 ``cloudframe_lines`` reads text, ``cloudframe_records`` binary records of one width. Both split files
 into ranges that tasks read by themselves; line and row numbers come from the ranges' order and one
@@ -8,6 +8,8 @@ count for each range, so nothing is sorted or gathered.
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..plans.lineage import cut, new_path
 
@@ -188,17 +190,19 @@ def read_records(spark: SparkSession, path: str, begin: int, count: int, stride:
 def _write_part(folder: str, encode: Callable[[pa.RecordBatch], bytes]):
     def run(batches):
         context = TaskContext.get()
-        name, out = f"{folder}/{context.partitionId():06d}-{context.taskAttemptId()}", None
+        name, out, size = f"{folder}/{context.partitionId():06d}-{context.taskAttemptId()}", None, 0
         for batch in batches:
             if out is None and batch.num_rows:
                 system, inner = filesystem(name)
                 system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                 out = system.open_output_stream(inner, compression=None)
             if batch.num_rows:
-                out.write(encode(batch))
+                data = encode(batch)
+                size += len(data)
+                out.write(data)
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()], pa.int32()), pa.array([name])], names=["part", "name"])
+            yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()], pa.int32()), pa.array([name]), pa.array([size], pa.int64())], names=["part", "name", "size"])
 
     return run
 
@@ -208,41 +212,127 @@ def lines_of(batch: pa.RecordBatch) -> bytes:
     return "".join(f"{t}\n" for t in batch.column(0).to_pylist()).encode("utf-8")
 
 
+class Assembly(DataSource):
+    """Takes ``name, begin, size`` of parts (or ``data``) and puts them into one file at those places; the file appears on commit."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "cloudframe_file"
+
+    def schema(self) -> str:
+        return "name string, begin long, size long, data binary"
+
+    def writer(self, schema, overwrite):
+        return AssemblyWriter(self.options)
+
+
+def _take_place(system, inner: str, goal: str) -> None:
+    """Move a whole file to its name; where the name is taken, only a system that replaces may do so at once."""
+    if system.type_name == "local":
+        os.replace(inner, goal)
+        return
+    if system.get_file_info(goal).type.name != "NotFound":
+        system.delete_file(goal)
+    system.move(inner, goal)
+
+
+class AssemblyWriter(DataSourceWriter):
+    """Writes beside the file under a name of its own.
+
+    On mounted file systems each task writes its parts at their places in a file of the full length,
+    and writing them again after a lost executor gives the same bytes. Other systems only append:
+    there all parts come to one task, in order.
+    """
+
+    def __init__(self, options):
+        self.path, self.temporary, self.size = options["path"], options["temporary"], int(options["size"])
+
+    def write(self, iterator):
+        system, inner = filesystem(self.temporary)
+        if system.type_name == "local":
+            with open(os.open(inner, os.O_WRONLY), "wb", buffering=0) as out:
+                for row in iterator:
+                    out.seek(row["begin"])
+                    self._copy(row, out.write)
+                os.fsync(out.fileno())
+        else:
+            at = 0
+            with system.open_output_stream(inner, compression=None) as out:
+                for row in iterator:
+                    if row["begin"] != at:
+                        raise ValueError(f"the parts of {self.path} are out of order")
+                    at += row["size"]
+                    self._copy(row, out.write)
+        return WriterCommitMessage()
+
+    @staticmethod
+    def _copy(row, write) -> None:
+        done = 0
+        if row["name"] is None:
+            sources = iter([row["data"]])
+        else:
+            f = open_input(row["name"])
+            sources = iter(lambda: f.read(READ), b"")
+        for data in sources:
+            done += len(data)
+            left = memoryview(data)
+            while len(left):  # an unbuffered file may take less than it is given
+                taken = write(left)
+                left = left[len(left) if taken is None else taken :]
+        if row["name"] is not None:
+            f.close()
+        if done != row["size"]:
+            raise ValueError(f"part {row['name']} has {done} bytes instead of {row['size']}")
+
+    def commit(self, messages) -> None:
+        system, inner = filesystem(self.temporary)
+        size = system.get_file_info(inner).size
+        if size != self.size:
+            system.delete_file(inner)
+            raise ValueError(f"{self.path} would have {size} bytes instead of {self.size}")
+        _take_place(system, inner, filesystem(self.path)[1])
+
+    def abort(self, messages) -> None:
+        system, inner = filesystem(self.temporary)
+        if system.get_file_info(inner).type.name != "NotFound":
+            system.delete_file(inner)
+
+
 def write_file(path: str, pieces: list[bytes | tuple[DataFrame, list[str], Callable[[pa.RecordBatch], bytes]]]) -> None:
     """Write one file of bytes and sections ``(rows, order columns, encoder)``.
 
     The sections are sorted by ranges and encoded by many tasks, each into a part of its own below
-    the checkpoint folder; one task then streams the parts into the file, a megabyte at a time. The
-    order columns come last in the rows and are not encoded.
+    the checkpoint folder. Their sizes give each part its place, and many tasks copy the parts into
+    the file (see ``AssemblyWriter``). It takes its name only when it is whole: a failed job leaves
+    an earlier file of that name as it was, and nothing beside it. The order columns come last in
+    the rows and are not encoded.
     """
     spark = next(p[0].sparkSession for p in pieces if not isinstance(p, bytes))
-    sources: list[bytes | str] = []
+    spark.dataSource.register(Assembly)
+    placed, at = None, 0
     for piece in pieces:
         if isinstance(piece, bytes):
-            sources.append(piece)
-            continue
-        rows, order, encode = piece
-        folder = new_path(spark, "file")
-        wanted = [c for c in rows.columns if c not in order]
-        ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*wanted)
-        parts = cut(ordered.mapInArrow(_write_part(folder, encode), "part int, name string"))
-        sources += [r["name"] for r in parts.orderBy("part").collect()]  # one row for each task
-
-    def concatenate(batches):
-        for _ in batches:
-            system, inner = filesystem(path)
-            system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-            size = 0
-            with system.open_output_stream(inner, compression=None) as out:
-                for s in sources:
-                    if isinstance(s, bytes):
-                        size += len(s)
-                        out.write(s)
-                        continue
-                    with open_input(s) as f:
-                        while data := f.read(READ):
-                            size += len(data)
-                            out.write(data)
-            yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64())], names=["bytes"])
-
-    spark.range(0, 1, 1, 1).mapInArrow(concatenate, "bytes long").collect()
+            rows = spark.createDataFrame([(None, at, len(piece), piece)], Assembly({}).schema())
+            at += len(piece)
+        else:
+            rows, order, encode = piece
+            folder = new_path(spark, "file")
+            wanted = [c for c in rows.columns if c not in order]
+            ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*wanted)
+            parts = cut(ordered.mapInArrow(_write_part(folder, encode), "part int, name string, size long"))  # one row for each task
+            before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            rows = parts.select("name", (before + at).alias("begin"), "size", F.lit(None).cast("binary").alias("data"))
+            at += parts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        placed = rows if placed is None else placed.unionByName(rows)
+
+    system, inner = filesystem(path)
+    system.create_dir(inner.rpartition("/")[0], recursive=True)
+    folder, _, name = path.rpartition("/")
+    temporary = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    if system.type_name == "local":
+        with open(filesystem(temporary)[1], "wb") as out:
+            out.truncate(at)
+        placed = placed.repartition(max(1, min(at // SPLIT + 1, spark.sparkContext.defaultParallelism * 4)))
+    else:
+        placed = placed.orderBy("begin").coalesce(1)
+    placed.write.format("cloudframe_file").mode("append").options(path=path, temporary=temporary, size=at).save()
