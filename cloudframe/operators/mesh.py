@@ -168,15 +168,26 @@ def cluster_vertices(vertices: DataFrame, faces: DataFrame, size: float) -> tupl
 
 
 def quality(vertices: DataFrame, faces: DataFrame, radius: float) -> DataFrame:
-    """One row of figures about a mesh of a sphere around the origin: counts, degenerate faces, radius errors, outward share."""
+    """One row of figures about a mesh of a sphere around the origin.
+
+    Counts of vertices, faces, faces with a corner that is no vertex (``invalid_faces``) and valid
+    faces of no area; distances of the vertices from the sphere and their largest coordinate; and,
+    of the faces with an area that look outward or inward, the share that looks outward and the
+    share of the commoner side. Shares of nothing are 0, as all figures of an empty mesh.
+    """
     error = F.abs(norm(vector()) - F.lit(float(radius)))
-    v = vertices.agg(F.count(F.lit(1)).alias("vertex_count"), F.max(error).alias("max_radius_error"), F.avg(error).alias("mean_radius_error"))
-    known = vertices.select("pid")
-    corners = faces.select("fid", F.explode(F.array("a", "b", "c")).alias("pid"))
-    invalid = corners.join(known, "pid", "left_anti").select("fid").distinct().agg(F.count(F.lit(1)).alias("invalid_faces"))
+    zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
+    v = vertices.agg(F.count(F.lit(1)).alias("vertex_count"), zero(F.max(error), "max_radius_error"), zero(F.avg(error), "mean_radius_error"), zero(F.max(F.greatest(*map(F.abs, vector()))).cast("double"), "max_abs_coordinate"))
+    all_faces = faces.agg(F.count(F.lit(1)).alias("face_count"))
     n = tuple(F.col(c) for c in ("fx", "fy", "fz"))
     middle = tuple((F.col(f"pa.{c}") + F.col(f"pb.{c}") + F.col(f"pc.{c}")) / 3 for c in XYZ)
+    empty, side = norm(n) <= 1e-10, dot(n, middle)
     f = face_normals(vertices, faces).agg(
-        F.count(F.lit(1)).alias("face_count"), F.coalesce(F.sum((norm(n) <= 1e-10).cast("long")), F.lit(0)).alias("degenerate_faces"), F.avg((dot(n, middle) > 0).cast("double")).alias("outward_ratio")
+        F.count(F.lit(1)).alias("valid"), F.count_if(empty).alias("degenerate_faces"), F.count_if(~empty & (side > 1e-12)).alias("outward"), F.count_if(~empty & (side < -1e-12)).alias("inward")
     )
-    return v.join(F.broadcast(f)).join(F.broadcast(invalid))
+    share = lambda a, b, name: zero(F.try_divide(a, b), name)
+    sides = F.col("outward") + F.col("inward")
+    return v.join(F.broadcast(all_faces)).join(F.broadcast(f)).select(
+        "vertex_count", "face_count", (F.col("face_count") - F.col("valid")).alias("invalid_faces"), "degenerate_faces", share(F.col("degenerate_faces"), F.col("valid"), "degenerate_ratio"),
+        "max_radius_error", "mean_radius_error", "max_abs_coordinate", share(F.col("outward"), sides, "outward_ratio"), share(F.greatest("outward", "inward"), sides, "dominant_ratio"),
+    )

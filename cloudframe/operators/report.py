@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+from ..sources.files import lines_of, write_file
+from ..sources.ply import write_ply
+from .mesh import quality
+
 
 def benchmark_gate(before: DataFrame, after: DataFrame, tolerance: float = 0.2, least_ms: float = 0.001, ignored: tuple[str, ...] = ()) -> DataFrame:
     """Full outer join of two ``benchmark, best_ms`` tables with the ratio and a status of each."""
@@ -39,6 +46,27 @@ def compare_statistics(reference: DataFrame, measured: DataFrame, tolerance: flo
     return both.where(F.col("expected").isNull() | F.col("actual").isNull() | (F.abs(F.col("expected") - F.col("actual")) > tolerance))
 
 
+def write_mesh_report(meshes: dict[str, tuple[DataFrame, DataFrame]], radius: float, folder: str) -> DataFrame:
+    """Write each mesh as ``<name>.ply`` and the figures of all as one document ``report.json``; returns ``name`` and its figures.
+
+    Names are those of files and keys: letters, digits, ``_`` and ``-``.
+    """
+    for name in meshes:
+        if not re.fullmatch(r"[\w-]+", name):
+            raise ValueError(f"{name!r} is no name of a mesh")
+    figures = None
+    for name, (vertices, faces) in meshes.items():
+        write_ply(vertices, f"{folder}/{name}.ply", faces)
+        row = quality(vertices, faces, radius).select(F.lit(name).alias("name"), "*")
+        figures = row if figures is None else figures.unionByName(row)
+    figures = cut(figures)
+    columns = [c for c in figures.columns if c != "name"]
+    entry = F.concat(F.lit('  "'), F.col("name"), F.lit('": '), F.to_json(F.struct(*columns)))
+    last = F.col("name") == F.lit(max(meshes))
+    write_file(f"{folder}/report.json", [b"{\n", (figures.select(F.concat(entry, F.when(last, "").otherwise(",")).alias("text"), "name"), ["name"], lines_of), b"}\n"])
+    return figures
+
+
 def mesh_report(quality: DataFrame) -> DataFrame:
     """A one-row table of figures as one JSON document."""
     return quality.select(F.to_json(F.struct(*quality.columns)).alias("json"))

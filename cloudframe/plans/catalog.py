@@ -238,10 +238,13 @@ def _(spark, d):
     return _pairs(spark, d, one_to_one=True)[2].select("src", "tgt", F.round("d", 6).alias("d"))
 
 
-@query("icp_moments", f"{E_SQL}, {_MOVED}, {_NEAR} SELECT count(*) AS n, round(sum(d * d), 6) AS sum_d2, round(avg(p.x), 6) AS mpx, round(avg(q.z), 6) AS mqz, round(covar_pop(p.x, q.y), 6) AS hxy, round(covar_pop(p.z, q.z), 6) AS hzz, round(covar_pop(p.x, p.x), 6) AS pxx FROM near JOIN m p ON p.pid = src JOIN e q ON q.pid = tgt")
+_MEANS = {f"m{s}{c}": f"avg({s}.{c})" for s in "pq" for c in XYZ}
+_COVARIANCES = {f"h{a}{b}": f"covar_pop(p.{a}, q.{b})" for a in XYZ for b in XYZ} | {f"{s}{a}{b}": f"covar_pop({s}.{a}, {s}.{b})" for s in "pq" for a, b in features.PAIRS}
+
+
+@query("icp_moments", f"{E_SQL}, {_MOVED}, {_NEAR} SELECT count(*) AS n, round(sum(d * d), 6) AS sum_d2, {', '.join(f'round({e}, 6) + 0.0 AS {n}' for n, e in (_MEANS | _COVARIANCES).items())} FROM near JOIN m p ON p.pid = src JOIN e q ON q.pid = tgt")
 def _(spark, d):
-    out = registration.moments(*_pairs(spark, d))
-    return out.select("n", *[F.round(c, 6).alias(c) for c in ("sum_d2", "mpx", "mqz", "hxy", "hzz", "pxx")])
+    return registration.moments(*_pairs(spark, d)).select("n", *_r("sum_d2", *_MEANS, *_COVARIANCES))
 
 
 @query("ordered_pairs", f"{E_SQL}, {_MOVED} SELECT a.pid AS src, b.pid AS tgt, round({_DIST}, 6) AS d FROM m a JOIN e b ON a.pid = b.pid")
@@ -425,9 +428,17 @@ def _(spark, d):
     return mesh.with_corners(v, f).select("fid", "a", "b", "c", *[rounded(f"pa.{n}").alias(n) for n in XYZ])
 
 
-@query("taubin_fixed_boundary", f"{_MESH}, {_EDGES}, edge AS (SELECT DISTINCT unnest([u, v]) AS p FROM (SELECT u, v FROM sides GROUP BY u, v HAVING count(*) = 1)), near AS (SELECT DISTINCT unnest([a, b, b, c, c, a]) AS p, unnest([b, a, c, b, a, c]) AS q FROM faces), m1 AS (SELECT p, avg(z) AS z FROM near JOIN verts ON pid = q ANTI JOIN edge USING (p) GROUP BY p), s1 AS (SELECT v.pid, v.z + coalesce(0.5 * (m.z - v.z), 0) AS z FROM verts v LEFT JOIN m1 m ON m.p = v.pid), m2 AS (SELECT p, avg(z) AS z FROM near JOIN s1 ON pid = q ANTI JOIN edge USING (p) GROUP BY p) SELECT v.pid, round(v.z + coalesce(-0.53 * (m.z - v.z), 0), 6) + 0.0 AS z FROM s1 v LEFT JOIN m2 m ON m.p = v.pid")
+_KEPT = f"{_MESH}, {_EDGES}, edge AS (SELECT DISTINCT unnest([u, v]) AS p FROM (SELECT u, v FROM sides GROUP BY u, v HAVING count(*) = 1)), near AS (SELECT DISTINCT unnest([a, b, b, c, c, a]) AS p, unnest([b, a, c, b, a, c]) AS q FROM faces)"
+_STEP_SQL = lambda c, w: f"v.{c} + coalesce({w} * (m.{c} - v.{c}), 0)"
+_AVERAGES = ", ".join(f"avg({c}) AS {c}" for c in XYZ)
+
+
+@query(
+    "taubin_fixed_boundary",
+    f"{_KEPT}, m1 AS (SELECT p, {_AVERAGES} FROM near JOIN verts ON pid = q ANTI JOIN edge USING (p) GROUP BY p), s1 AS (SELECT v.pid, {', '.join(f'{_STEP_SQL(c, 0.5)} AS {c}' for c in XYZ)} FROM verts v LEFT JOIN m1 m ON m.p = v.pid), m2 AS (SELECT p, {_AVERAGES} FROM near JOIN s1 ON pid = q ANTI JOIN edge USING (p) GROUP BY p) SELECT v.pid, {', '.join(f'round({_STEP_SQL(c, -0.53)}, 6) + 0.0 AS {c}' for c in XYZ)} FROM s1 v LEFT JOIN m2 m ON m.p = v.pid",
+)
 def _(spark, d):
-    return mesh.taubin_smooth(*_mesh(spark, d), 1, fix_boundary=True).select("pid", *_r("z"))
+    return mesh.taubin_smooth(*_mesh(spark, d), 1, fix_boundary=True).select("pid", *_r(*XYZ))
 
 
 @query("cluster_vertices", f"{_MESH}, low AS (SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz FROM verts), k AS (SELECT x, y, z, pid, floor((x - lx) / 150)::BIGINT AS kx, floor((y - ly) / 150)::BIGINT AS ky, floor((z - lz) / 150)::BIGINT AS kz FROM verts, low) SELECT row_number() OVER (ORDER BY kx, ky, kz) - 1 AS pid, {', '.join(f'round(avg({c}), 6) + 0.0 AS {c}' for c in XYZ)}, CAST(round(avg(pid % 256)) AS INT) AS red FROM k GROUP BY kx, ky, kz")
@@ -450,19 +461,21 @@ def _(spark, d):
     return grid.grid_to_mesh(_orders_grid(spark, d), source)[0].select("pid", "intensity", F.col("green").cast("int").alias("green"))
 
 
-_QUALITY = f"{_MESH}, {_CORNERS}, v AS (SELECT count(*) AS vertex_count, max(abs(sqrt(x * x + y * y + z * z) - 9000)) AS far, avg(abs(sqrt(x * x + y * y + z * z) - 9000)) AS mean FROM verts), f AS (SELECT count(*) AS face_count, count(*) FILTER (sqrt(fx * fx + fy * fy + fz * fz) <= 1e-10) AS degenerate_faces, avg(CASE WHEN fx * (3 * ax + ux + vx) + fy * (3 * ay + uy + vy) + fz * (3 * az + uz + vz) > 0 THEN 1.0 ELSE 0 END) AS outward FROM fn)"
+_QUALITY = f"{_MESH}, {_CORNERS}, v AS (SELECT count(*) AS vertex_count, max(abs(sqrt(x * x + y * y + z * z) - 9000)) AS far, avg(abs(sqrt(x * x + y * y + z * z) - 9000)) AS mean FROM verts), f AS (SELECT count(*) AS face_count, count(*) FILTER (sqrt(fx * fx + fy * fy + fz * fz) <= 1e-10) AS degenerate_faces, avg(CASE WHEN fx * (3 * ax + ux + vx) + fy * (3 * ay + uy + vy) + fz * (3 * az + uz + vz) > 0 THEN 1.0 ELSE 0 END) AS outward FROM fn), w AS (SELECT max(greatest(abs(x), abs(y), abs(z))) AS widest FROM verts)"
+_FIGURES = "vertex_count, face_count, 0 AS invalid_faces, degenerate_faces, round(degenerate_faces / face_count, 6) AS degenerate_ratio, round(far, 6) AS max_radius_error, round(mean, 6) AS mean_radius_error, round(widest, 6) AS max_abs_coordinate, round(outward, 6) AS outward_ratio, round(greatest(outward, 1 - outward), 6) AS dominant_ratio"
+_COUNTS, _SHARES = ("vertex_count", "face_count", "invalid_faces", "degenerate_faces"), ("degenerate_ratio", "max_radius_error", "mean_radius_error", "max_abs_coordinate", "outward_ratio", "dominant_ratio")
 
 
-@query("mesh_quality", f"{_QUALITY} SELECT vertex_count, face_count, degenerate_faces, 0 AS invalid_faces, round(far, 6) AS max_radius_error, round(mean, 6) AS mean_radius_error, round(outward, 6) AS outward_ratio FROM v, f")
+@query("mesh_quality", f"{_QUALITY} SELECT {_FIGURES} FROM v, f, w")
 def _(spark, d):
-    out = mesh.quality(*_mesh(spark, d), 9000.0)
-    return out.select("vertex_count", "face_count", "degenerate_faces", "invalid_faces", *[F.round(c, 6).alias(c) for c in ("max_radius_error", "mean_radius_error", "outward_ratio")])
+    return mesh.quality(*_mesh(spark, d), 9000.0).select(*_COUNTS, *[F.round(c, 6).alias(c) for c in _SHARES])
 
 
-@query("mesh_report", f"{_QUALITY} SELECT vertex_count, face_count, degenerate_faces FROM v, f")
+@query("mesh_report", f"{_QUALITY} SELECT {_FIGURES} FROM v, f, w")
 def _(spark, d):
     out = report.mesh_report(mesh.quality(*_mesh(spark, d), 9000.0))
-    return out.select(*[F.get_json_object("json", f"$.{c}").cast("long").alias(c) for c in ("vertex_count", "face_count", "degenerate_faces")])
+    figure = lambda c: F.get_json_object("json", f"$.{c}")
+    return out.select(*[figure(c).cast("long").alias(c) for c in _COUNTS], *[F.round(figure(c).cast("double"), 6).alias(c) for c in _SHARES])
 
 
 @query("validate_faces", f"{O_SQL}, n AS (SELECT max(pid) AS n FROM o) SELECT pid AS fid, 1 AS corner, pid + 1 AS pid FROM o, n WHERE pid + 1 > n UNION ALL SELECT pid, 2, pid + 2 FROM o, n WHERE pid + 2 > n")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geometry import COLOR, NORMAL, XYZ
+from ..operators import report
 from ..sources import las, obj, ply, xyz
+from ..streaming import clouds
 from .catalog import query
 from .inputs import E_SQL, embeddings_cloud, rounded
 from .lineage import new_path
@@ -61,10 +63,10 @@ def _streamed(spark, d):
     return path
 
 
-@query("ply_stream", f"{_PAINTED} SELECT pid, CAST(x AS FLOAT)::DOUBLE AS x, CAST(z AS FLOAT)::DOUBLE AS z, 1.0::DOUBLE AS nz, red, false AS has_normal FROM p")
+@query("ply_stream", f"{_PAINTED} SELECT pid, CAST(x AS FLOAT)::DOUBLE AS x, CAST(y AS FLOAT)::DOUBLE AS y, CAST(z AS FLOAT)::DOUBLE AS z, 0.0::DOUBLE AS nx, 0.0::DOUBLE AS ny, 1.0::DOUBLE AS nz, red, green, blue, false AS has_normal FROM p")
 def _(spark, d):
     found = ply.stream_vertices(spark, _streamed(spark, d), chunk_bytes=4096)
-    return found.select("pid", *[F.col(c).cast("double").alias(c) for c in ("x", "z", "nz")], F.col("red").cast("int").alias("red"), "has_normal")
+    return found.select("pid", *[F.col(c).cast("double").alias(c) for c in (*XYZ, *NORMAL)], *[F.col(c).cast("int").alias(c) for c in COLOR], "has_normal")
 
 
 @query("ply_sample", f"{_PAINTED} SELECT pid, blue FROM p, n WHERE pid % CAST(ceil(n / 60.0) AS BIGINT) = 0")
@@ -72,6 +74,37 @@ def _(spark, d):
     return ply.sample_vertices(spark, _streamed(spark, d), 60).select("pid", F.col("blue").cast("int").alias("blue"))
 
 
+# A folder of four files as a stream, a few kilobytes a task; the name of a file tells its first point.
+@query("ply_folder_stream", f"{_PAINTED} SELECT pid, CAST(x AS FLOAT)::DOUBLE AS x, CAST(y AS FLOAT)::DOUBLE AS y, CAST(z AS FLOAT)::DOUBLE AS z, red, green, blue FROM p")
+def _(spark, d):
+    folder, out, cloud = new_path(spark, "clouds"), new_path(spark, "streamed"), _painted(spark, d)
+    n = cloud.count()
+    step = max(1, -(-n // 4))
+    for first in range(0, n, step):
+        ply.write_ply(cloud.where(F.col("pid").between(first, first + step - 1)).select("pid", *[F.col(c).cast("float").alias(c) for c in XYZ], *COLOR), f"{folder}/{first}.ply", format="binary_little_endian")
+    stream = clouds.stream_clouds(spark, folder, new_path(spark, "log"), chunk_bytes=4096)
+    run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    first = F.regexp_extract("file", r"([0-9]+)\.ply$", 1).cast("long")
+    return spark.read.schema(stream.schema).parquet(out).select((F.col("pid") + first).alias("pid"), *[F.col(c).cast("double").alias(c) for c in XYZ], *[F.col(c).cast("int").alias(c) for c in COLOR])
+
+
+# The report of two meshes, read back from the files that it wrote.
+@query("mesh_report_files", f"{_PAINTED}, {_FACES}, w AS (SELECT count(*) AS vertices, max(greatest(abs(x), abs(y), abs(z))) AS widest, max(abs(sqrt(x * x + y * y + z * z) - 2)) AS far FROM p) SELECT name, vertices, n AS faces, round(widest, 6) AS widest, round(far, 6) AS far, n AS faces_read FROM w, n, (VALUES ('back'), ('front')) t(name)")
+def _(spark, d):
+    folder, cloud = new_path(spark, "report"), _painted(spark, d).select("pid", *XYZ)
+    strip = _strip(cloud)
+    turned = strip.select("fid", F.col("a"), F.col("c").alias("b"), F.col("b").alias("c"))
+    report.write_mesh_report({"front": (cloud, strip), "back": (cloud, turned)}, 2.0, folder)
+    whole = spark.read.text(f"{folder}/report.json", wholetext=True).select(F.from_json("value", "map<string, struct<vertex_count: long, face_count: long, max_abs_coordinate: double, max_radius_error: double>>").alias("m"))
+    read = None
+    for name in ("back", "front"):
+        one = ply.read_ply(spark, f"{folder}/{name}.ply").faces.agg(F.count(F.lit(1)).alias("faces_read")).withColumn("name", F.lit(name))
+        read = one if read is None else read.unionByName(one)
+    figures = whole.select(F.explode("m").alias("name", "f")).select("name", F.col("f.vertex_count").alias("vertices"), F.col("f.face_count").alias("faces"), F.round("f.max_abs_coordinate", 6).alias("widest"), F.round("f.max_radius_error", 6).alias("far"))
+    return figures.join(read, "name")
+
+
 def _obj(spark, d):
     path, cloud = new_path(spark, "mesh.obj"), _painted(spark, d)
     uv = cloud.select(F.col("pid").alias("tid"), F.col("x").alias("u"), F.col("y").alias("v"))

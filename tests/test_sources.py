@@ -166,3 +166,43 @@ def test_obj_errors(spark, tmp_path):
             found = read_obj(spark, text_file(tmp_path, "e.obj", "v 0 0 0\nv 1 0 0\nv 0 1 0\n" + line + "\n"))
             found.points.collect()
             found.faces.collect()
+
+
+# Records by the format: x, y, z, intensity, flags, class, angle, user, source; then what each format adds.
+_TIME, _COLORS, _WAVE = struct.pack("<d", 1.5), struct.pack("<3H", 257 * 7, 65535, 128), struct.pack("<BQIf3f", 1, 2, 3, 4.0, 5.0, 6.0, 7.0)
+
+
+@pytest.mark.parametrize("kind,added,colored", [(0, b"", False), (1, _TIME, False), (2, _COLORS, True), (3, _TIME + _COLORS, True), (5, _TIME + _COLORS + _WAVE, True)])
+@pytest.mark.parametrize("extra", [0, 3])
+def test_las_formats_byte_by_byte(spark, tmp_path, kind, added, colored, extra):
+    records = [struct.pack("<3iH2Bb BH".replace(" ", ""), k, -2 * k, 10, 1000 + k, 1, 1, 0, 0, 0) + added + bytes(extra) for k in range(7)]
+    head = bytearray(227)
+    head[:4] = b"LASF"
+    struct.pack_into("<HIIBHI", head, 94, 227, 240, 0, kind, len(records[0]), 7)
+    struct.pack_into("<6d", head, 131, 0.5, 0.25, 2.0, 100.0, 0.0, -1.0)
+    found = read_las(spark, text_file(tmp_path, f"{kind}.las", bytes(head) + bytes(13) + b"".join(records)), split=100)
+    assert rows(found.select("pid", "x", "y", "z", "intensity"), "pid") == [(k, 100 + k / 2, -k / 2, 19.0, 1000 + k) for k in range(7)]
+    assert ("red" in found.columns) == colored
+    if colored:
+        assert rows(found.select("red", "green", "blue").distinct(), "red") == [(7, 255, 0)]
+
+
+TRIANGLE = "v 0 0 0\nv 1 0 0\nv 0 1 0\nv 5 5 5\n"
+
+
+@pytest.mark.parametrize(
+    "text,normals",
+    [
+        ("vn 1 0 0\nvn 0 1 0\nvn 0 0 1\nvn -1 0 0\nf 1 2 3\n", [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (-1.0, 0.0, 0.0)]),  # corners without: by order
+        ("vn 1 0 0\nvn 0 1 0\nf 1 2 3\n", None),  # by order, but too few
+        ("vn 1 0 0\nvn 0 1 0\nf 1//1 2//1 3//1\nf 1//2 2//1 3//1\n", None),  # two normals at one vertex
+        ("vn 1 0 0\nvn 0 1 0\nvn 0 0 1\nvn -1 0 0\nf 1//4 2//4 3//4\n", [(-1.0, 0.0, 0.0)] * 4),  # the vertex without a face takes its own
+        ("vn 1 0 0\nf 1//1 2//1 3//1\n", None),  # and has none here
+        ("vn 1 0 0\nvn 0 1 0\nvn 0 0 1\nvn -1 0 0\n", [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (-1.0, 0.0, 0.0)]),  # no faces
+    ],
+)
+def test_obj_normals(spark, tmp_path, text, normals):
+    found = read_obj(spark, text_file(tmp_path, "n.obj", TRIANGLE + text)).points
+    assert ("nx" in found.columns) == (normals is not None)
+    if normals:
+        assert [tuple(r)[1:] for r in rows(found.select("pid", "nx", "ny", "nz"), "pid")] == normals

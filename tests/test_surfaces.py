@@ -1,5 +1,6 @@
 """Marching cubes on functions, splatted fields and the orientation of faces."""
 
+import json
 import math
 from collections import Counter
 
@@ -8,6 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloudframe.operators import iso
+from cloudframe.operators.mesh import quality
+from cloudframe.operators.report import write_mesh_report
+from cloudframe.sources.ply import read_ply
 
 SCHEMA = "pid long, x double, y double, z double, nx double, ny double, nz double"
 
@@ -89,3 +93,29 @@ def test_orientation_follows_the_nearest_normal(spark):
     found = iso.orient_faces(vertices, spark.createDataFrame(faces, "fid long, a long, b long, c long"), cloud)
     assert {r.fid: (r.a, r.b, r.c) for r in found.collect()} == want
     assert any(want[k] != f[1:] for k, f in zip(want, map(tuple, faces), strict=True)) and any(want[k] == f[1:] for k, f in zip(want, map(tuple, faces), strict=True))
+
+
+def test_quality_counts_invalid_and_empty_faces_apart(spark):
+    corners = [(0, 0.0, 0.0, 2.0), (1, 2.0, 0.0, 0.0), (2, 0.0, 2.0, 0.0), (3, 0.0, 0.0, -3.0)]
+    vertices = spark.createDataFrame(corners, "pid long, x double, y double, z double")
+    # Outward, outward, inward; no area; a corner that is none, or null.
+    faces = spark.createDataFrame([(0, 0, 1, 2), (1, 1, 2, 0), (2, 1, 3, 2), (3, 1, 2, 3), (4, 0, 0, 1), (5, 0, 1, 9), (6, 0, 1, None)], "fid long, a int, b int, c int")
+    row = quality(vertices, faces, 2.0).first().asDict()
+    outward = sum(np.dot(np.cross(np.subtract(b, a), np.subtract(c, a)), np.add(np.add(a, b), c)) > 0 for a, b, c in ([corners[k][1:] for k in f] for f in ((0, 1, 2), (1, 2, 0), (1, 3, 2), (1, 2, 3))))
+    assert (row["vertex_count"], row["face_count"], row["invalid_faces"], row["degenerate_faces"]) == (4, 7, 2, 1)
+    assert row["degenerate_ratio"] == 1 / 5 and row["max_abs_coordinate"] == 3.0
+    assert row["max_radius_error"] == 1.0 and row["mean_radius_error"] == 0.25
+    assert row["outward_ratio"] == outward / 4 and row["dominant_ratio"] == max(outward, 4 - outward) / 4
+    empty = quality(vertices.limit(0), faces.limit(0), 2.0).first()
+    assert set(empty) == {0}
+
+
+def test_reports_of_several_meshes(spark, tmp_path):
+    vertices = spark.createDataFrame([(0, 0.0, 0.0, 2.0), (1, 2.0, 0.0, 0.0), (2, 0.0, 2.0, 0.0)], "pid long, x double, y double, z double")
+    faces = spark.createDataFrame([(0, 0, 1, 2)], "fid long, a int, b int, c int")
+    figures = write_mesh_report({"b-1": (vertices, faces), "a_2": (vertices, faces)}, 2.0, str(tmp_path))
+    document = json.loads((tmp_path / "report.json").read_text())
+    assert list(document) == ["a_2", "b-1"] and document["a_2"] == {k: v for k, v in figures.first().asDict().items() if k != "name"}
+    assert read_ply(spark, str(tmp_path / "b-1.ply")).faces.count() == 1
+    with pytest.raises(ValueError, match="no name"):
+        write_mesh_report({"../x": (vertices, faces)}, 2.0, str(tmp_path))
