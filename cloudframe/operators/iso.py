@@ -19,6 +19,8 @@ from .spatial import nearest
 # Corners of a cube and the pairs of corners that its edges join.
 CORNERS = ((0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1))
 EDGES = ((0, 1), (1, 2), (2, 3), (3, 0), (4, 5), (5, 6), (6, 7), (7, 4), (0, 4), (1, 5), (2, 6), (3, 7))
+#: Side of the blocks of cells that are relaxed in one task, and half sweeps between their exchanges.
+BLOCK, HALO = 32, 8
 #: Samples that one extraction may have.
 MOST_SAMPLES = 100_000_000
 
@@ -199,25 +201,36 @@ def poisson_divergence(cells: DataFrame, h: float) -> DataFrame:
     return met.select("ix", "iy", "iz", "weight", "vx", "vy", "vz", (parts[0] + parts[1] + parts[2]).alias("divergence"))
 
 
-def _sweeps(iterations: int, h: float, depth: int):
+def _half_sweeps(times: range, side: int, halo: int, lasts: int | None):
+    """Half sweeps over a block of cells and the ``halo`` cells around it; the block's own cells are given back.
+
+    At time t those cells move whose indices sum to t, t - 2, ...; with ``lasts`` only up to the sum
+    t - lasts (exclusive), so that each moves lasts / 2 times, beginning when t reaches its sum.
+    """
+    shape = (side + 2 * halo + 2,) * 3
+
+    def around(v: np.ndarray) -> np.ndarray:
+        return v[:-2, 1:-1, 1:-1] + v[2:, 1:-1, 1:-1] + v[1:-1, :-2, 1:-1] + v[1:-1, 2:, 1:-1] + v[1:-1, 1:-1, :-2] + v[1:-1, 1:-1, 2:]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """In-place sweeps in the order in which an octree is walked, child by child."""
-        key = np.zeros(len(pdf), np.int64)
-        cells = pdf[["ix", "iy", "iz"]].to_numpy()
-        for bit in range(depth):
-            for a in range(3):
-                key |= (cells[:, a] >> bit & 1) << (3 * bit + a)
-        pdf = pdf.iloc[np.argsort(key, kind="stable")].reset_index(drop=True)
-        cells = list(map(tuple, pdf[["ix", "iy", "iz"]].to_numpy().tolist()))
-        place = {c: k for k, c in enumerate(cells)}
-        near = [[place[q] for q in ((x - 1, y, z), (x + 1, y, z), (x, y - 1, z), (x, y + 1, z), (x, y, z - 1), (x, y, z + 1)) if q in place] for x, y, z in cells]
-        load = (h * h * pdf["divergence"].to_numpy()).tolist()
-        value = [0.0] * len(cells)
-        for _ in range(iterations):
-            for k, others in enumerate(near):
-                if others:
-                    value[k] = (sum(value[q] for q in others) - load[k]) / len(others)
-        return pdf[["ix", "iy", "iz"]].assign(value=value)
+        block = [int(pdf[f"b{n}"].iloc[0]) for n in XYZ]
+        own = np.logical_and.reduce([pdf[f"i{n}"].to_numpy() // side == b for n, b in zip(XYZ, block, strict=True)])
+        if not own.any():
+            return pdf.loc[own, ["ix", "iy", "iz", "load", "value"]]
+        low = [b * side - halo - 1 for b in block]
+        at = tuple(pdf[f"i{n}"].to_numpy() - o for n, o in zip(XYZ, low, strict=True))
+        here, load, value = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+        here[at], load[at], value[at] = 1, pdf["load"], pdf["value"]
+        number, load, inner = around(here), load[1:-1, 1:-1, 1:-1], value[1:-1, 1:-1, 1:-1]
+        moves = (here[1:-1, 1:-1, 1:-1] > 0) & (number > 0)
+        sums = np.indices(inner.shape).sum(axis=0) + sum(low) + 3
+        for t in times:
+            now = moves & ((t - sums) % 2 == 0)
+            if lasts is not None:
+                now &= (t >= sums) & (t < sums + lasts)
+            if now.any():
+                inner[now] = ((around(value) - load)[now]) / number[now]
+        return pdf.loc[own, ["ix", "iy", "iz", "load"]].assign(value=value[at][own])
 
     return run
 
@@ -225,24 +238,29 @@ def _sweeps(iterations: int, h: float, depth: int):
 def poisson_solve(cells: DataFrame, h: float, depth: int, iterations: int = 30, in_order: bool = False) -> DataFrame:
     """``ix, iy, iz, value``: relaxed solution of the Poisson equation on occupied cells.
 
-    By default red-black sweeps, each half a join and an aggregate over the cluster, checkpointed.
-    ``in_order`` runs the sequential sweeps of the octree walk in one task, whose rows are bounded
-    by 8^depth; it takes grids of up to depth 6.
+    By default red-black sweeps. ``in_order`` gives, to the bit, what sweeps in the order of the
+    octree walk give: there a cell comes after its lower and before its upper neighbours on every
+    axis, so all cells whose indices have one sum may move together, and sweep k + 1 follows sweep k
+    two sums behind. Either way cells are dealt to blocks, each with as many cells around it as
+    half sweeps are done before the blocks exchange (HALO): one shuffle and one written table for
+    each HALO half sweeps. A block is one task's work and bounded, however many cells there are.
+    In order there are as many half sweeps more as the grid has sums: a deep grid takes many rounds.
     """
-    if in_order:
-        if depth > 6:
-            raise ValueError("sequential sweeps take grids of up to depth 6")
-        return cells.select("ix", "iy", "iz", "divergence", F.lit(0).alias("all")).groupBy("all").applyInPandas(_sweeps(iterations, h, depth), "ix long, iy long, iz long, value double")
-    color = F.pmod(F.col("ix") + F.col("iy") + F.col("iz"), F.lit(2))
+    side, halo = max(1, min(BLOCK, 2**depth)), HALO
+    total = F.col("ix") + F.col("iy") + F.col("iz")
     now = cut(cells.select("ix", "iy", "iz", (F.col("divergence") * F.lit(h * h)).alias("load"), F.lit(0.0).alias("value")))
-    steps = F.explode(F.array(*[F.struct(*[F.lit(d if b == a else 0).alias(f"d{n}") for b, n in enumerate(XYZ)]) for a in range(3) for d in (-1, 1)]))
-    for _ in range(iterations):
-        for half in (0, 1):
-            sent = now.where(color != half).select("ix", "iy", "iz", "value", steps.alias("s"))
-            sums = sent.groupBy(*[(F.col(f"i{n}") + F.col(f"s.d{n}")).alias(f"i{n}") for n in XYZ]).agg(F.sum("value").alias("near"), F.count(F.lit(1)).alias("n"))
-            joined = now.join(sums, ["ix", "iy", "iz"], "left")
-            new = F.when((color == half) & F.col("n").isNotNull(), (F.col("near") - F.col("load")) / F.col("n")).otherwise(F.col("value"))
-            now = cut(joined.select("ix", "iy", "iz", "load", new.alias("value")))
+    begin, end, lasts = 0, 2 * iterations, None
+    if in_order:
+        ends = now.agg(F.min(total), F.max(total)).first()
+        begin, lasts = ends[0] or 0, 2 * iterations
+        end = (ends[1] or 0) + lasts - 1
+    for t in range(begin, end, halo):
+        dealt = now
+        for n in XYZ:
+            blocks = F.sequence(F.floor((F.col(f"i{n}") - halo) / side), F.floor((F.col(f"i{n}") + halo) / side))
+            dealt = dealt.withColumn(f"b{n}", F.explode(blocks))
+        run = _half_sweeps(range(t, min(t + halo, end)), side, halo, lasts)
+        now = cut(dealt.groupBy("bx", "by", "bz").applyInPandas(run, "ix long, iy long, iz long, load double, value double"))
     return now.select("ix", "iy", "iz", "value")
 
 

@@ -42,6 +42,46 @@ def test_red_black_joins(spark, iterations):
     assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
 
+def one_by_one(load, h, iterations, depth):
+    """Sweeps over the cells in the order in which an octree is walked, child by child."""
+    def key(p):
+        return sum((p[a] >> bit & 1) << (3 * bit + a) for bit in range(depth) for a in range(3))
+
+    value = dict.fromkeys(load, 0.0)
+    steps = [(d * (a == 0), d * (a == 1), d * (a == 2)) for a in range(3) for d in (-1, 1)]
+    for _ in range(iterations):
+        for p in sorted(load, key=key):
+            near = [value[q] for s in steps if (q := tuple(c + d for c, d in zip(p, s, strict=True))) in value]
+            if near:
+                total = 0.0
+                for v in near:  # sum() of Python would make up for rounding
+                    total += v
+                value[p] = (total - h * h * load[p]) / len(near)
+    return value
+
+
+@pytest.mark.parametrize("depth,n,iterations,block,halo", [(4, 1500, 5, 5, 3), (5, 2500, 30, 32, 8), (6, 4000, 3, 16, 16), (4, 1, 3, 32, 8)])
+def test_sweeps_in_order_to_the_bit(spark, monkeypatch, depth, n, iterations, block, halo):
+    monkeypatch.setattr(iso, "BLOCK", block)
+    monkeypatch.setattr(iso, "HALO", halo)
+    load, h = cells(n, 2**depth), 0.25
+    df = spark.createDataFrame([(*p, v) for p, v in load.items()], "ix long, iy long, iz long, divergence double").repartition(3)
+    got = {(r.ix, r.iy, r.iz): r.value for r in iso.poisson_solve(df, h, depth, iterations, in_order=True).collect()}
+    assert got == one_by_one(load, h, iterations, depth)
+
+
+def test_blocks_of_any_size_give_the_same(spark, monkeypatch):
+    load = cells(1500, 16)
+    df = spark.createDataFrame([(*p, v) for p, v in load.items()], "ix long, iy long, iz long, divergence double")
+    monkeypatch.setattr(iso, "BLOCK", 6)
+    monkeypatch.setattr(iso, "HALO", 5)
+    want = red_black(load, 0.5, 6)
+    got = {(r.ix, r.iy, r.iz): r.value for r in iso.poisson_solve(df, 0.5, 4, 6).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    none = iso.poisson_solve(df.limit(0), 0.5, 4, 2, in_order=True)
+    assert none.collect() == []
+
+
 def test_sweeps_in_order_settle_at_the_same_values(spark):
     load = {(x, y, z): 1.0 if x == 0 else -1.0 for x in range(2) for y in range(2) for z in range(2)}  # the loads sum to zero
     df = spark.createDataFrame([(*p, v) for p, v in load.items()], "ix long, iy long, iz long, divergence double")
