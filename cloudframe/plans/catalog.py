@@ -573,17 +573,19 @@ def _(spark, d):
     return iso.poisson_divergence(cells, h).select("ix", "iy", "iz", *_r("divergence", digits=4))
 
 
-def _solution(iterations: int) -> str:
-    """``field(ix, iy, iz, value)``: red-black half sweeps, a table for each."""
+def _solution(iterations: int, in_order: int | None = None) -> str:
+    """``field(ix, iy, iz, value)``: red-black half sweeps, a table for each; or, in a grid of so many cells a side, planes of equal index sums that follow each other."""
+    last = 2 * iterations if in_order is None else 3 * (in_order - 1) + 2 * iterations - 1
+    due = "true" if in_order is None else f"{{k}} BETWEEN s.ix + s.iy + s.iz AND s.ix + s.iy + s.iz + {2 * iterations - 1}"
     out = f"div AS (SELECT c.ix, c.iy, c.iz, h, {' + '.join(map(_difference, XYZ))} AS divergence FROM cells c {' '.join(_side(n, s, k) for n in XYZ for s, k in (('p', 1), ('m', -1)))} JOIN box ON true)"
     out += ", s0 AS MATERIALIZED (SELECT ix, iy, iz, divergence * h * h AS load, CAST(0 AS DOUBLE) AS value FROM div)"
     around = " OR ".join(f"({' AND '.join(f'q.i{b} = p.i{b}' + (f' + {k}' if a == b else '') for b in XYZ)})" for a in XYZ for k in (-1, 1))
-    for k in range(2 * iterations):
+    for k in range(last):
         near = f"SELECT p.ix, p.iy, p.iz, sum(q.value) AS near, count(*) AS n FROM s{k} p JOIN s{k} q ON {around} GROUP BY ALL" if k == 0 else f"SELECT p.ix, p.iy, p.iz, sum(q.value) AS near, count(*) AS n FROM links p JOIN s{k} q ON (q.ix, q.iy, q.iz) = (p.jx, p.jy, p.jz) GROUP BY ALL"
         if k == 0:
             out += f", links AS MATERIALIZED (SELECT p.ix, p.iy, p.iz, q.ix AS jx, q.iy AS jy, q.iz AS jz FROM s0 p JOIN s0 q ON {around})"
-        out += f", s{k + 1} AS MATERIALIZED (SELECT s.ix, s.iy, s.iz, s.load, CASE WHEN (s.ix + s.iy + s.iz) % 2 = {k % 2} AND n IS NOT NULL THEN (near - load) / n ELSE value END AS value FROM s{k} s LEFT JOIN ({near}) USING (ix, iy, iz))"
-    return f"{out}, field AS (SELECT ix, iy, iz, value FROM s{2 * iterations})"
+        out += f", s{k + 1} AS MATERIALIZED (SELECT s.ix, s.iy, s.iz, s.load, CASE WHEN (s.ix + s.iy + s.iz) % 2 = {k % 2} AND {due.format(k=k)} AND n IS NOT NULL THEN (near - load) / n ELSE value END AS value FROM s{k} s LEFT JOIN ({near}) USING (ix, iy, iz))"
+    return f"{out}, field AS (SELECT ix, iy, iz, value FROM s{last})"
 
 
 _SWEEPS = 30
@@ -595,6 +597,15 @@ def _(spark, d):
     return iso.poisson_solve(iso.poisson_divergence(cells, h), h, _DEPTH, _SWEEPS).select("ix", "iy", "iz", *_r("value"))
 
 
+_ORDERED = 4
+
+
+@query("poisson_in_order", f"{_CELLS}, {_solution(_ORDERED, 2**_DEPTH)} SELECT ix, iy, iz, round(value, 6) + 0.0 AS value FROM field")
+def _(spark, d):
+    cells, h = _cells(spark, d)
+    return iso.poisson_solve(iso.poisson_divergence(cells, h), h, _DEPTH, _ORDERED, in_order=True).select("ix", "iy", "iz", *_r("value"))
+
+
 #: The same cells at the operator's own depth.
 _SURFACE_DEPTH = 6
 _SURFACE_CELLS = _CELLS.replace(f"side / {2**_DEPTH} AS h", f"side / {2**_SURFACE_DEPTH} AS h")
