@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from .points import bounds, checked, dense_ids, half_up
 from .selection import kth_smallest
 from .spatial import nearest
 
+#: Cells of a block's side, and cells around it that it takes with it, about.
+BLOCK, HALO = 256, 16
+
 
 @dataclass(frozen=True)
 class HeightGrid:
@@ -81,36 +86,96 @@ def height_grid(
     return HeightGrid(cut(cells, "grid"), width, height, x0, y0, step_x, step_y)
 
 
+def _fill_block(passes: range, least: int, radius: int, side: int, halo: int, width: int, height: int, colors: list[str]):
+    """Passes over a block of cells and the ``halo`` cells around it; the block's own new cells are given back."""
+    n, reach = side + 2 * halo, range(-radius, radius + 1)
+    steps = [(dx, dy, 1 / math.hypot(dx, dy)) for dx in reach for dy in reach if dx or dy]
+    inner = slice(radius, radius + n)
+    names = ["z", *colors]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x0, y0 = (int(pdf[b].iloc[0]) * side - halo for b in ("bx", "by"))
+        at = pdf["ix"].to_numpy() - x0 + radius, pdf["iy"].to_numpy() - y0 + radius
+        shape = (n + 2 * radius,) * 2
+        valid, made = np.zeros(shape, bool), np.zeros(shape, np.int32)
+        valid[at] = True
+        values, known = np.zeros((len(names), *shape)), np.zeros((len(names), *shape), bool)
+        for k, c in enumerate(names):
+            column = pdf[c].to_numpy(float, na_value=np.nan)
+            known[(k, *at)] = ~np.isnan(column)
+            values[(k, *at)] = np.nan_to_num(column)
+        xs, ys = x0 + np.arange(n)[:, None], y0 + np.arange(n)[None]
+        inside = (xs >= 0) & (xs < width) & (ys >= 0) & (ys < height)
+        for t in passes:
+            number, weight = np.zeros((n, n), np.int64), np.zeros((n, n))
+            sums, some = np.zeros((len(names), n, n)), np.zeros((len(names), n, n), bool)
+            for dx, dy, w in steps:
+                near = slice(radius + dx, radius + dx + n), slice(radius + dy, radius + dy + n)
+                number += valid[near]
+                weight += valid[near] * w
+                sums += values[(slice(None), *near)] * w
+                some |= known[(slice(None), *near)]
+            new = inside & ~valid[inner, inner] & (number >= max(1, least))
+            if not new.any():
+                break
+            spot = tuple(i + radius for i in np.nonzero(new))
+            valid[spot], made[spot] = True, t
+            known[(slice(None), *spot)] = some[:, new]
+            mean = sums[:, new] / weight[new]
+            if colors:
+                mean[1:] = _half_up(mean[1:])
+            values[(slice(None), *spot)] = mean
+        own = slice(radius + halo, radius + halo + side)
+        i, j = np.nonzero(made[own, own])
+        spot = i + radius + halo, j + radius + halo
+        out = {"ix": i + x0 + halo, "iy": j + y0 + halo, "fill_pass": made[spot]}
+        return pd.DataFrame(out | {c: np.where(known[(k, *spot)], values[(k, *spot)], np.nan) for k, c in enumerate(names)})
+
+    return run
+
+
+def _half_up(a: np.ndarray) -> np.ndarray:
+    """Colours rounded half away from zero, from 0 to 255."""
+    whole = np.floor(a)
+    return np.clip(whole + (a - whole >= 0.5), 0, 255)
+
+
 def fill_holes(grid: HeightGrid, passes: int = 8, least: int = 1, radius: int = 1) -> HeightGrid:
     """Fill cells that have ``least`` valid cells around them with their inverse-distance mean, pass by pass.
 
-    A pass sees only what was valid before it; it is written to the shared folder. After the first
-    pass only cells around those of the last one are looked at: nothing changed around the others.
-    Stops when a pass fills nothing.
+    A pass sees only what was valid before it. Cells are dealt to blocks of ``BLOCK`` a side, each
+    with as many cells around it as ``HALO // radius`` passes can reach; a block does that many
+    passes inside its task before blocks exchange, so there is one shuffle and one written table for
+    them, and a block is bounded, however large the grid. After the first exchange only blocks near
+    cells of the last pass are looked at: nothing changed around the others. Stops when a pass fills
+    nothing. A value that is null counts as missing, but its cell's weight stays.
     """
-    cells = last = grid.cells
-    colors = [c for c in COLOR if c in cells.columns]
-    steps = [(dx, dy) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if dx or dy]
-    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(1 / math.hypot(dx, dy)).alias("w")) for dx, dy in steps])
-
-    def spread(df: DataFrame, *rest: str) -> DataFrame:
-        """Every row at each place around its own, with the weight of the step."""
-        moved = df.select("ix", "iy", *rest, F.explode(around).alias("s"))
-        return moved.select((F.col("ix") + F.col("s.dx")).alias("ix"), (F.col("iy") + F.col("s.dy")).alias("iy"), *rest, F.col("s.w").alias("w"))
-
-    for n in range(passes):
-        near = spread(last if n else cells, "z", *colors).where(F.col("ix").between(0, grid.width - 1) & F.col("iy").between(0, grid.height - 1))
-        if n:  # the open cells around the last ones, and all valid cells around those
-            targets = near.select("ix", "iy").distinct().join(cells.select("ix", "iy"), ["ix", "iy"], "left_anti")
-            near = spread(targets.withColumns({"tx": F.col("ix"), "ty": F.col("iy")}), "tx", "ty").join(cells.select("ix", "iy", "z", *colors), ["ix", "iy"])
-            near = near.select(F.col("tx").alias("ix"), F.col("ty").alias("iy"), "z", *colors, "w")
-        means = [half_up(F.sum(F.col(c) * F.col("w")) / F.sum("w"), 255).cast("smallint").alias(c) for c in colors]
-        new = near.join(cells.select("ix", "iy"), ["ix", "iy"], "left_anti").groupBy("ix", "iy")
-        new = new.agg((F.sum(F.col("z") * F.col("w")) / F.sum("w")).alias("z"), F.lit(0.0).alias("weight"), *means, F.count(F.lit(1)).alias("__n"))
-        new = cut(new.where(F.col("__n") >= least).drop("__n").withColumn("fill_pass", F.lit(n + 1)))
-        if new.isEmpty():
+    if passes <= 0 or radius <= 0:
+        return grid
+    cells, colors = grid.cells, [c for c in COLOR if c in grid.cells.columns]
+    together = max(1, HALO // radius)
+    last = None
+
+    def dealt(df: DataFrame, halo: int) -> DataFrame:
+        """Rows with the blocks that they are in or around."""
+        for i, b, n in (("ix", "bx", grid.width), ("iy", "by", grid.height)):
+            near = F.sequence(F.floor((F.col(i) - halo) / BLOCK), F.floor((F.col(i) + halo) / BLOCK))
+            df = df.withColumn(b, F.explode(near)).where(F.col(b).between(0, (n - 1) // BLOCK))
+        return df
+
+    for done in range(0, passes, together):
+        now = range(done + 1, min(done + together, passes) + 1)
+        halo = len(now) * radius
+        blocks = dealt(cells.select("ix", "iy", F.col("z").cast("double").alias("z"), *colors), halo)
+        if last is not None:
+            blocks = blocks.join(dealt(last, halo).select("bx", "by").distinct(), ["bx", "by"], "left_semi")
+        run = _fill_block(now, least, radius, BLOCK, halo, grid.width, grid.height, colors)
+        schema = ", ".join(["ix long", "iy long", "fill_pass int", "z double", *[f"{c} double" for c in colors]])
+        new = blocks.groupBy("bx", "by").applyInPandas(run, schema)
+        new = cut(new.select("ix", "iy", "z", F.lit(0.0).alias("weight"), *[F.when(~F.isnan(c), F.col(c)).cast("smallint").alias(c) for c in colors], "fill_pass"))
+        cells, last = cells.unionByName(new), new.where(F.col("fill_pass") == now[-1])
+        if last.isEmpty():
             break
-        cells, last = cells.unionByName(new), new
     return replace(grid, cells=cells)
 
 

@@ -441,6 +441,23 @@ def _(spark, d):
     return mesh.taubin_smooth(*_mesh(spark, d), 1, fix_boundary=True).select("pid", *_r(*XYZ))
 
 
+_STEPS = 20
+
+
+def _smooth_sql(n: int) -> str:
+    """Vertices ``s{n}`` after n steps, a table for each."""
+    out = f"s0 AS MATERIALIZED (SELECT pid, {', '.join(XYZ)} FROM verts)"
+    for k in range(n):
+        moved = ", ".join(f"{_STEP_SQL(c, (0.5, -0.53)[k % 2])} AS {c}" for c in XYZ)
+        out += f", s{k + 1} AS MATERIALIZED (SELECT v.pid, {moved} FROM s{k} v LEFT JOIN (SELECT p, {_AVERAGES} FROM near JOIN s{k} ON pid = q ANTI JOIN edge USING (p) GROUP BY p) m ON m.p = v.pid)"
+    return out
+
+
+@query("taubin_rings", f"{_KEPT}, {_smooth_sql(_STEPS)} SELECT pid, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in XYZ)} FROM s{_STEPS}")
+def _(spark, d):
+    return mesh.taubin_smooth(*_mesh(spark, d), _STEPS // 2, fix_boundary=True).select("pid", *_r(*XYZ))
+
+
 @query("cluster_vertices", f"{_MESH}, low AS (SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz FROM verts), k AS (SELECT x, y, z, pid, floor((x - lx) / 150)::BIGINT AS kx, floor((y - ly) / 150)::BIGINT AS ky, floor((z - lz) / 150)::BIGINT AS kz FROM verts, low) SELECT row_number() OVER (ORDER BY kx, ky, kz) - 1 AS pid, {', '.join(f'round(avg({c}), 6) + 0.0 AS {c}' for c in XYZ)}, CAST(round(avg(pid % 256)) AS INT) AS red FROM k GROUP BY kx, ky, kz")
 def _(spark, d):
     v, f = _mesh(spark, d)
