@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from .points import bounds, dense_ids, mean_attributes
 
 #: Rings of vertices that a block of a mesh takes with it, and neighbours that a block lists, at most.
 RINGS, BLOCK_EDGES = 4, 1_000_000
+#: Steps from which making the rings pays.
+WORTH = 32
 
 
 def with_corners(vertices: DataFrame, faces: DataFrame, columns: tuple[str, ...] = XYZ) -> DataFrame:
@@ -102,50 +105,51 @@ def boundary_edges(faces: DataFrame) -> DataFrame:
     return edges(faces).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("u", "v")
 
 
-def _mesh_blocks(vertices: DataFrame, pairs: DataFrame, rings: int, most: int) -> tuple[DataFrame | None, int]:
-    """Blocks of near vertices with up to ``rings`` rings of vertices around each: ``block, pid, ring, near``, and the number of rings.
+def _mesh_blocks(vertices: DataFrame, pairs: DataFrame, rings: int, most: int) -> tuple[DataFrame | None, int, int]:
+    """Blocks of near vertices with up to ``rings`` rings of vertices around each.
 
-    ``near`` holds the neighbours of all but the last ring. A ring is added only if the neighbours
-    in each block then number at most ``most``, which is counted before anything is listed: a vertex
-    with very many neighbours ends the rings. Without any ring there is no table.
+    Gives rows ``block, pid, ring, near``, the number of rings and that of blocks. ``near`` holds the
+    neighbours of all but the last ring. A ring is added only if the neighbours in each block then
+    number at most ``most``, which is counted before anything is listed: a vertex with very many
+    neighbours ends the rings. Without any ring there is no table.
     """
     degrees = cut(pairs.groupBy("pid").agg(F.count(F.lit(1)).alias("n")))
     placed = finite(*vector())
     at = SpatialIndex(vertices.where(placed).select("pid", *[c.alias(f"p{n}") for n, c in zip(XYZ, vector(), strict=True)]))
-    rest = vertices.where(~placed).select("pid", F.pmod(F.xxhash64("pid"), F.lit(len(at.parts.n))).cast("int").alias("block"))
-    ring = cut(at.points.select("pid", F.col("part").alias("block")).unionByName(rest).withColumn("ring", F.lit(0)))
-    inside, lists, total = ring, None, None
+    blocks = len(at.parts.n)
+    rest = vertices.where(~placed).select("pid", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int").alias("block"))
+    ring = inside = cut(at.points.select("pid", F.col("part").alias("block")).unionByName(rest).withColumn("ring", F.lit(0)))
     for k in range(rings):
-        sizes = ring.join(degrees, "pid").groupBy("block").agg(F.sum("n").alias("n"))
-        total = cut(sizes if total is None else sizes.unionByName(total).groupBy("block").agg(F.sum("n").alias("n")))
-        if (total.agg(F.max("n")).first()[0] or 0) > most:
+        sizes = inside.join(degrees, "pid").groupBy("block").agg(F.sum("n").alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) > most:
             rings = k
             break
-        near = cut(ring.join(pairs, "pid").groupBy("block", "pid").agg(F.collect_list("neighbour").alias("near")))
-        lists = near if lists is None else lists.unionByName(near)
-        found = near.select("block", F.explode("near").alias("pid")).distinct()
+        found = ring.join(pairs, "pid").select("block", F.col("neighbour").alias("pid")).distinct()
         ring = cut(found.join(inside.select("block", "pid"), ["block", "pid"], "left_anti").withColumn("ring", F.lit(k + 1)))
         inside = inside.unionByName(ring)
-    return (cut(inside.join(lists, ["block", "pid"], "left")) if rings else None), rings
+    if not rings:
+        return None, 0, blocks
+    lists = inside.where(F.col("ring") < rings).join(pairs, "pid").groupBy("block", "pid").agg(F.collect_list("neighbour").alias("near"))
+    return cut(inside.join(lists, ["block", "pid"], "left")), rings, blocks
 
 
 def _smooth_block(factors: list[float]):
     """Steps over the vertices of a block and its rings; the block's own vertices are given back."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pid, own = pdf["pid"].to_numpy(), pdf["ring"].to_numpy() == 0
-        lists = [() if v is None else v for v in pdf["near"]]
-        ends = np.concatenate([np.asarray(v, np.int64) for v in lists])
+    def run(table: pa.Table) -> pa.Table:
+        pid, own = table["pid"].to_numpy(), table["ring"].to_numpy() == 0
+        near = table["near"].combine_chunks()
+        ends, listed = near.flatten().to_numpy(), pc.fill_null(pc.list_value_length(near), 0).to_numpy(zero_copy_only=False)
         order = np.argsort(pid)
         to = order[np.minimum(np.searchsorted(pid, ends, sorter=order), len(pid) - 1)]
         known = pid[to] == ends  # a corner that is no vertex has no place
-        row, to = np.repeat(np.arange(len(pid)), [len(v) for v in lists])[known], to[known]
+        row, to = np.repeat(np.arange(len(pid)), listed)[known], to[known]
         number = np.bincount(row, minlength=len(pid))
-        moves, place = number > 0, pdf[list(XYZ)].to_numpy(float)
+        moves, place = number > 0, np.stack([table[c].to_numpy() for c in XYZ], axis=1)
         for f in factors:
             mean = np.stack([np.bincount(row, axis[to], len(pid)) for axis in place.T], axis=1)[moves] / number[moves, None]
             place[moves] += f * (mean - place[moves])
-        return pd.DataFrame({"pid": pid[own], **dict(zip(XYZ, place[own].T, strict=True))})
+        return pa.table({"pid": pid[own], **dict(zip(XYZ, place[own].T, strict=True))})
 
     return run
 
@@ -153,7 +157,7 @@ def _smooth_block(factors: list[float]):
 def taubin_smooth(vertices: DataFrame, faces: DataFrame, iterations: int, first: float = 0.5, second: float = -0.53, fix_boundary: bool = False) -> DataFrame:
     """Move vertices towards and away from the mean of their neighbours, ``iterations`` times.
 
-    The edge list is made once. With at least twice ``RINGS`` steps, vertices are dealt to blocks of
+    The edge list is made once. With at least ``WORTH`` steps, vertices are dealt to blocks of
     near ones, each with rings of vertices around it, and a block does as many steps inside its task
     as it has rings: one exchange and one written table for them. Where a block's rings would hold
     over ``BLOCK_EDGES`` neighbours (a vertex with very many), and for few steps, each step is a join,
@@ -168,12 +172,12 @@ def taubin_smooth(vertices: DataFrame, faces: DataFrame, iterations: int, first:
         still = boundary_edges(faces).select(F.explode(F.array("u", "v")).alias("pid")).distinct()
         pairs = cut(pairs.join(still, "pid", "left_anti"))
     out = vertices.drop(*NORMAL).withColumns(dict(zip(XYZ, vector(), strict=True)))
-    blocks, rings = _mesh_blocks(out, pairs, RINGS, BLOCK_EDGES) if len(steps) >= 2 * RINGS else (None, 0)
+    blocks, rings, n = _mesh_blocks(out, pairs, RINGS, BLOCK_EDGES) if len(steps) >= WORTH else (None, 0, 0)
     if blocks is not None:
         now = out.select("pid", *XYZ)
         for k in range(0, len(steps), rings):
             run = _smooth_block(steps[k : k + rings])
-            now = cut(blocks.join(now, "pid").groupBy("block").applyInPandas(run, "pid long, x double, y double, z double"))
+            now = cut(blocks.join(now, "pid").repartition(n, "block").groupBy("block").applyInArrow(run, "pid long, x double, y double, z double"))
         moved = now.select("pid", *[F.coalesce(c, F.lit(math.nan)).alias(f"__{c}") for c in XYZ])
         out = out.join(moved, "pid", "left").withColumns({c: F.coalesce(f"__{c}", c) for c in XYZ}).drop(*[f"__{c}" for c in XYZ])
     for factor in () if blocks is not None else steps:

@@ -441,7 +441,7 @@ def _(spark, d):
     return mesh.taubin_smooth(*_mesh(spark, d), 1, fix_boundary=True).select("pid", *_r(*XYZ))
 
 
-_STEPS = 20
+_STEPS = 32
 
 
 def _smooth_sql(n: int) -> str:
