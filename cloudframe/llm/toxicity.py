@@ -111,17 +111,19 @@ class LabelModel:
     Fitted to votes alone by expectation and maximization. Voters that fire together form families
     (such as the insults of one language), and class 1 is a mixture of a part for each family, so
     that one family's silence does not speak against another's vote. The start is that documents
-    belong to the part whose family agrees on them. ``prior`` is the share of class 1.
+    belong to the part whose family agrees on them. ``prior`` is the share of class 1. The last
+    ``common`` voters are of no family: they speak for several, and would chain these into one.
     """
 
-    def __init__(self, votes: np.ndarray, prior: float, rounds: int = 40):
+    def __init__(self, votes: np.ndarray, prior: float, rounds: int = 40, common: int = 0):
         votes = votes.astype(float)
         n = len(votes)
         self.prior = float(np.clip(prior, 1 / (n + 2), 1 - 1 / (n + 2)))
         rest = votes - votes.mean(axis=0)
         single = 1 / self._alike(rest, 0.9).sum(axis=1)  # voters that copy each other count once
-        family = self._families(self._alike(rest, 0.15))
-        large = [f for f in np.unique(family) if single[family == f].sum() >= 1.5] or np.unique(family).tolist()
+        own = votes.shape[1] - common
+        family = np.append(self._families(self._alike(rest[:, :own], 0.15)), np.full(common, -1))
+        large = [f for f in np.unique(family[:own]) if single[family == f].sum() >= 1.5] or np.unique(family[:own]).tolist()
         agreed = np.stack([votes[:, family == f] @ single[family == f] for f in large])
         agreed = agreed[np.unique(agreed.argmax(axis=0))]  # families that lead somewhere
         # shares[0] is class 0; a part of class 1 begins with the documents that its family votes for
@@ -205,7 +207,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
     fire[rows[few], columns[few]] = True
     fire[np.bincount(rows[~few], minlength=n) > 0, voters] = True  # the rest of the lexicon is one voter
     votes = np.concatenate([fire, patterns(texts)], axis=1)
-    target = LabelModel(votes, ones / n).posterior(votes, SILENCE)
+    target = LabelModel(votes, ones / n, common=votes.shape[1] - voters).posterior(votes, SILENCE)
 
     weight, bias = np.zeros(len(good)), np.log(target.mean() / (1 - target.mean()))
     m1, m2 = np.zeros(len(good) + 1), np.zeros(len(good) + 1)

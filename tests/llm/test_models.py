@@ -109,6 +109,19 @@ def test_label_model_keeps_families_apart():
     assert found[(kind > 0) & seen].mean() > 0.9 and found[kind == 0].mean() < 0.02
 
 
+def test_toxicity_reaches_every_family_when_many_words_vote():
+    """Words beyond the first ``VOTERS`` vote together for all families, which must not make one family of them."""
+    rng = np.random.default_rng(6)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    names = ["".join(x) for x in sorted({tuple(rng.choice(letters, 3)) for _ in range(800)})]
+    rng.shuffle(names)
+    words = [names[400:], names[:100], names[100:300]]  # plain, and of two kinds
+    kind = rng.choice(3, 3000, p=[0.91, 0.06, 0.03])
+    raw = [" ".join([*rng.choice(words[0], 40), *(rng.choice(words[k], 6 * k - 2) if k else ())]).encode() for k in kind]
+    found = toxicity.Classifier(toxicity.train(raw[:2000], kind[:2000] > 0)).scores(raw[2000:]) >= 0.5
+    assert all(found[kind[2000:] == k].mean() > 0.9 for k in (1, 2)) and found[kind[2000:] == 0].mean() < 0.02
+
+
 def naive_quality(text, m):
     """One window, filter and chunk at a time."""
     blocks = max(-(-(len(text) + cnn.STRIDE) // cnn.BLOCK), 1)
