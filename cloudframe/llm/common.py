@@ -90,17 +90,24 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], by: list[str]
     Hot keys, at most ``HOT_SHARE`` of them by their counts, are broadcast, whatever the size of the
     tables; rows that meet theirs so move by ``by`` and no longer by the key, as do rows with a null
     key. So no task gets more than its share of a key. ``groups`` is read twice and should be a
-    written table. ``how`` is ``left`` or ``inner``.
+    written table. ``how`` is ``left`` or ``inner``; an inner join tells hot rows of both sides by the
+    hashes of the hot keys, a filter, and without a hot key it is a plain join.
     """
     total = groups.agg(F.sum(count)).first()[0] or 0
     most = max(2, total // HOT_SHARE)
     values = [c for c in groups.columns if c not in (*on, count)]
+    if how == "inner":
+        # Keys that share a hot key's hash go with it on both sides.
+        key = F.xxhash64(*[F.col(c).try_cast(groups.schema[c].dataType) for c in on])
+        hashes = [r[0] for r in groups.where(F.col(count) >= most).select(key).distinct().collect()]  # HOT_SHARE at most
+        plain = groups.select(*on, *values)
+        if not hashes:
+            return rows.join(plain, on).select(*rows.columns, *values)
+        met = rows.where(key.isin(hashes)).join(F.broadcast(plain.where(key.isin(hashes))), on)
+        return met.unionByName(rows.where(~key.isin(hashes)).join(plain.where(~key.isin(hashes)), on)).select(*rows.columns, *values)
     found = F.struct(F.lit(True).alias("__in"), *values)
     hot = F.broadcast(groups.where(F.col(count) >= most).select(*on, found.alias("__hot")))
     cold = groups.where(F.col(count) < most)
-    if how == "inner":
-        met = rows.join(hot, on).select(*rows.columns, *[F.col(f"__hot.{c}").alias(c) for c in values])
-        return met.unionByName(rows.join(hot, on, "left_anti").join(cold.drop(count), on).select(*rows.columns, *values))
     settled = F.col("__hot").isNotNull()
     for c in on:
         settled = settled | F.col(c).isNull()

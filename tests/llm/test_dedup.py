@@ -192,6 +192,18 @@ def test_spread_join_is_a_join(spark, monkeypatch, how, share):
     assert got == [r for r in want if how == "left" or r[2]]
 
 
+def test_inner_spread_join_filters_hot_keys(spark, monkeypatch):
+    """Rows of other keys pass a filter, not an anti join; without a hot key one join is left; number types may differ."""
+    rows = spark.createDataFrame([(k, k % 40) for k in range(200)] + [(k, 7) for k in range(200, 230)] + [(999, 1 << 40)], "id long, key long")
+    groups = spark.createDataFrame([(7, 35, "hot"), (8, 5, "cold"), (9, 5, "cold"), (77, 1, "none")], "key int, n long, value string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for share, joins in ((4, 2), (1, 1)):  # 46 rows in all: keys of 11 or more are hot, then those of 46 or more
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        found = common.spread_join(rows, groups, ["key"], [], how="inner")
+        assert "LeftAnti" not in plan(found) and plan(found).count("Join Inner") == joins
+        assert sorted(map(tuple, found.collect())) == sorted((r.id, r.key, "hot" if r.key == 7 else "cold") for r in rows.collect() if r.key in (7, 8, 9))
+
+
 def test_columns_of_any_name(spark):
     """Names of results, of helpers, with dots and in other cases pass or are replaced as documented."""
     passage = " ".join(f"p{k}" for k in range(50))
