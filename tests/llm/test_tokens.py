@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cloudframe.llm import bpe, packing, tokens
@@ -51,6 +52,46 @@ def test_word_split_equals_the_library():
             assert ids == t.encode(x, add_special_tokens=False).ids, hex(c)
 
 
+def test_runs_split_once_equal_the_words():
+    plain = [form.replace("%s", chr(c)) for c in range(0x180) if c != 0x130 for form in ("a%sb", "A %s b", " %s%s ", "1%s2", "a'%s", "%s")]
+    words = bpe._Numbers()
+    got = bpe.plain_numbers(plain, words)
+    listed = list(words)[1:]
+    for x, numbers in zip(plain, got, strict=True):
+        assert [listed[k] for k in numbers] == [w for found in bpe.words_of(x, WORD) for w in found], ascii(x)
+
+
+def test_words_are_encoded_as_one_text():
+    t = tokens.tokenizer(WORD)
+    words = sorted({w for x in texts() if x for found in bpe.words_of(x, WORD) for w in found})
+    _, special = tokens.special_tokens(WORD)
+    ids, lengths = bpe.encode_words(words, WORD)
+    want = [[special[w[1:]]] if w[1:] in special else t.encode(w, add_special_tokens=False).ids for w in words]
+    assert lengths.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    assert any(w[1:] in special for w in words) and not len(bpe.encode_words([], WORD)[0])
+
+
+def test_words_of_a_block_go_together():
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    batches = [pa.RecordBatch.from_pydict({"block": [k % 3 for k in range(50)] * 2, "number": [k // 3 for k in range(50)] * 2, "word": part}) for part in (words[:100], words[99:199])]
+    rows = [r for b in bpe._encode(WORD)(batches) for r in b.to_pylist()]
+    assert [(r["block"], r["number"]) for r in rows] == [(0, 68), (1, 68), (2, 64)]  # a row for each word before
+    for r in rows:
+        numbers, lengths, ids = bpe.unpack_words(r["ids"], r["number"])
+        assert numbers.tolist() == sorted(numbers.tolist()) and len(ids) == lengths.sum()
+    again = sum((len(tokens.tokenizer(WORD).encode(w, add_special_tokens=False).ids) for b in batches for w in b.column("word").to_pylist()))
+    assert sum(int(bpe.unpack_words(r["ids"], r["number"])[1].sum()) for r in rows) == again
+
+
+def test_gathered_in_sections(monkeypatch):
+    values, starts, lengths = np.arange(100), np.array([0, 10, 50, 60]), np.array([10, 40, 0, 3])
+    rows = np.array([3, 1, 2, 0, 0, 2, 3])
+    want = [v for r in rows for v in range(starts[r], starts[r] + lengths[r])]
+    for section in (1, 5, 20, 1000):
+        monkeypatch.setattr(bpe, "SECTION", section)
+        assert bpe.gather(values, starts, lengths, rows).tolist() == want
+
+
 def test_counts(table):
     want = {k: len(v) for k, v in encoded(BYTE).items()}
     got = count_tokens(table, BYTE).collect()
