@@ -23,6 +23,8 @@ from ..plans.lineage import cut, new_path
 
 #: Bytes of a range, and rows or bytes that a task holds at a time.
 SPLIT, BATCH_ROWS, READ = 64 << 20, 65536, 1 << 20
+#: Bytes of a range of text, whose numbers take far longer to read than binary ones.
+LINES_SPLIT = 8 << 20
 
 
 def filesystem(path: str):
@@ -73,49 +75,68 @@ class LinesReader(DataSourceReader):
     def read(self, partition):
         """A line belongs to the range in which it begins."""
         kinds = {k: n for n, k in enumerate(self.kinds)}
-        seen = [0] * len(kinds)
-        number, rows = 0, []
+        seen = np.zeros(len(kinds), np.int64)
+        number, texts, found = 0, [], []
 
         def batch():
-            line, kind, before, text = zip(*rows, strict=True)
-            columns = [pa.array([partition.part] * len(rows), pa.int32()), pa.array(line, pa.int64()), pa.array(kind, pa.string()), pa.array(before, pa.list_(pa.int64())), pa.array(text, pa.string())]
+            """The lines held, as a batch; counts go on."""
+            nonlocal number, seen
+            n = len(texts)
+            here = np.array(found, np.int64)
+            one = (here[:, None] == np.arange(len(kinds))).astype(np.int64)
+            after = seen + np.cumsum(one, 0)
+            before = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * len(kinds), pa.array((after - one).ravel()))
+            kind = pa.array([*self.kinds, None], pa.string()).take(pa.array(np.where(here < 0, len(kinds), here)))
+            columns = [pa.array(np.full(n, partition.part, np.int32)), pa.array(np.arange(number, number + n)), kind, before, pa.array(texts, pa.string())]
+            number, seen = number + n, after[-1]
+            texts.clear()
+            found.clear()
             return pa.RecordBatch.from_arrays(columns, names=["part", "line", "kind", "seen", "text"])
 
         with open_input(self.path) as f:
-            at = partition.start
-            f.seek(max(at - 1, 0))
-            held = b""
-            if at > self.begin and f.read(1) != b"\n":  # within a line that an earlier range reads
-                while (cut_at := held.find(b"\n")) < 0:
-                    if not (more := f.read(READ)):
-                        return
-                    at, held = at + len(held), more
-                at, held = at + cut_at + 1, held[cut_at + 1 :]
-            elif at == self.begin:
-                f.seek(at)
-            ended = False
-            while at < partition.stop:
-                while (n := held.find(b"\n")) < 0 and not ended:
-                    more = f.read(READ)
-                    ended, held = not more, held + more
-                raw = held if n < 0 else held[:n]
-                if n < 0 and not raw:
-                    break
+            for raw in _raw_lines(f, self.begin, partition):
                 text = raw.decode("utf-8", "replace").rstrip("\r")
-                first = text.split(None, 1)[0] if text.strip() else ""
-                kind = first if first in kinds else None
-                rows.append((number, kind, list(seen), text))
-                if kind:
-                    seen[kinds[kind]] += 1
-                number += 1
-                at, held = at + len(raw) + 1, b"" if n < 0 else held[n + 1 :]
-                if len(rows) == BATCH_ROWS:
+                first = text.split(None, 1) if kinds else None
+                texts.append(text)
+                found.append(kinds.get(first[0], -1) if first else -1)
+                if len(texts) == BATCH_ROWS:
                     yield batch()
-                    rows = []
-        if rows:
+        if texts:
             yield batch()
 
 
+def _raw_lines(f, begin: int, partition: Range):
+    """The lines that begin in a range, read and split block by block."""
+    at = partition.start
+    f.seek(at)
+    if at > begin:  # up to the end of the line that an earlier range reads
+        at -= 1
+        f.seek(at)
+        while (cut_at := (more := f.read(READ)).find(b"\n")) < 0:
+            if not more:
+                return
+            at += len(more)
+        at += cut_at + 1
+        f.seek(at)
+    held: list[bytes] = []
+    while at < partition.stop:
+        more = f.read(READ)
+        if more and b"\n" not in more:
+            held.append(more)
+            continue
+        *lines, rest = b"".join([*held, more]).split(b"\n")
+        held = [rest]
+        if not more:  # the last line has no end
+            lines = [rest] if rest else []
+        for raw in lines:
+            if at >= partition.stop:
+                return
+            yield raw
+            at += len(raw) + 1
+        if not more:
+            return
+
+
 class Records(DataSource):
     """Rows of fixed-width records: ``pid`` and the fields of a numpy record type, given as JSON."""
 
@@ -168,7 +189,7 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Records)
 
 
-def read_lines(spark: SparkSession, path: str, begin: int = 0, kinds: tuple[str, ...] = (), split: int = SPLIT) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, begin: int = 0, kinds: tuple[str, ...] = (), split: int = LINES_SPLIT) -> DataFrame:
     """Lines of a text file: ``line`` (from 0), ``kind``, ``seen`` (lines of each kind before this one) and ``text``."""
     register(spark)
     raw = spark.read.format("cloudframe_lines").options(path=path, begin=begin, kinds=",".join(kinds), split=split).load()

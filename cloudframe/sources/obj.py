@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.geometry import COLOR, NORMAL, XYZ
 from ..operators.points import dense_ids
 from ..plans.lineage import cut
-from .files import SPLIT, lines_of, read_lines, write_file
+from .files import LINES_SPLIT, lines_of, read_lines, write_file
 from .xyz import number, require
 
 KINDS = ("v", "vt", "vn", "f", "mtllib", "usemtl")
+CORNER = r"^-?[0-9]+(/-?[0-9]+|/-?[0-9]+/-?[0-9]+|//-?[0-9]+)?$"
 
 
 @dataclass
@@ -34,7 +35,15 @@ def _field(name: str):
     return lambda x: x[name]
 
 
-def read_obj(spark: SparkSession, path: str, split: int = SPLIT) -> ObjFile:
+def _corners(tokens: str):
+    """The corners of a face as places of vertex, texture and normal; each part of a corner is read once."""
+    bases = F.array(*[F.col("seen")[KINDS.index(k)] for k in ("v", "vt", "vn")])
+    place = lambda value, base: F.when(value > 0, value - 1).when(value < 0, base + value).when(value == 0, F.lit(-1).cast("long"))
+    parts = F.transform(tokens, lambda x: F.zip_with(F.transform(F.split(x, "/"), lambda r: r.try_cast("long")), bases, place))
+    return F.transform(parts, lambda i: F.struct(*[F.get(i, F.lit(k)).alias(c) for k, c in enumerate("ptn")]))
+
+
+def read_obj(spark: SparkSession, path: str, split: int = LINES_SPLIT) -> ObjFile:
     """Read an OBJ file range by range.
 
     Of further numbers after the coordinates the last three are colours, scaled if all three are at
@@ -44,13 +53,16 @@ def read_obj(spark: SparkSession, path: str, split: int = SPLIT) -> ObjFile:
     every corner has one. Unknown lines are skipped; malformed ones raise, naming the line.
     """
     lines = read_lines(spark, path, kinds=KINDS, split=split).where("kind is not null")
-    lines = lines.withColumn("t", F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 2, 2**30))
-    lines = cut(lines.drop("text"))  # the file is read and split once; the sections are plans over what was written
+    lines = lines.select("line", "kind", "seen", F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 2, 2**30).alias("t"))
+    of = lambda *kinds: F.col("kind").isin(*kinds)
+    made = {"n": F.when(of("v", "vt", "vn"), F.transform("t", number)), "c": F.when(of("f"), _corners("t")), "shape": F.when(of("f"), F.forall("t", lambda x: x.rlike(CORNER)))}
+    # The file is read, split and parsed once; the sections are plans over what was written.
+    lines = cut(lines.select("line", "kind", "seen", F.when(of("mtllib"), F.col("t")).alias("t"), *[e.alias(c) for c, e in made.items()]))
     counts = {r["kind"]: r["count"] for r in lines.groupBy("kind").count().collect()}  # a row for each kind
     nth = lambda k: F.col("seen")[KINDS.index(k)]
 
     def numbered(kind: str, least: int, what: str):
-        rows = lines.where(F.col("kind") == kind).select("kind", "line", nth(kind).alias("id"), F.transform("t", number).alias("n"))
+        rows = lines.where(F.col("kind") == kind).select("kind", "line", nth(kind).alias("id"), "n")
         ok = (F.size("n") >= least) & F.forall(F.slice("n", 1, least), lambda v: v.isNotNull())
         return rows.where(require(ok, _error(path, what), F.col("kind") == kind))
 
@@ -69,17 +81,9 @@ def read_obj(spark: SparkSession, path: str, split: int = SPLIT) -> ObjFile:
     faces = None
     if counts.get("f"):
         face = F.col("kind") == "f"
-        f = lines.where(face).where(require(F.size("t") >= 3, _error(path, "a face needs three corners"), face))
-        shape = F.forall("t", lambda x: x.rlike(r"^-?[0-9]+(/-?[0-9]+|/-?[0-9]+/-?[0-9]+|//-?[0-9]+)?$"))
-        f = f.where(require(shape, _error(path, "a malformed corner"), face & (F.size("t") >= 3)))
-
-        def index(token, place: int, kind: str):
-            raw = F.get(F.split(token, "/"), F.lit(place))
-            value = F.when(raw != "", raw).try_cast("long")
-            return F.when(value > 0, value - 1).when(value < 0, nth(kind) + value).when(value == 0, F.lit(-1).cast("long"))
-
-        corner = F.transform("t", lambda x: F.struct(index(x, 0, "v").alias("p"), index(x, 1, "vt").alias("t"), index(x, 2, "vn").alias("n")))
-        f = f.select("line", "kind", corner.alias("c"))
+        f = lines.where(face).where(require(F.size("c") >= 3, _error(path, "a face needs three corners"), face))
+        f = f.where(require(F.col("shape"), _error(path, "a malformed corner"), face & (F.size("c") >= 3)))
+        f = f.select("line", "kind", "c")
         inside = F.lit(True)
         for name, kind in (("p", "v"), ("t", "vt"), ("n", "vn")):
             found = F.transform("c", _field(name))

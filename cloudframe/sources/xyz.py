@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import COLOR, XYZ
 from ..operators.points import dense_ids
-from .files import SPLIT, lines_of, read_lines, write_file
+from .files import LINES_SPLIT, lines_of, read_lines, write_file
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -27,7 +27,7 @@ def require(ok: Column, message: Column, among: Column | None = None) -> Column:
     return checked if among is None else F.when(among, checked).otherwise(F.lit(False))
 
 
-def read_xyz(spark: SparkSession, path: str, strict: bool = True, split: int = SPLIT) -> DataFrame:
+def read_xyz(spark: SparkSession, path: str, strict: bool = True, split: int = LINES_SPLIT) -> DataFrame:
     """Points ``pid, x, y, z`` and, if every row has them, ``red, green, blue``.
 
     ``strict``: a row that is not 3 or 6 finite numbers raises, naming its line; otherwise such a

@@ -1,10 +1,12 @@
 """Readers and writers against files made by hand and by round trips, with splits smaller than a line or record."""
 
+import io
 import struct
 
 import numpy as np
 import pytest
 
+from cloudframe.sources import files
 from cloudframe.sources.files import read_lines
 from cloudframe.sources.las import read_las, write_las
 from cloudframe.sources.obj import read_obj, write_obj
@@ -160,6 +162,24 @@ def test_obj(spark, tmp_path, split):
     assert rows(again.faces, "fid") == rows(found.faces, "fid")
 
 
+def test_obj_lines_are_parsed_once(spark, tmp_path):
+    found = read_obj(spark, text_file(tmp_path, "p.obj", OBJ))
+    for df in (found.points, found.uv, found.faces):  # what was parsed has been written
+        plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "rlike" not in plan and "split(" not in plan
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_raw_lines_of_ranges(monkeypatch, block):
+    monkeypatch.setattr(files, "READ", block)
+    for data, begin in ((b"head\na\n\nbcd\r\n" + b"x" * 20 + b"\ny", 5), (b"a\nb\n", 0), (b"", 0), (b"\n\n", 0), (b"abc", 0)):
+        for split in (1, 2, 5, 100):
+            ranges = [files.Range(0, s, min(s + split, len(data))) for s in range(begin, max(len(data), begin + 1), split)]
+            got = [x for r in ranges for x in files._raw_lines(io.BytesIO(data), begin, r)]
+            want = data[begin:].split(b"\n")
+            assert got == (want if want[-1] else want[:-1])
+
+
 def test_obj_errors(spark, tmp_path):
     for line, what in (("f 1 2 0", "out of range, line 4"), ("f 1 2", "three corners, line 4"), ("f 1 2 9", "out of range"), ("f a b c", "malformed"), ("v 1 2", "three numbers")):
         with pytest.raises(Exception, match=what):
