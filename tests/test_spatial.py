@@ -100,6 +100,42 @@ def test_radius(spark):
     assert sorted((r.qid, r.n) for r in radius_count(cloud, cloud, 5, early_stop=3).collect()) == [(k, 3) for k in range(4)]
 
 
+@pytest.mark.parametrize("name", list(clouds()))
+def test_radius_pairs_in_small_tiles(spark, monkeypatch, name):
+    for key, value in {"TILE": 64, "COMPARED": 10_000, "SORTED": 500, "ROWS": 100}.items():
+        monkeypatch.setattr(index, key, value)
+    a = clouds()[name]
+    b, r = a[::3] + 0.25, {"even": 1.0, "crowds": 1e-3, "flat": 0.3, "copies": 0.5}[name]
+    for queries, points in ((a, a), (b, a)):
+        cloud = frame(spark, points).repartition(3)
+        found = radius_join(cloud, cloud if queries is points else frame(spark, queries, 10_000), r).collect()
+        d = np.sqrt(((queries[:, None] - points[None]) ** 2).sum(axis=2))
+        want = {(i + (0 if queries is points else 10_000), j): d[i, j] for i, j in zip(*np.nonzero(d <= r), strict=True)}
+        assert len(found) == len(want) and {(x.qid, x.pid): x.d for x in found} == pytest.approx(want)
+
+
+def test_radius_pairs_of_odd_points(spark):
+    odd = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (None, 0.1, 0.0, 0.0), (3, float("nan"), 0.0, 0.0), (4, None, 0.0, 0.0), (5, float("inf"), 0.0, 0.0)], SCHEMA)
+    good = odd.where("pid = 1 or pid is null")
+    ids = lambda df: sorted((str(x.qid), str(x.pid)) for x in df.collect())
+    assert ids(radius_join(odd, good, 0.2)) == ids(radius_join(good, good, 0.2)) == [("1", "1"), ("1", "None"), ("None", "1"), ("None", "None")]
+    assert radius_join(good.limit(0), good, 1.0).count() == radius_join(good, good.limit(0), 1.0).count() == 0
+    with pytest.raises(Exception, match="not finite"):
+        radius_join(good, odd, 0.2).collect()
+
+
+def test_radius_pairs_are_small_where_they_are_written(spark, tmp_path):
+    """All pairs are quadratic, so they must not be shuffled, and equal distances and few ids must lie together in a file."""
+    cloud = frame(spark, np.random.default_rng(8).uniform(0, 0.2, (2_500, 3)))
+    found = radius_join(cloud, cloud, 0.1).select("qid", "pid", F.round("d", 6).alias("d"))
+    found.write.parquet(str(tmp_path / "pairs"))
+    back = spark.read.parquet(str(tmp_path / "pairs"))
+    n = back.count()
+    assert n > 1_000_000 and sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 6 * n  # 9.5 bytes a pair by cells
+    d = found.where(F.spark_partition_id() == 0).toPandas()["d"].to_numpy()
+    assert len(d) > 10_000 and (np.diff(d) > 0).sum() <= 4
+
+
 def test_outliers(spark):
     line = frame(spark, [[i * 0.01, 0, 0] for i in range(10)] + [[100, 0, 0]])
     sor = filters.StatisticalOutlierRemoval(4, 1.0)
