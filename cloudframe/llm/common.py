@@ -21,6 +21,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 HOT_SHARE = 1000
 #: Buckets in which keys are marked: a table of marks has no more rows.
 MARKS = 1 << 18
+#: Links up to which a round of ``components`` sends its minima, two a link at most, to all tasks.
+FEW_LINKS = 1 << 16
 
 #: Cut the lineage: write to the shared folder and return what was written.
 save = cut
@@ -84,13 +86,22 @@ def binary(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return column.fill_null(b"")
 
 
+def unsent(side: DataFrame) -> DataFrame:
+    """``side`` of a join, a table that grows with the input: the join is a merge join, and neither side is ever broadcast.
+
+    Spark sizes a table by its packed files and takes the rows that ``mapInArrow`` or ``explode`` make
+    of one for one, so left alone it sends far more through the driver than its threshold says.
+    """
+    return side.hint("merge")
+
+
 def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], by: list[str], count: str = "n", how: str = "left") -> DataFrame:
     """Join ``rows`` with ``groups``, which has one row a key and in ``count`` how many rows have that key.
 
     Hot keys, at most ``HOT_SHARE`` of them by their counts, are broadcast, whatever the size of the
-    tables; rows that meet theirs so move by ``by`` and no longer by the key, as do rows with a null
-    key. So no task gets more than its share of a key. ``groups`` is read twice and should be a
-    written table. ``how`` is ``left`` or ``inner``; an inner join tells hot rows of both sides by the
+    tables; nothing else is. Rows that meet theirs so move by ``by`` and no longer by the key, as do
+    rows with a null key. So no task gets more than its share of a key. ``groups`` is read twice and
+    should be a written table. ``how`` is ``left`` or ``inner``; an inner join tells hot rows of both sides by the
     hashes of the hot keys, a filter, and without a hot key it is a plain join.
     """
     total = groups.agg(F.sum(count)).first()[0] or 0
@@ -102,9 +113,9 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], by: list[str]
         hashes = [r[0] for r in groups.where(F.col(count) >= most).select(key).distinct().collect()]  # HOT_SHARE at most
         plain = groups.select(*on, *values)
         if not hashes:
-            return rows.join(plain, on).select(*rows.columns, *values)
+            return rows.join(unsent(plain), on).select(*rows.columns, *values)
         met = rows.where(key.isin(hashes)).join(F.broadcast(plain.where(key.isin(hashes))), on)
-        return met.unionByName(rows.where(~key.isin(hashes)).join(plain.where(~key.isin(hashes)), on)).select(*rows.columns, *values)
+        return met.unionByName(rows.where(~key.isin(hashes)).join(unsent(plain.where(~key.isin(hashes))), on)).select(*rows.columns, *values)
     found = F.struct(F.lit(True).alias("__in"), *values)
     hot = F.broadcast(groups.where(F.col(count) >= most).select(*on, found.alias("__hot")))
     cold = groups.where(F.col(count) < most)
@@ -112,7 +123,8 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], by: list[str]
     for c in on:
         settled = settled | F.col(c).isNull()
     dealt = rows.join(hot, on, "left").withColumn("__deal", F.when(settled, F.xxhash64(*by)).otherwise(F.lit(0)))
-    joined = dealt.join(cold.select(*on, F.lit(0).cast("long").alias("__deal"), found.alias("__cold")), [*on, "__deal"], "left")
+    cold = cold.select(*on, F.lit(0).cast("long").alias("__deal"), found.alias("__cold"))
+    joined = dealt.join(unsent(cold), [*on, "__deal"], "left")
     hit = F.coalesce("__hot", "__cold")
     return joined.select(*rows.columns, *[hit[c].alias(c) for c in values])
 
@@ -184,8 +196,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(node, component)``, component the smallest node.
 
     Links are first contracted to forests within tasks; then large-star and small-star rounds run
-    as joins and minima until the links are stars. Each round is written to the shared folder, so
-    a lost executor costs one round at most. Nodes without a link are not in the result; rows with
+    as joins and minima until the links are stars; the minima are broadcast where there are at most
+    ``FEW_LINKS`` links and never beyond. Each round is written to the shared folder, so a lost
+    executor costs one round at most. Nodes without a link are not in the result; rows with
     a null end are left out; an empty table gives an empty one.
     """
     links = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
@@ -202,11 +215,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
+        met = F.broadcast if now[0] <= FEW_LINKS else unsent
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(met(low), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
+        joined = large.join(met(low), "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = save(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
     else:

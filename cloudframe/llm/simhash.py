@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import binary, components, save, spread_join
+from .common import binary, components, save, spread_join, unsent
 
 #: Generator polynomial of the binary Golay code, and the radius within which it covers all words.
 GOLAY, LENGTH, RADIUS = 0xAE3, 23, 3
@@ -123,7 +123,7 @@ def near_links(fps: DataFrame, distance: int = 2) -> DataFrame:
     home = replicas.where("home").select("anchor", F.col("fp").alias("a"))
     guest = replicas.where("not home").select("anchor", F.col("fp").alias("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return home.alias("h").join(guest.alias("g"), (F.col("h.anchor") == F.col("g.anchor")) & near).select("a", "b")
+    return home.alias("h").join(unsent(guest).alias("g"), (F.col("h.anchor") == F.col("g.anchor")) & near).select("a", "b")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, words: int = 3, keep_columns: bool = False) -> DataFrame:
@@ -150,9 +150,9 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = near_links(first, distance)
     by_a = first.select(F.col("fp").alias("a"), F.col("first").alias("ia"))
     by_b = first.select(F.col("fp").alias("b"), F.col("first").alias("ib"))
-    edges = links.join(by_a, "a").join(by_b, "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+    edges = links.join(unsent(by_a), "a").join(unsent(by_b), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
     labels = components(edges).withColumnRenamed("node", "first")
-    named = save(first.join(labels, "first", "left").select(F.col("fp").alias("__fp"), "n", F.coalesce("component", "first").alias("component_id")), "named")
+    named = save(first.join(unsent(labels), "first", "left").select(F.col("fp").alias("__fp"), "n", F.coalesce("component", "first").alias("component_id")), "named")
     hexed = F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint")
     out = [text_col, *rest] if keep_columns else rest
     return spread_join(rows, named, ["__fp"], [id_col]).select(*out, hexed, "component_id")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -164,6 +165,40 @@ def test_fingerprint_chain_forms_one_component(spark):
     assert got == {(min(a, b), max(a, b)) for i, a in enumerate(s) for b in s[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
 
 
+def unnamed_joins(df):
+    """The joins of a plan whose strategy is left to Spark's guess of sizes."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if re.search(r"\bJoin [A-Z]", line) and "strategy=" not in line]
+
+
+def saved_plans(monkeypatch, *modules):
+    """What ``save`` of the modules is given from now on."""
+    plans = []
+    for module in modules:
+        monkeypatch.setattr(module, "save", lambda df, *label, put=module.save: put((plans.append(df), df)[1], *label))
+    return plans
+
+
+def test_replicas_are_never_broadcast(spark, monkeypatch):
+    """Spark takes the 61-fold replicas of fingerprints for as few as these, and saved tables for as small as their files."""
+    fps = spark.createDataFrame([(k * 0x9E3779B97F4A7C15 % (1 << 62),) for k in range(50)], "fp long")
+    plan = simhash.near_links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    plans = saved_plans(monkeypatch, common, simhash)
+    docs = spark.createDataFrame([(k, f"some words of text {k // 2}") for k in range(40)], "doc_id long, text string")
+    plans.append(simhash_dedup(docs))
+    assert len(plans) > 4 and not [j for p in plans for j in unnamed_joins(p)]
+
+
+def test_components_of_more_links_than_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW_LINKS", 0)
+    plans = saved_plans(monkeypatch, common)
+    edges = [(k, k + 1) for k in range(30)] + [(k, 100) for k in range(101, 140)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
+    assert got == {k: 0 if k <= 30 else 100 for k in [*range(31), *range(100, 140)]}
+    assert not any("strategy=broadcast" in p._jdf.queryExecution().optimizedPlan().toString() for p in plans)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(600), rng.randrange(600)) for _ in range(350)] + [(k, k + 1) for k in range(1000, 1300)] + [(5, None), (2000, 2000)]
