@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import binary, components, forest, marked, save, sparse_join, spread_join, tidy
+from .common import binary, components, forest, marked, save, sparse_join, spread_join, tidy, unsent
 from .simhash import majority, near_links, shingle_hashes
 
 BANDS, ROWS = 40, 8
@@ -173,9 +173,9 @@ def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = save(spread_join(spread, shared, ["band"], [], how="inner").distinct(), "buckets")
 
     def texts_of(ends: DataFrame, label: str) -> DataFrame:
-        """One text ``t`` for each ``key`` of ``ends``."""
+        """One text ``t`` for each ``key`` of ``ends``, which has no key twice."""
         texts = marked(with_id.select(F.col("__key").alias("key"), F.col(text_col).alias("t")), ends, ["key"]).where("__marked").drop("__marked")
-        return save(texts.join(ends, "key", "left_semi").dropDuplicates(["key"]), f"{label}-texts")
+        return save(texts.dropDuplicates(["key"]).join(unsent(ends), "key"), f"{label}-texts")
 
     def links(pairs: DataFrame, label: str) -> DataFrame:
         pairs = save(pairs, f"{label}-pairs")
@@ -183,17 +183,18 @@ def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
         texts = texts_of(save(ends, f"{label}-ends"), label)
         ta, tb = (texts.select(F.col("key").alias(c), F.col("t").alias(f"t{c}")) for c in "ab")
-        return dealt.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(words, similarity), "a long, b long")
+        return dealt.join(unsent(tb), "b").join(unsent(ta), "a").select("a", "b", "ta", "tb").mapInArrow(_verify(words, similarity), "a long, b long")
 
     ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     prints = save(with_id.groupBy(F.col("__fp").alias("fp")).agg(F.min("__key").alias("key"), F.max("__key").alias("top"), F.count(F.lit(1)).alias("n")), "prints")
     # One candidate for each fingerprint is enough: those of a large group are not paired with each other.
-    near = near_links(prints).groupBy("b").agg(F.min("a").alias("a")).join(prints.select(F.col("fp").alias("a"), F.col("key").alias("ka")), "a").join(prints.select(F.col("fp").alias("b"), F.col("key").alias("kb")), "b")
+    ka, kb = (unsent(prints.select(F.col("fp").alias(c), F.col("key").alias(f"k{c}"))) for c in "ab")
+    near = near_links(prints).groupBy("b").agg(F.min("a").alias("a")).join(ka, "a").join(kb, "b")
     alike = spread_join(with_id.select(F.col("__fp").alias("fp"), F.col("__key").alias("k")), prints.where("key <> top").drop("top"), ["fp"], [], how="inner")
     anchored = near.select(*ordered("ka", "kb")).union(alike.select(*ordered("k", "key")))
     star = buckets.where("key <> root").select(*ordered("root", "key")).union(anchored).where("a <> b").distinct()
     found = components(links(star, "star"))
-    labelled = buckets.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "size", F.coalesce("component", "key").alias("c"))
+    labelled = buckets.join(unsent(found.withColumnRenamed("node", "key")), "key", "left").select("band", "key", "size", F.coalesce("component", "key").alias("c"))
     labelled = save(labelled, "labelled")
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("parts")
     mixed = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"), parts)
@@ -201,7 +202,7 @@ def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not mixed.isEmpty():
         open_ = spread_join(labelled, mixed, ["band"], ["key"], how="inner")
         open_ = save(open_.groupBy("key", "c").agg(F.collect_list(F.struct("band", "parts")).alias("at")), "open")  # BANDS at most
-        dealt = texts_of(open_.select("key"), "across").join(open_, "key").select("key", "c", "t", F.inline("at"))
+        dealt = texts_of(open_.select("key"), "across").join(unsent(open_), "key").select("key", "c", "t", F.inline("at"))
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         cells = dealt.groupBy("band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
         across = cells.applyInArrow(_compare(words, similarity), "a long, b long")
@@ -209,7 +210,7 @@ def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         found = components(tree.unionByName(across))
 
     keys = rows.groupBy("__key").agg(F.min(F.col(id_col).cast("long")).alias("first"), F.count(F.lit(1)).alias("n"))
-    keys = save(keys.join(found.withColumnRenamed("node", "__key"), "__key", "left").withColumn("c", F.coalesce("component", "__key")).select("__key", "first", "n", "c"), "keys")
+    keys = save(keys.join(unsent(found.withColumnRenamed("node", "__key")), "__key", "left").withColumn("c", F.coalesce("component", "__key")).select("__key", "first", "n", "c"), "keys")
     classes = keys.groupBy("c").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"), F.sum("n").alias("rows"))
     classes = save(classes.where("rows > 1").withColumn("met", F.lit(True)).drop("rows"), "classes")
     named = sparse_join(keys.withColumnRenamed("n", "copies"), classes, ["c"], ["__key"]).where("met")

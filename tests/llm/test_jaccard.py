@@ -5,11 +5,12 @@ import random
 import numpy as np
 
 import corpus_pipeline
+from cloudframe.llm import common
 from cloudframe.llm import jaccard as jaccard_module
 from cloudframe.llm.jaccard import band_keys, jaccard_dedup
 from cloudframe.llm.simhash import shingle_hashes
 
-from .test_dedup import groups
+from .test_dedup import groups, saved_plans, unnamed_joins
 
 
 def shingles(text):
@@ -53,6 +54,17 @@ def corpus():
     return dict(enumerate(out))
 
 
+def test_no_join_is_left_to_guessed_sizes(spark, monkeypatch):
+    """Exploded fingerprints, texts and saved tables are larger than Spark takes them for: only marks and hot keys are sent."""
+    monkeypatch.setattr(jaccard_module, "BLOCK_TEXTS", 4)
+    plans = saved_plans(monkeypatch, common, jaccard_module)
+    texts = corpus()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    plans.append(out := jaccard_dedup(docs))
+    assert {r.doc_id: r.component_id for r in out.collect()} == components_of(texts)
+    assert len(plans) > 20 and not [j for p in plans for j in unnamed_joins(p)]
+
+
 def test_components(spark):
     texts = corpus()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
